@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import sharding
+from corpusloom.llm import chat, sharding, topk
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
+    "op5_topk_inner_product": topk.op5_topk_inner_product,
+    "op6_chat_formatting": chat.op6_chat_formatting,
 }
 
 ORACLE_SQL = {
     "op1_hash_tree_sharding": sharding.oracle(),
+    "op5_topk_inner_product": topk.oracle(),
+    "op6_chat_formatting": chat.oracle(),
 }
