@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, sharding, topk
+from corpusloom.llm import chat, neardup, sharding, topk
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
     "op5_topk_inner_product": topk.op5_topk_inner_product,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_simhash_neardup": neardup.op7_simhash_neardup,
 }
 
 ORACLE_SQL = {
