@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, neardup, sharding, topk
+from corpusloom.llm import chat, decontam, neardup, sharding, topk
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
     "op5_topk_inner_product": topk.op5_topk_inner_product,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_simhash_neardup": neardup.op7_simhash_neardup,
+    "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
 }
 
 ORACLE_SQL = {
     "op1_hash_tree_sharding": sharding.oracle(),
     "op5_topk_inner_product": topk.oracle(),
     "op6_chat_formatting": chat.oracle(),
+    "op9_benchmark_decontamination": decontam.oracle(),
 }
