@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, decontam, neardup, sharding, topk
+from corpusloom.llm import chat, decontam, langid, neardup, quality, sharding, topk
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op5_topk_inner_product": topk.op5_topk_inner_product,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_simhash_neardup": neardup.op7_simhash_neardup,
+    "op8_language_id": langid.op8_language_id,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
 }
 
