@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, decontam, langid, neardup, quality, sharding, topk
+from corpusloom.llm import chat, decontam, langid, neardup, pii, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_topk_inner_product": topk.op5_topk_inner_product,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_simhash_neardup": neardup.op7_simhash_neardup,
     "op8_language_id": langid.op8_language_id,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
+    "op10_pii_weak_supervision": pii.op10_pii_weak_supervision,
 }
 
 ORACLE_SQL = {
     "op1_hash_tree_sharding": sharding.oracle(),
+    "op4_secret_scan": secrets.oracle(),
     "op5_topk_inner_product": topk.oracle(),
     "op6_chat_formatting": chat.oracle(),
     "op9_benchmark_decontamination": decontam.oracle(),
