@@ -157,10 +157,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` of which less than a twentieth of the words is benchmark text."""
-    found = checkpointed(contaminated_texts(docs, benchmark))
-    named = docs.withColumns(dict(zip(("key1", "key2"), text_key("text"), strict=True)))
-    judged = named.join(broadcast_if_small(found.select("key1", "key2", "n_hit"), BROADCAST_ROWS), ["key1", "key2"], "left")
-    clean = F.when(F.col("n_hit").isNull(), True).otherwise(F.col("n_hit") * 20 < F.size(words_of(F.col("text"))))
+    found = checkpointed(contaminated_texts(docs.select("text"), benchmark))
+    found = found.select(*[F.col(c).alias(f"__found_{c}") for c in ("key1", "key2", "n_hit")])
+    named = docs.withColumns(dict(zip(("__own_key1", "__own_key2"), text_key("text"), strict=True)))
+    same = (F.col("__own_key1") == F.col("__found_key1")) & (F.col("__own_key2") == F.col("__found_key2"))
+    judged = named.join(broadcast_if_small(found, BROADCAST_ROWS), same, "left")
+    clean = F.when(F.col("__found_n_hit").isNull(), True).otherwise(F.col("__found_n_hit") * 20 < F.size(words_of(F.col("text"))))
     return judged.filter(clean).select(*docs.columns)
 
 

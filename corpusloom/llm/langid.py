@@ -141,8 +141,8 @@ def classify(text: str | None, model: Model | None) -> tuple[str, float, bool]:
     return model.languages[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] < limit)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns with lang_pred, score and rejected, from whole texts.
+def predict(docs: DataFrame, model: Model | None, keep: list[str], prefix: str = "") -> DataFrame:
+    """``keep`` columns with lang_pred, score and rejected (``prefix`` before each), from whole texts.
 
     A null text or one without a letter is ``und`` with score 0, and rejected; so is every
     text when nothing could be learned.  Repeated rows are judged alike.
@@ -157,12 +157,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             langs, scores, rejected = zip(*found, strict=True) if found else ((), (), ())
             yield pa.record_batch(
                 [*(batch.column(i) for i in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
-                [*(batch.schema.names[i] for i in rest), "lang_pred", "score", "rejected"],
+                [*(batch.schema.names[i] for i in rest), *(prefix + c for c in ("lang_pred", "score", "rejected"))],
             )
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
-    return rows.mapInArrow(run, f"{types}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, f"{types}, {prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -180,4 +180,4 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model learned from them doesn't reject."""
     model = fit(training_rows(docs))
-    return predict(docs, model, docs.columns).filter("NOT rejected").select(*docs.columns)
+    return predict(docs, model, docs.columns, "__lid_").filter("NOT __lid_rejected").select(*docs.columns)

@@ -111,8 +111,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows that share that doc_id the first by text key stays, once.
     """
-    named = docs.withColumns(dict(zip(("key1", "key2"), text_key("text"), strict=True)))
-    found = near_duplicates(named, ["doc_id", "key1", "key2"])
+    found = near_duplicates(docs.select("doc_id", *text_key("text"), "text"), ["doc_id", "key1", "key2"])
     ids = ["doc_id", "key1", "key2"]
     rows = found.groupBy("component_id", *ids).agg(F.count("*").alias("copies"))
     best = rows.groupBy("component_id").agg(
@@ -123,12 +122,15 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     stays = F.struct(*ids).eqNullSafe(F.struct(*[F.col("best")[c].alias(c) for c in ids]))
     judged = judged.select(*ids, "copies", stays.alias("stays"))
     judged = checkpointed(judged)
-    gone = judged.filter("NOT stays").select(*[F.col(c).alias(f"__{c}") for c in ids])
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("key1") == F.col("__key1")) & (F.col("key2") == F.col("__key2"))
+    gone = judged.filter("NOT stays").select(*[F.col(c).alias(f"__gone_{c}") for c in ids])
+    named = docs.withColumns(dict(zip(("__own_key1", "__own_key2"), text_key("text"), strict=True)))
+    same = F.col("doc_id").eqNullSafe(F.col("__gone_doc_id"))
+    for c in ("key1", "key2"):
+        same = same & (F.col(f"__own_{c}") == F.col(f"__gone_{c}"))
     kept = named.join(broadcast_if_small(gone, BROADCAST_IDS), same, "left_anti")
-    repeated = judged.filter("stays AND copies > 1").select(*[F.col(c).alias(f"__{c}") for c in ids])
+    repeated = judged.filter("stays AND copies > 1").select(*[F.col(c).alias(f"__gone_{c}") for c in ids])
     if not repeated.isEmpty():
         single = kept.join(broadcast_if_small(repeated, BROADCAST_IDS), same, "left_anti")
         once = kept.join(broadcast_if_small(repeated, BROADCAST_IDS), same, "left_semi")
-        kept = single.unionByName(once.dropDuplicates(ids))
-    return kept.drop("key1", "key2")
+        kept = single.unionByName(once.dropDuplicates(["doc_id", "__own_key1", "__own_key2"]))
+    return kept.select(*docs.columns)

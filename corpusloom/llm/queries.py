@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, decontam, langid, neardup, pii, quality, secrets, sharding, topk
+from corpusloom.llm import chat, decontam, langid, neardup, pieces, pii, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_sampled_pieces": pieces.op3_sampled_pieces,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_topk_inner_product": topk.op5_topk_inner_product,
     "op6_chat_formatting": chat.op6_chat_formatting,
