@@ -2,5 +2,35 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with the SQL that says the same."""
+
+    def add(of: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = of
+        if sql:
+            ORACLE_SQL[name] = sql
+        return of
+
+    return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for module in MODULES:
+        import_module(f"corpusloom.plans.{module}")
+
+
+MODULES = ("relational", "analytics")
