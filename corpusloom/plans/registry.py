@@ -33,4 +33,4 @@ def load() -> None:
         import_module(f"corpusloom.plans.{module}")
 
 
-MODULES = ("relational", "analytics")
+MODULES = ("relational", "analytics", "retrieval")
