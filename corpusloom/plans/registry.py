@@ -33,4 +33,4 @@ def load() -> None:
         import_module(f"corpusloom.plans.{module}")
 
 
-MODULES = ("relational", "analytics", "retrieval", "evaluation", "graphs", "texts", "queues")
+MODULES = ("relational", "analytics", "retrieval", "evaluation", "graphs", "texts", "queues", "streams")
