@@ -27,19 +27,21 @@ from corpusloom.llm.common import slices, table
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _PIECE = re.compile(
-    r"<s>\[(?P<role>(?:[^\\\]~]|\\.)*+)(?P<escaped>~)?\]\n"
-    r"(?(escaped)(?P<quoted>(?:[^\\<\[]|\\.)*+)|(?P<plain>(?:(?!</s>).)*+))</s>\n",
+    r"<s>\[(?P<role>(?:[^\\<\[\]|~]|[\\<\[\]|~]\\)*+)(?P<escaped>~)?\]\n"
+    r"(?(escaped)(?P<quoted>(?:[^\\<\[|]|[\\<\[|]\\)*+)|(?P<plain>(?:(?!</s>).)*+))</s>\n",
     re.DOTALL,
 )
-_UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
+_UNESCAPE_TEXT = re.compile(r"([\\<\[|])\\")
+_UNESCAPE_ROLE = re.compile(r"([\\<\[\]|~])\\")
 
 
 def escape(text: str) -> str:
-    return re.sub(r"([\\<\[])", r"\\\1", text)
+    """No control string is left in an escaped text: each is broken after its first character."""
+    return re.sub(r"([\\<\[|])", r"\1\\", text)
 
 
 def render(role: str, text: str, escaped: bool) -> str:
-    name = re.sub(r"([\\<\[\]~])", r"\\\1", role)
+    name = re.sub(r"([\\<\[\]|~])", r"\1\\", role)
     return f"<s>[{name}{'~' if escaped else ''}]\n{escape(text) if escaped else text}</s>\n"
 
 
@@ -51,12 +53,12 @@ def parse(rendered: str) -> list[tuple[str, str]]:
         if not m:
             raise ValueError(f"no turn at {at}")
         if m["escaped"]:
-            text = _UNESCAPE.sub(r"\1", m["quoted"])
+            text = _UNESCAPE_TEXT.sub(r"\1", m["quoted"])
         else:
             text = m["plain"]
             if _CONTROL.search(text):
                 raise ValueError(f"control string in the turn at {at}")
-        turns.append((_UNESCAPE.sub(r"\1", m["role"]), text))
+        turns.append((_UNESCAPE_ROLE.sub(r"\1", m["role"]), text))
         at = m.end()
     return turns
 
@@ -177,8 +179,8 @@ p AS (
   SELECT *, len(list_filter([{quoted}], lambda c: contains(text, c))) > 0 AS escaped FROM t),
 s AS (
   SELECT conv_id, turn, role, text,
-    length('<s>[') + length(role) + {escapes("role", chr(92) + "<[]~")} + CAST(escaped AS INTEGER) + 2 + length(text)
-    + CASE WHEN escaped THEN {escapes("text", chr(92) + "<[")} ELSE 0 END + length('</s>') + 1 AS chars
+    length('<s>[') + length(role) + {escapes("role", chr(92) + "<[]|~")} + CAST(escaped AS INTEGER) + 2 + length(text)
+    + CASE WHEN escaped THEN {escapes("text", chr(92) + "<[|")} ELSE 0 END + length('</s>') + 1 AS chars
   FROM p)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
