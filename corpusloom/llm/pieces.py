@@ -32,9 +32,9 @@ THETA, SEED = 0.5, 11
 MARK = "▁"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
 #: Texts are segmented together up to so many bytes; a longer text is taken in pieces of as many characters.
-BATCH = 6_000_000
+BATCH = 1_500_000
 #: Lattices of so many distinct units are kept for the next texts, then forgotten.
-UNITS = 300_000
+UNITS = 120_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
