@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import id_crc_mod, slices, table
 from corpusloom.llm.grams import codes_of, hashed
 
-BITS, SIZES = 13, (1, 2, 3)
+BITS, SIZES = 14, (1,2,3,4)
 #: Bound of the sample per language that centroids are fitted on, and centroids per language.
-SAMPLE, CENTROIDS = 1000, 4
+SAMPLE, CENTROIDS = 1000, 8
 #: A text is rejected below this share of the least cosine of its language's sample; the
 #: cosine of a text of fewer bytes is expected to be lower by the root of its length.
 REJECT_SHARE, FULL_BYTES = 0.5, 64
@@ -103,10 +103,10 @@ def fit(rows: DataFrame) -> Model | None:
     if not per_lang:
         return None
     n_docs = sum(per_lang.values())
-    idf = np.full(1 << BITS, np.log(1.0 + n_docs), np.float32)
+    idf = np.full(1 << BITS, np.log(1.0 + n_docs) + 1, np.float32)
     for r in counts:
         if r["cell"] >= 0:
-            idf[r["cell"]] = np.log((1.0 + n_docs) / (1.0 + r["n"])) + 0.05
+            idf[r["cell"]] = np.log((1.0 + n_docs) / (1.0 + r["n"])) + 1
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array([vector(t, idf) for t in pdf["text"] if has_letter(t)], np.float32).reshape(-1, 1 << BITS)
