@@ -71,7 +71,9 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     centres = np.array(chosen)
     for _ in range(rounds):
         own = (x @ centres.T).argmax(1)
-        centres = np.array([x[own == j].mean(0) if (own == j).any() else c for j, c in enumerate(centres)])
+        member = (own == np.arange(len(centres))[:, None]).astype(x.dtype)
+        sums = member @ x  # no copies of parts of x
+        centres = np.where(member.sum(1, keepdims=True) > 0, sums, centres)
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     return centres.astype(np.float32)
 
@@ -109,9 +111,12 @@ def fit(rows: DataFrame) -> Model | None:
             idf[r["cell"]] = np.log((1.0 + n_docs) / (1.0 + r["n"])) + 1
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([vector(t, idf) for t in pdf["text"] if has_letter(t)], np.float32).reshape(-1, 1 << BITS)
-        if not len(x):
+        texts = [t for t in pdf["text"] if has_letter(t)]
+        if not texts:
             return pd.DataFrame({"lang": [], "data": [], "least": []})
+        x = np.empty((len(texts), 1 << BITS), np.float32)
+        for i, t in enumerate(texts):
+            x[i] = vector(t, idf)
         c = _cluster(x, CENTROIDS)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "data": [v.tobytes() for v in c], "least": float((x @ c.T).max(1).min())})
 

@@ -32,9 +32,9 @@ THETA, SEED = 0.5, 11
 MARK = "▁"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
 #: Texts are segmented together up to so many bytes; a longer text is taken in pieces of as many characters.
-BATCH = 1_500_000
-#: Lattices of so many distinct units are kept for the next texts, then forgotten.
-UNITS = 120_000
+BATCH = 800_000
+#: Lattices of so many distinct units are kept for a task's next texts, then forgotten.
+UNITS = 50_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,9 +109,9 @@ class Segmenter:
             self.bytes_of[i] = p.encode()
         for b, i in enumerate(v.byte_ids):
             self.bytes_of[i] = bytes([b])
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.cum, self.length, self.drawn = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.last = np.zeros(0, np.int64)
@@ -200,7 +200,7 @@ class Segmenter:
     def encode(self, keys: np.ndarray, texts: list[str]) -> list[np.ndarray]:
         """The sampled ids of each text; ``keys`` seed the rows."""
         if len(self.known) > UNITS:
-            self._forget()
+            self.forget()
         known, new = self.known, []
         flat: list[int] = []
         counts = np.zeros(len(texts), np.int64)
@@ -304,6 +304,7 @@ def encode_rows(docs: DataFrame, keep: list[str], key: str = "doc_id", path: str
                 [*(batch.column(i) for i in rest), lists, pa.array(sizes), pa.array(lossless, pa.bool_())],
                 [*(batch.schema.names[i] for i in rest), "ids", "n_ids", "lossless"],
             )
+        segmenter.forget()  # the worker lives on
 
     number = F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("__key")
     rows = docs.select(*keep, number, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
