@@ -27,13 +27,13 @@ BAND, QUERY_BLOCK, HEAD = 4096, 1024, 24
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and floor(scale * x) per component; one row per vec_id.
 
-    Vectors that are null, empty or hold a null or non-finite component take no part, nor do
-    rows without a vec_id.  Of rows that repeat a vec_id the smallest vector counts.
+    Vectors that are null or hold a null or non-finite component take no part, nor do rows
+    without a vec_id; an empty vector counts as zeros.  Of rows that repeat a vec_id the smallest vector counts.
     """
     x = F.col("embedding")
     usable = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     vector = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
-    rows = embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & usable)
+    rows = embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & usable)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 

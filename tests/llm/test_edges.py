@@ -28,6 +28,7 @@ VECTORS = [
     {"vec_id": 4, "embedding": None, "label": None},
     {"vec_id": None, "embedding": [0.1, 0.1], "label": 1},
     {"vec_id": 50, "embedding": [0.001, 0.0], "label": 1},
+    {"vec_id": 51, "embedding": [], "label": 1},
 ]
 
 
@@ -41,7 +42,7 @@ def test_odd_rows_and_clashing_columns(spark, make, name):
     if name.startswith("op5"):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows)
         # 128 * 128 + 64 * 64 for equal vectors; 0 * 128 for the last
-        assert got == [(0, 1, 1, 20480), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0)]
+        assert got == [(0, 1, 1, 20480), (0, 2, 50, 0), (0, 3, 51, 0), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 51, 0)]
     elif name.startswith("op6"):
         by = {r["conv_id"]: r for r in rows}
         assert set(by) == {1, None, -1} and by[1]["n_turns"] == 3
