@@ -36,12 +36,9 @@ def fixed_chunks(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame
 
 def boundary(text: str, at: int, reach: int) -> int:
     """The cut at or before ``at``: after the last occurrence of the best separator within reach."""
-    low = max(0, at - reach)
-    for separator in SEPARATORS:
-        found = text.rfind(separator, low, at)
-        if found >= 0:
-            return found + len(separator)
-    return at
+    window = text[max(0, at - reach) : at]
+    best = next((s for s in SEPARATORS if s in window), None)
+    return at if best is None else at - len(window) + window.rindex(best) + len(best)
 
 
 def stream_spans(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[int, int]]:
