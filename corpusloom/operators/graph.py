@@ -3,26 +3,19 @@
 from __future__ import annotations
 
 import ast
-import os
 import re
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.tables import cut
+
 # Fixed value: how an unresolved target is written.
 PENDING = "PENDING::"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of each edge, once: neighbour joins are then equalities."""
     one = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
@@ -35,11 +28,11 @@ def within(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     A level at a time; only nodes not seen before are expanded.
     """
     both = undirected(edges)
-    seen = _cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for level in range(1, depth + 1):
         step = front.join(both, front["id"] == both["a"]).select(F.col("b").alias("id")).distinct()
-        front = _cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)))
+        front = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(front)
         if front.isEmpty():
             break

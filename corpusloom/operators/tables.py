@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder, so that later plans read them and don't derive them again."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
+
+
 def ancestors(df: DataFrame, path: str) -> DataFrame:
     """One row for each folder above each path, and the path itself, as ``ancestor``."""
     parts = F.split(path, "/")
@@ -20,12 +35,13 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """1, 2, 3 ... along a total order, without one task for all rows.
 
     Rows are range-partitioned and sorted; each partition's count is all that is
-    gathered to find where it starts.
+    gathered to find where it starts.  They are written once with their places: a
+    second evaluation could draw other ranges.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    ranged = cut(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     ends = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     first = ends.select("__part", "__low", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))  # a row for each partition

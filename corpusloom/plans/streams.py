@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.tables import shared_folder
 from corpusloom.plans.registry import query
 from corpusloom.sources import readers, sinks
 from corpusloom.sources.entities import FILES_SQL, files, table, with_views
@@ -16,8 +15,7 @@ from corpusloom.streaming import ingest
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _streamed(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
