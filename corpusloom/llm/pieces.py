@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 0.5, 11
 MARK = "▁"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
-#: Texts are segmented together up to so many bytes; a longer text is taken in pieces of as many characters.
+#: Texts are segmented together up to so many bytes; a longer text goes in parts of as many characters.
 BATCH = 800_000
 #: Lattices of so many distinct units are kept for a task's next texts, then forgotten.
 UNITS = 50_000
@@ -198,7 +198,30 @@ class Segmenter:
             alpha[at] /= sums
 
     def encode(self, keys: np.ndarray, texts: list[str]) -> list[np.ndarray]:
-        """The sampled ids of each text; ``keys`` seed the rows."""
+        """The sampled ids of each text; ``keys`` seed the rows.  A very long text goes part by part."""
+        long = [i for i, t in enumerate(texts) if len(t) > BATCH]
+        if not long:
+            return self._encode(keys, texts, np.zeros(len(texts), np.int64))
+        out = self._encode(keys, ["" if len(t) > BATCH else t for t in texts], np.zeros(len(texts), np.int64))
+        for i in long:
+            parts = [self._encode(keys[i : i + 1], [part], np.array([place]))[0] for part, place in self._parts(texts[i])]
+            out[i] = np.concatenate(parts)
+        return out
+
+    @staticmethod
+    def _parts(text: str) -> Iterator[tuple[str, int]]:
+        """Runs of whole units of about BATCH characters, with the number of units before each."""
+        begin, end, before, n = 0, 0, 0, 0
+        for m in _UNITS.finditer(text):
+            if n and m.end() - begin > BATCH:
+                yield text[begin:end], before
+                begin, before, n = end, before + n, 0
+            end, n = m.end(), n + 1
+        if n:
+            yield text[begin:end], before
+
+    def _encode(self, keys: np.ndarray, texts: list[str], places: np.ndarray) -> list[np.ndarray]:
+        """``places``: the number of each text's first unit."""
         if len(self.known) > UNITS:
             self.forget()
         known, new = self.known, []
@@ -223,7 +246,7 @@ class Segmenter:
         cum, length, ids, last = self.cum, self.length, self.drawn, self.last
         unit = np.array(flat, np.int32)
         first = np.cumsum(counts) - counts
-        place = (np.arange(len(unit)) - np.repeat(first, counts)).astype(np.uint64)
+        place = (np.arange(len(unit)) + np.repeat(places - first, counts)).astype(np.uint64)
         row = _mix(keys.astype(np.int64).view(np.uint64) + self.seed * _ODD)
         state = _mix(np.repeat(row, counts) + place * _ODD)
         begins = np.r_[0, last[:-1] + 1]

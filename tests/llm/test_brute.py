@@ -299,6 +299,15 @@ def test_pieces_are_lossless_reproducible_and_drawn_by_weight():
         assert abs(drawn[way] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-4
 
 
+def test_a_text_in_parts_has_the_same_pieces(monkeypatch):
+    segmenter = pieces.Segmenter(pieces.load())
+    texts, keys = [" ".join(texts_with_copies(30)), "a b", "x" * 300 + "  y\n"], np.arange(3)
+    whole = segmenter.encode(keys, texts)
+    for size in (1, 50, 1000):
+        monkeypatch.setattr(pieces, "BATCH", size)
+        assert all((a == b).all() for a, b in zip(segmenter.encode(keys, texts), whole, strict=True))
+
+
 def test_decoding_rows(spark):
     rows = list(enumerate(texts_with_copies(30)))
     encoded = pieces.encode_rows(frame(spark, rows), ["doc_id"])
