@@ -126,3 +126,11 @@ def largest_billions(name: Column) -> Column:
     """The least "<n>b" size in a model name; null without one."""
     sizes = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+(?:\.\d+)?)b"), F.lit(1))
     return F.array_min(F.transform(sizes, lambda s: s.cast("double")))
+
+
+def cleaned_reply(text: Column, longest: int = 500_000) -> Column:
+    """A transcriber's reply without code fences and lead-in; empty where it is a comment on the image; cut to a bound."""
+    plain = F.regexp_replace(F.trim(text), r"(?s)^```[a-z]*\n(.*?)\n?```$", "$1")
+    plain = F.regexp_replace(plain, r"(?i)^(?:here is|here's|the text (?:reads|says)|transcription)[^\n:]{0,80}:\s*", "")
+    comment = plain.rlike(r"(?i)^(?:i (?:can(?:no|')t|am unable)|there is no text|no (?:readable |visible )?text|the image (?:shows|contains|is))")
+    return F.when(comment, "").otherwise(F.substring(F.trim(plain), 1, longest))

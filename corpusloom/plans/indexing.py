@@ -17,7 +17,7 @@ BLOCKED = ("/", "/bin", "/boot", "/dev", "/etc", "/lib", "/proc", "/sbin", "/sys
 RESULTS_HELD, ANSWERS_HELD = 500, 200
 
 
-def outputs(seen: DataFrame, known: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+def outputs(seen: DataFrame, known: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:  # P1, P2, P5
     """chunks and summaries of new and changed files, and all folder profiles."""
     fresh = scopes.change_state(known, seen).filter("state IN ('new', 'changed')").select("path")
     todo = seen.join(fresh, "path", "left_semi")
@@ -28,7 +28,7 @@ def outputs(seen: DataFrame, known: DataFrame, chunks: DataFrame) -> dict[str, D
     }
 
 
-def validated_folders(folders: list[str]) -> list[str]:
+def validated_folders(folders: list[str]) -> list[str]:  # D10
     """Absolute roots that are no system folder, each once, in order."""
     out = []
     for f in folders:
@@ -38,12 +38,12 @@ def validated_folders(folders: list[str]) -> list[str]:
     return out
 
 
-def same_model(stored: dict[str, str] | None, current: dict[str, str]) -> bool:
+def same_model(stored: dict[str, str] | None, current: dict[str, str]) -> bool:  # P10
     """Vectors of another model or width can't be searched with this one's."""
     return stored is None or all(stored.get(k) == v for k, v in current.items())
 
 
-class Engine:
+class Engine:  # R22, R26, R29
     """Retrieve, look up a chunk, count the corpus: plans over three tables.
 
     Rows of recent questions are held on the driver by (question, scope, generation);
@@ -80,7 +80,7 @@ class Engine:
         return analytics.tagged_counts(self.files)
 
 
-def agentic(question: str, decompose: Callable[[str], list[str]], retrieve: Callable[[str], list[tuple]], enough: Callable[[list[tuple]], bool], rounds: int = 3, budget: int = 6000) -> tuple[list[tuple], list[str]]:
+def agentic(question: str, decompose: Callable[[str], list[str]], retrieve: Callable[[str], list[tuple]], enough: Callable[[list[tuple]], bool], rounds: int = 3, budget: int = 6000) -> tuple[list[tuple], list[str]]:  # R20
     """Evidence (id, score, tokens) and a trace: sub-questions are asked until there is enough.
 
     It also ends when a round finds nothing new or the token budget is spent.  Retrieval

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from corpusloom.operators import retrieval as rt
 
 
-def recall_size(question: str, k: int) -> int:
+def recall_size(question: str, k: int) -> int:  # T10
     """Candidates of a leg: more for longer questions, twice k at least."""
     words = len(question.split())
     return max(20 if words <= 3 else 35 if words <= 8 else 50, 2 * k)
@@ -53,7 +53,7 @@ def hybrid(
     return rt.allocate(capped, k, "domain").select(F.col("slot").alias("rank"), "chunk_id", "file_id", "score")
 
 
-def with_fallback(leg: Callable[[], DataFrame], empty: DataFrame) -> DataFrame:
+def with_fallback(leg: Callable[[], DataFrame], empty: DataFrame) -> DataFrame:  # R6
     """A leg that can't be planned gives way to an empty one, so that the others still answer."""
     try:
         return leg()
@@ -61,7 +61,7 @@ def with_fallback(leg: Callable[[], DataFrame], empty: DataFrame) -> DataFrame:
         return empty
 
 
-def gated_rerank(found: DataFrame, rerank: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def gated_rerank(found: DataFrame, rerank: Callable[[DataFrame], DataFrame]) -> DataFrame:  # R28
     """Reranked rows; one row at most needs no reranking, and a failing model leaves the order, marked."""
     if found.limit(2).count() <= 1:
         return found.withColumn("degraded", F.lit(False))

@@ -74,3 +74,46 @@ def packed_nodes(spark: SparkSession, d: str) -> DataFrame:  # K17, J16: binary
     f, zero = files(spark, d), F.lit(0.0)
     nodes = f.select(F.col("file_id").alias("id"), "path", zero.alias("x"), zero.alias("y"), zero.alias("z"), F.sqrt(F.col("size") + 1).alias("radius"), F.lit(0).alias("parent"), F.lit(1).alias("kind"), F.size(F.split("path", "/")).alias("depth"))
     return sinks.packed_nodes(nodes)
+
+
+@query(
+    "csv_extract",
+    "SELECT 'n_nationkey: ' || n_nationkey || ', n_name: ' || n_name || ', n_regionkey: ' || n_regionkey AS line FROM nation",
+)
+def csv_extract(spark: SparkSession, d: str) -> DataFrame:  # S9, S16, S17: rows as "header: value" lines
+    out = _folder(spark, "csv")
+    sinks.export_csv(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), out)
+    found = readers.extract(readers.discover(spark, [out], ["csv"], content=True))
+    return found.select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+
+
+@query(
+    "history_append",
+    """SELECT event_id, user_id, false AS fresh FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 1000000 + c_custkey, c_custkey, true FROM customer WHERE c_custkey % 10 = 0""",
+)
+def history_append(spark: SparkSession, d: str) -> DataFrame:  # K9: event rows are only ever appended
+    out = _folder(spark, "history")
+    old = table(spark, d, "events").filter("event_id % 2 = 0").select("event_id", "user_id", F.lit(False).alias("fresh"))
+    new = table(spark, d, "customer").filter("c_custkey % 10 = 0").select((F.col("c_custkey") + 1000000).alias("event_id"), F.col("c_custkey").alias("user_id"), F.lit(True).alias("fresh"))
+    for rows in (old, new):
+        rows.write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
+@query("relevance_judgments", "SELECT CAST(doc_id AS VARCHAR) AS query, 'd' || (doc_id % 9) AS id, quality AS grade FROM labels WHERE quality > 0")
+def relevance_judgments(spark: SparkSession, d: str) -> DataFrame:  # S19
+    out = _folder(spark, "judgments")
+    rows = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("query"), F.concat(F.lit("d"), (F.col("doc_id") % 9).cast("string")).alias("id"), F.col("quality").alias("grade"))
+    rows.write.option("sep", "\t").option("header", True).csv(out)
+    return readers.judgments(spark, out)
+
+
+@query(
+    "page_results",
+    "SELECT CAST(event_id % 7 - 1 AS INTEGER) AS page, event_type AS text FROM events WHERE event_id % 7 - 1 >= 0 AND event_id % 5 <> 0",
+)
+def page_results(spark: SparkSession, d: str) -> DataFrame:  # S18: broken lines and negative pages are dropped
+    out = _folder(spark, "pages")
+    good = F.to_json(F.struct((F.col("event_id") % 7 - 1).cast("int").alias("page"), F.col("event_type").alias("text")))
+    table(spark, d, "events").select(F.when(F.col("event_id") % 5 == 0, "{broken").otherwise(good).alias("line")).write.text(out)
+    return readers.ndjson(spark, out, "page int, text string")

@@ -233,3 +233,13 @@ def json_summary(spark: SparkSession, d: str) -> DataFrame:  # C13, C14
 def file_summaries(spark: SparkSession, d: str) -> DataFrame:  # C10, C11, C15
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
     return summaries.summarise(files(spark, d).select("file_id", "path", "type").join(docs, "file_id"))
+
+
+@query(
+    "cleaned_replies",
+    """SELECT conv_id, turn, CASE conv_id % 4 WHEN 3 THEN md5('') ELSE md5(trim(replace(text, chr(10), ' '))) END AS digest FROM conversations""",
+)
+def cleaned_replies(spark: SparkSession, d: str) -> DataFrame:  # C18
+    flat, n = F.replace("text", F.lit("\n"), F.lit(" ")), F.col("conv_id") % 4
+    reply = F.when(n == 0, F.concat(F.lit("```text\n"), flat, F.lit("\n```"))).when(n == 1, F.concat(F.lit("Here is the transcription: "), flat)).when(n == 2, flat).otherwise(F.concat(F.lit("There is no text. "), flat))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(tx.cleaned_reply(reply).cast("binary")).alias("digest"))

@@ -27,7 +27,7 @@ SNIFFED, JSON_PRETTY, ARCHIVE_BYTES, ARCHIVE_RATIO = 8192, 500_000, 100 * 1024 *
 _BOMS = ((b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
 
-def discover(spark: SparkSession, roots: list[str], extensions: list[str], content: bool = False) -> DataFrame:
+def discover(spark: SparkSession, roots: list[str], extensions: list[str], content: bool = False) -> DataFrame:  # S1-S3
     """Files below the roots with one of the extensions (all, if none is given), hidden names skipped.
 
     path, size, modified_at, type; with ``content`` the bytes too (column pruning keeps
@@ -62,14 +62,14 @@ def plain_text(data: bytes) -> str:
     return f"[BINARY: {len(data)} bytes]" if looks_binary(data) else decode(data)
 
 
-def csv_text(data: bytes) -> str:
+def csv_text(data: bytes) -> str:  # S9
     """A "header: value, ..." line for each row, blank cells left out."""
     rows = csv.reader(io.StringIO(decode(data), newline=""))
     head = next(rows, [])
     return "\n".join(", ".join(f"{h}: {v}" for h, v in zip(head, row, strict=False) if v.strip()) for row in rows if any(v.strip() for v in row))
 
 
-def json_text(data: bytes) -> str:
+def json_text(data: bytes) -> str:  # S10
     text = decode(data)
     if len(data) > JSON_PRETTY:
         return text
@@ -79,7 +79,7 @@ def json_text(data: bytes) -> str:
         return text
 
 
-def archive(data: bytes) -> zipfile.ZipFile:
+def archive(data: bytes) -> zipfile.ZipFile:  # S16
     """The archive, unless what it declares is too large or too dense."""
     z = zipfile.ZipFile(io.BytesIO(data))
     declared = sum(i.file_size for i in z.infolist())
@@ -101,7 +101,7 @@ def _own_text(e: ElementTree.Element, leaf: str = "t") -> str:
     return "".join(x.text or "" for x in e.iter() if _tag(x) == leaf)
 
 
-def xlsx_text(data: bytes) -> str:
+def xlsx_text(data: bytes) -> str:  # S11
     """"--- Sheet: name ---" and "a | b" rows of each sheet."""
     z = archive(data)
     shared = [_own_text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
@@ -120,7 +120,7 @@ def xlsx_text(data: bytes) -> str:
     return "\n".join(out)
 
 
-def docx_text(data: bytes) -> str:
+def docx_text(data: bytes) -> str:  # S12
     """Paragraphs and tables in order, headings marked by level."""
     z, out = archive(data), []
 
@@ -143,7 +143,7 @@ def docx_text(data: bytes) -> str:
     return "\n".join(out)
 
 
-def pptx_text(data: bytes) -> str:
+def pptx_text(data: bytes) -> str:  # S13
     """"--- Slide n ---", its shapes' lines, and its notes."""
     z, out = archive(data), []
     for i, part in enumerate(_parts(z, r"ppt/slides/slide(\d+)\.xml"), 1):
@@ -164,7 +164,7 @@ def stripped(html: str) -> str:
     return " ".join(entities.unescape(re.sub(r"<[^>]+>", " ", text)).split())
 
 
-def epub_text(data: bytes) -> str:
+def epub_text(data: bytes) -> str:  # S14
     """Chapters of over 50 characters in the order of the spine."""
     z = archive(data)
     root = ElementTree.fromstring(z.read("META-INF/container.xml"))
@@ -183,7 +183,7 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
 }
 
 
-def extract(files: DataFrame, more: dict[str, Callable[[bytes], str]] | None = None, largest: int = 50_000_000) -> DataFrame:
+def extract(files: DataFrame, more: dict[str, Callable[[bytes], str]] | None = None, largest: int = 50_000_000) -> DataFrame:  # S7, S8, S15, S17
     """path, type, sha256 and text of files read with their bytes.
 
     Extractors of ``more`` come first; other files are plain text.  Failures and files
@@ -208,12 +208,12 @@ def extract(files: DataFrame, more: dict[str, Callable[[bytes], str]] | None = N
     return named.mapInPandas(run, "path string, type string, sha256 string, text string")
 
 
-def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:  # S18
     """Well-formed lines of page results; negative pages are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter("page >= 0")
 
 
-def judgments(spark: SparkSession, path: str) -> DataFrame:
+def judgments(spark: SparkSession, path: str) -> DataFrame:  # S19
     """query, id and grade of a tab-separated relevance file with a header; grades over 0."""
     rows = spark.read.option("sep", "\t").option("header", True).schema("query string, id string, grade int").csv(path)
     return rows.filter("grade > 0")
