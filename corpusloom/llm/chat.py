@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, table
+from corpusloom.llm.common import slices, table, texts_to_python
 
 #: Strings that steer a chat model; a text that holds one is escaped.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>")
@@ -89,7 +89,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), empty("role"), empty("text"))
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, piece string")
+    return texts_to_python(rows).mapInArrow(run, "conv_id long, turn long, role string, text string, piece string")
 
 
 class _Digest:
@@ -146,7 +146,7 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), DIGEST, strict=True)], schema=DIGEST)
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "piece").mapInArrow(
+    return texts_to_python(ordered).select("conv_id", "piece").mapInArrow(
         run,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )

@@ -50,6 +50,18 @@ def text_key(column: str) -> list[Column]:
     return [F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(7), text).alias("key2")]
 
 
+#: Rows of an Arrow batch of whole texts; Spark's default of 10,000 would hold tens of MB on both sides of each task.
+BATCH_ROWS = 500
+
+
+def texts_to_python(df: DataFrame) -> DataFrame:
+    """``df`` unchanged, after lowering its session's Arrow batch size to BATCH_ROWS (a smaller one stays)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one slice stay near ``budget`` bytes."""
     for batch in batches:

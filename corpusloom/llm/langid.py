@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_crc_mod, slices, table
+from corpusloom.llm.common import id_crc_mod, slices, table, texts_to_python
 from corpusloom.llm.grams import codes_of, hashed
 
 BITS, SIZES = 14, (1,2,3,4)
@@ -99,7 +99,7 @@ def fit(rows: DataFrame) -> Model | None:
         yield pa.record_batch([lang, cell, n], ["lang", "cell", "n"])
 
     rows = rows.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, cell long, n long")
+    counts = texts_to_python(rows).select("text", "lang").mapInArrow(count, "lang string, cell long, n long")
     counts = counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()  # n-gram cells and languages
     per_lang = {r["lang"]: r["n"] for r in counts if r["cell"] < 0}
     if not per_lang:
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], prefix: str =
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
-    return rows.mapInArrow(run, f"{types}, {prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean")
+    return texts_to_python(rows).mapInArrow(run, f"{types}, {prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import broadcast_if_small, checkpointed, slices, table, text_key
+from corpusloom.llm.common import broadcast_if_small, checkpointed, slices, table, text_key, texts_to_python
 from corpusloom.llm.components import connected_components
 
 SHINGLE, SEED, CHUNK = 3, 42, 1 << 16
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    return rows.mapInArrow(run, f"{types}, fp long")
+    return texts_to_python(rows).mapInArrow(run, f"{types}, fp long")
 
 
 def linked_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, table
+from corpusloom.llm.common import slices, table, texts_to_python
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Sharpness of the piece distribution: 1 samples by piece probability, 0 uniformly over segmentations.
@@ -32,9 +32,9 @@ THETA, SEED = 0.5, 11
 MARK = "▁"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
 #: Texts are segmented together up to so many bytes; a longer text goes in parts of as many characters.
-BATCH = 800_000
+BATCH = 500_000
 #: Lattices of so many distinct units are kept for a task's next texts, then forgotten.
-UNITS = 50_000
+UNITS = 30_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -332,7 +332,7 @@ def encode_rows(docs: DataFrame, keep: list[str], key: str = "doc_id", path: str
     number = F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("__key")
     rows = docs.select(*keep, number, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text", "__key").schema)
-    return rows.mapInArrow(run, f"{types}, ids array<int>, n_ids long, lossless boolean")
+    return texts_to_python(rows).mapInArrow(run, f"{types}, ids array<int>, n_ids long, lossless boolean")
 
 
 def decode_rows(encoded: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
@@ -349,7 +349,7 @@ def decode_rows(encoded: DataFrame, keep: list[str], path: str = MODEL) -> DataF
 
     rows = encoded.select(*keep, F.col("ids").alias("__ids"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__ids").schema)
-    return rows.mapInArrow(run, f"{types}, text string")
+    return texts_to_python(rows).mapInArrow(run, f"{types}, text string")
 
 
 def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

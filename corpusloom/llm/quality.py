@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import broadcast_if_small, id_crc_mod, slices, table
+from corpusloom.llm.common import broadcast_if_small, id_crc_mod, slices, table, texts_to_python
 from corpusloom.llm.grams import codes_of, hashed
 
 BITS, SIZES = 16, (1, 2, 3, 4)
@@ -127,7 +127,7 @@ def fit(labelled: DataFrame) -> Model | float:
             cell, n = np.append(cells, -1), np.append(seen[label][cells], rows[label])
             yield pa.record_batch([pa.array(np.full(len(cell), label)), pa.array(cell), pa.array(n)], ["label", "cell", "n"])
 
-    counts = labelled.select("text", "quality").mapInArrow(count, "label long, cell long, n long")
+    counts = texts_to_python(labelled).select("text", "quality").mapInArrow(count, "label long, cell long, n long")
     counts = counts.groupBy("label", "cell").agg(F.sum("n").alias("n")).toPandas()  # two rows for a cell at most
     by_class = np.full((2, 1 << BITS), SMOOTHING)
     inner = counts[counts["cell"] >= 0]
@@ -186,7 +186,7 @@ def scored(docs: DataFrame, model: Model | float, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*keep, "text")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    return rows.mapInArrow(run, f"{types}, score double")
+    return texts_to_python(rows).mapInArrow(run, f"{types}, score double")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpointed, slices, table
+from corpusloom.llm.common import checkpointed, slices, table, texts_to_python
 
 #: Kinds in the order of the output; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "pem", "url", "jwt")
@@ -79,7 +79,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
-    return rows.mapInArrow(run, f"{types}, {_FIELDS}")
+    return texts_to_python(rows).mapInArrow(run, f"{types}, {_FIELDS}")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
