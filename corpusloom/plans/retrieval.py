@@ -179,14 +179,14 @@ def pack_context(spark: SparkSession, d: str) -> DataFrame:  # R11, R13, W15: ea
 @query(
     "parent_window",
     with_views(CHUNKS_SQL)
-    + """, h AS (SELECT chunk_id AS hit_id, file_id, greatest(0, ("start" + "end") // 2 - 1536) AS s, ("start" + "end") // 2 + 1536 AS e FROM chunks WHERE chunk_id % 5 = 0),
+    + """, h AS (SELECT chunk_id AS hit_id, file_id, greatest(0, ("start" + "end") // 2 - 1536) AS s, ("start" + "end") // 2 + 1536 AS e FROM chunks),
 n AS (SELECT h.hit_id, c."start", c."end", c.text, h.s, h.e FROM h JOIN chunks c ON c.file_id = h.file_id AND c."start" < h.e AND c."end" > h.s),
 l AS (SELECT *, greatest("start", s, coalesce(max("end") OVER (PARTITION BY hit_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)) AS lead, least("end", e) AS upto FROM n)
 SELECT hit_id, md5(string_agg(substr(text, lead - "start" + 1, upto - lead), '' ORDER BY "start")) AS parent_md5 FROM l WHERE upto > lead GROUP BY hit_id""",
 )
 def parent_window(spark: SparkSession, d: str) -> DataFrame:  # R9, W16
     c = chunks(spark, d)
-    hits = c.filter("chunk_id % 5 = 0").select(F.col("chunk_id").alias("hit_id"), "file_id", "start", "end")
+    hits = c.select(F.col("chunk_id").alias("hit_id"), "file_id", "start", "end")
     return rt.parent_windows(hits, c, 3072).select("hit_id", F.md5(F.col("parent_text").cast("binary")).alias("parent_md5"))
 
 
