@@ -21,7 +21,6 @@ from corpusloom.llm.common import broadcast_if_small, checkpointed, table, text_
 
 #: Kinds in the order of the output; the first four are the base kinds.  The possessive forms
 #: and look-behinds match what the plain patterns match, without backtracking over long runs.
-#: An ``md5`` run or the like cannot start a match in its middle.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
