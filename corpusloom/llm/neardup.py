@@ -79,8 +79,10 @@ def linked_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, ``fp`` and ``component_id``, the smallest doc_id reachable over links.
+    """``keep`` columns, ``fp``, ``component`` and ``component_id``, the smallest doc_id reachable over links.
 
+    ``component`` is a fingerprint of the component, never null and of no other one; doc_ids may be
+    null or repeated, so component_id need not tell components apart.
     Works on distinct fingerprints, so a group of copies of any size is one node.
     Null, empty and word-free texts have fingerprint 0 and are linked like any other.
     Null doc_ids never name a component unless it holds no other (then null).
@@ -92,7 +94,7 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     named = nodes.join(components, nodes["fp"] == components["node"], "left")
     named = named.select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
+    named = named.join(least, "component").select("fp", "component", "component_id")
     return rows.join(named, "fp")
 
 
@@ -113,12 +115,11 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs.select("doc_id", *text_key("text"), "text"), ["doc_id", "key1", "key2"])
     ids = ["doc_id", "key1", "key2"]
-    rows = found.groupBy("component_id", *ids).agg(F.count("*").alias("copies"))
-    best = rows.groupBy("component_id").agg(
+    rows = found.groupBy("component", *ids).agg(F.count("*").alias("copies"))
+    best = rows.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("null"), *ids)).alias("best")
     )
-    best = best.select(F.col("component_id").alias("__component"), "best")
-    judged = rows.join(best, F.col("component_id").eqNullSafe(F.col("__component")))
+    judged = rows.join(best, "component")
     stays = F.struct(*ids).eqNullSafe(F.struct(*[F.col("best")[c].alias(c) for c in ids]))
     judged = judged.select(*ids, "copies", stays.alias("stays"))
     judged = checkpointed(judged)

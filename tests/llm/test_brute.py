@@ -118,6 +118,14 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == [("0", "a b c d e"), ("3", texts[3]), ("None", "None")]
 
 
+def test_unlinked_texts_with_null_or_equal_ids_stay(spark):
+    texts = ["a b c d e", "other words entirely here now", "a third text of its own", "and a fourth one beside it"]
+    assert min((simhash(a) ^ simhash(b)).bit_count() for a in texts for b in texts if a != b) > 2
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[1]), (5, texts[3]), (7, texts[3])]
+    kept = neardup.without_near_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(i), t) for i, t in rows[:4])
+
+
 # ---- decontamination
 
 
