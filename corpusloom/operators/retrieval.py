@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -184,27 +185,33 @@ def without_repeats(df: DataFrame, cap: int = 100) -> DataFrame:
 def without_overlaps(df: DataFrame, share: float = 0.7) -> DataFrame:
     """Greedy by pos: a span that overlaps a kept one of its path by the share of the shorter is dropped.
 
-    Which rows stay depends on which stayed before, so each query's list, which
-    retrieval bounds, is walked in order.
+    Which rows stay depends on which stayed before.  Spans only clash within a path, so the
+    rows of each query and path are streamed in order of pos; only kept spans are held.
     """
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, held, keep = rows.sort_values("pos"), {}, []
-        for path, a, b in zip(rows["path"], rows["start"], rows["end"], strict=True):
-            spans = held.setdefault(path, [])
-            clash = any(max(0, min(b, d) - max(a, c)) / max(1, min(b - a, d - c)) >= share for c, d in spans)
-            keep.append(not clash)
-            if not clash:
-                spans.append((a, b))
-        return rows[keep]
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, spans = None, []
+        for batch in batches:
+            keep = []
+            for query, path, a, b in zip(*(batch.column(c).to_pylist() for c in ("query", "path", "start", "end")), strict=True):
+                if (query, path) != now:
+                    now, spans = (query, path), []
+                clash = any(max(0, min(b, d) - max(a, c)) / max(1, min(b - a, d - c)) >= share for c, d in spans)
+                keep.append(not clash)
+                if not clash:
+                    spans.append((a, b))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.groupBy("query").applyInPandas(walk, df.schema)
+    return df.repartition("query", "path").sortWithinPartitions("query", "path", "pos").mapInArrow(walk, df.schema)
 
 
 def packed(df: DataFrame, budget: int) -> DataFrame:
     """Snippets of each query cut to a token budget: each takes half of what is left at most, 32 tokens at least.
 
     Columns query, pos, text; adds ``tokens`` given to each and drops rows that get none.
+    While tokens are left every row takes all it needs or 32 at least, so a row is only reached
+    if the rows before it need less than the budget at 32 each: ``budget`` rows a query at most.
+    No text gives more than ``budget`` tokens, so only that much of it is handed on.
     """
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +225,11 @@ def packed(df: DataFrame, budget: int) -> DataFrame:
         return rows[rows["tokens"] > 0].assign(text=lambda r: [t[: 4 * n] for t, n in zip(r["text"], r["tokens"], strict=True)])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy("query").applyInPandas(fill, f"{fields}, tokens long")
+    before = Window.partitionBy("query").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    least = F.least(F.greatest(F.lit(1), F.floor(F.length("text") / 4)), F.lit(32))
+    df = df.withColumns({"__least": least, "text": F.substring("text", 1, 4 * budget)})
+    reached = df.withColumn("__before", F.coalesce(F.sum("__least").over(before), F.lit(0))).filter(F.col("__before") < budget)
+    return reached.drop("__least", "__before").groupBy("query").applyInPandas(fill, f"{fields}, tokens long")
 
 
 def context_budget(window: Column, cap: Column, question: Column, turns: Column) -> Column:

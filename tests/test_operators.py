@@ -106,6 +106,51 @@ def test_greedy_spans_and_packing(spark):
     assert sum(r["tokens"] for r in packed) <= 1000 and [r["tokens"] for r in sorted(packed, key=lambda r: r["pos"])][:3] == [500, 250, 125]
 
 
+def packed_plainly(texts, budget):
+    given, left = [], budget
+    for t in texts:
+        given.append(min(max(1, len(t) // 4), max(32, left // 2), left))
+        left -= given[-1]
+    return [(i, t[: 4 * n], n) for i, (t, n) in enumerate(zip(texts, given, strict=True)) if n]
+
+
+def rows_into_python(df):
+    """Rows that the grouped Python step of a plan takes in, read from the plan under it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while "FlatMapGroups" not in plan.nodeName():
+        plan = plan.children().head()
+    jvm = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset
+    return jvm.ofRows(df.sparkSession._jsparkSession, plan.children().head()).count()
+
+
+def test_packing_takes_no_rows_beyond_the_budget(spark):
+    rng, rows, want = random.Random(4), [], set()
+    for q in range(12):
+        texts = ["é" * rng.choice([0, 3, 9, 100, 130, 900, 9000]) for _ in range(rng.choice([3, 90, 300]))]
+        rows += [(q, i, t) for i, t in enumerate(texts)]
+        want |= {(q, *x) for x in packed_plainly(texts, 200)}
+    rows += [(99, i, "") for i in range(700)]
+    want |= {(99, i, "", 1) for i in range(200)}
+    got = retrieval.packed(spark.createDataFrame(rows, "query int, pos int, text string"), 200)
+    assert set(map(tuple, got.collect())) == want
+    assert rows_into_python(got) < len(rows) / 2
+
+
+def test_spans_of_a_path_are_streamed(spark):
+    rng = random.Random(8)
+    rows = [(q, p, rng.choice("fgh"), a, a + rng.randrange(1, 90)) for q in range(5) for p in range(80) for a in [rng.randrange(300)]]
+    want, held = [], defaultdict(list)
+    for q, p, f, a, b in sorted(rows):
+        if not any(max(0, min(b, d) - max(a, c)) / max(1, min(b - a, d - c)) >= 0.7 for c, d in held[q, f]):
+            held[q, f].append((a, b))
+            want.append((q, p))
+    rng.shuffle(rows)
+    kept = retrieval.without_overlaps(spark.createDataFrame(rows, "query int, pos int, path string, start int, end int"))
+    assert sorted((r["query"], r["pos"]) for r in kept.collect()) == want
+    plan = kept._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "hashpartitioning(query" in plan and "path" in plan.split("hashpartitioning(")[1].split(")")[0]
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([(1, 0, 10), (1, 5, 15), (1, 20, 30), (1, 30, 40), (2, 3, 3)], "k int, a int, b int")
     assert [tuple(r) for r in analytics.interval_union(df, ["k"], "a", "b").collect()] == [(1, 35)]
