@@ -11,7 +11,7 @@ fingerprints can share a variant.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -68,9 +68,10 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def linked_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b): links within ``bits`` (even; variants within half of it) that connect all linked fingerprints."""
-    if bits != 2:
-        raise ValueError("variants are emitted for a radius of two bits")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(v - (1 << 64) if v >> 63 else v).cast("long") for v in (1 << i for i in range(64))])
+    if bits < 0 or bits % 2:
+        raise ValueError("variants are emitted for an even radius")
+    masks = [sum(1 << i for i in places) for n in range(bits // 2 + 1) for places in combinations(range(64), n)]
+    flips = F.lit(np.array(masks, np.uint64).view(np.int64))
     variants = fps.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
     pairs = variants.select("fp", before.alias("b")).filter("b IS NOT NULL AND b <> fp")
@@ -78,7 +79,7 @@ def linked_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
 
 
-def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: list[str], bits: int = 2) -> DataFrame:
     """``keep`` columns, ``fp``, ``component`` and ``component_id``, the smallest doc_id reachable over links.
 
     ``component`` is a fingerprint of the component, never null and of no other one; doc_ids may be
@@ -90,7 +91,7 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     rows = checkpointed(fingerprints(docs, keep))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    components = connected_components(linked_pairs(nodes.select("fp")))
+    components = connected_components(linked_pairs(nodes.select("fp"), bits))
     named = nodes.join(components, nodes["fp"] == components["node"], "left")
     named = named.select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -108,12 +109,12 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 BROADCAST_IDS = 500_000
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component stays: its smallest doc_id.
 
     Of rows that share that doc_id the first by text key stays, once.
     """
-    found = near_duplicates(docs.select("doc_id", *text_key("text"), "text"), ["doc_id", "key1", "key2"])
+    found = near_duplicates(docs.select("doc_id", *text_key("text"), "text"), ["doc_id", "key1", "key2"], bits)
     ids = ["doc_id", "key1", "key2"]
     rows = found.groupBy("component", *ids).agg(F.count("*").alias("copies"))
     best = rows.groupBy("component").agg(

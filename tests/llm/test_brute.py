@@ -111,6 +111,23 @@ def test_chains_of_two_bit_links(spark):
     assert {r["node"] & (1 << 64) - 1 for r in found} == set(fps) and len({r["component"] for r in found}) == 1
 
 
+@pytest.mark.parametrize("bits", [0, 2, 4])
+def test_links_of_any_even_radius(spark, bits):
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) for _ in range(12)]
+    for _ in range(60):
+        fp = rng.choice(fps)
+        for place in rng.sample(range(64), rng.randrange(1, 7)):
+            fp ^= 1 << place
+        fps.append(fp)
+    fps = sorted(set(fps))
+    want = groups(fps, lambda a, b: (a ^ b).bit_count() <= bits)
+    links = neardup.linked_pairs(frame(spark, [(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long"), bits).collect()
+    pairs = {frozenset((r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1)) for r in links}
+    assert all((a ^ b).bit_count() <= bits for a, b in pairs)
+    assert groups(fps, lambda a, b: frozenset((a, b)) in pairs) == want
+
+
 def test_one_row_of_each_group_stays(spark):
     texts = ["a b c d e"] * 3 + ["other words entirely here now"]
     rows = [*enumerate(texts), (0, "a b c d e"), (None, "a b c d e"), (None, None), (None, None)]
