@@ -25,17 +25,19 @@ BAND, QUERY_BLOCK, HEAD = 4096, 1024, 24
 
 
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and floor(scale * x) per component; one row per vec_id.
+    """vec_id and floor(scale * x) per component; one row for each vec_id and embedding.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows
-    without a vec_id; an empty vector counts as zeros.  Of rows that repeat a vec_id the smallest vector counts.
+    without a vec_id; an empty vector counts as zeros.  Rows that repeat a vec_id
+    with another embedding stay; exact copies of a row count once.
     """
     x = F.col("embedding")
     usable = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     vector = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
     rows = embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & usable)
+    rows = rows.select("vec_id", "embedding").distinct()
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.select("vec_id", "vector")
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -129,7 +131,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int | None
     ``vectors`` and ``queries`` are (vec_id, vector of long).  A query's own vec_id is
     no candidate; ties go to the smaller vec_id; with fewer candidates all are
     returned.  Vectors of unequal width count as padded with zeros; without
-    vectors or queries there are no rows.  Work goes by (block of queries, band of
+    vectors or queries there are no rows.  Repeated vec_ids are candidates each, and
+    as queries share one list.  Work goes by (block of queries, band of
     vectors): no task holds more than one of each.
     """
     vectors = checkpointed(vectors)
@@ -162,7 +165,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int | None
     unbounded = blocks_of.withColumn("bounds", F.lit(None).cast("binary"))
     first = checkpointed(pairs(bands_of.filter(F.col("band") == longest), unbounded, F.array(F.lit(longest))))
 
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
+    # a vec_id with several vectors has the best k of each here; its own k-th best is the bound
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") == k).select("query_id", F.col("score").alias("least"))
     owners = blocks_of.select("block", "ids")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,7 +185,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int | None
     bounded = blocks_of.join(bounds, "block")
     others = F.array_remove(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long")), int(longest))
     rest = pairs(bands_of.filter(F.col("band") != longest), bounded, others)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = first.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 

@@ -36,3 +36,17 @@ def test_fewer_candidates_than_k(spark):
     rows = spark.createDataFrame([(0, [1, 2]), (1, [3])], "vec_id long, vector array<long>")
     got = sorted(map(tuple, topk.top_k(rows, rows.filter("vec_id = 0"), 5).collect()))
     assert got == [(0, 1, 1, 3)]
+
+
+def test_repeated_ids_with_different_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BAND", 20)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(c) for c in rng.normal(size=4)]) for i in [*range(0, 60), *range(0, 60, 4)]]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    x = [(i, np.floor(256 * np.array(e)).astype(np.int64)) for i, e in rows]
+    want = set()
+    for q in range(0, 60, 10):
+        best = sorted((-int(a @ b), j) for i, a in x if i == q for j, b in x if j != q)[:5]
+        want |= {(q, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert set(map(tuple, topk.top_k(v, v.filter(F.col("vec_id") % 10 == 0), 5).collect())) == want
