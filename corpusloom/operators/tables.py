@@ -12,8 +12,18 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Only a local master, where driver and tasks are one process, falls back on a temporary
+    folder; on a cluster the setting must name a folder that all machines see.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -83,17 +93,28 @@ def newest(df: DataFrame, by: str, n: int) -> DataFrame:
     return df.join(F.broadcast(cutoff), F.col(by) >= F.col("__cut")).drop("__cut")  # one row
 
 
+def running_total(df: DataFrame, size: str, number: str, name: str, bucket: int = 4096) -> DataFrame:
+    """``name``: the sum of ``size`` over all rows up to each one by ``number`` (1, 2, 3 ...).
+
+    Sums go by buckets, and sums of buckets by buckets of buckets, so a window never
+    holds more than ``bucket`` rows, up to bucket ** 3 rows in all.
+    """
+    rows = df.withColumn("__b", F.floor(F.col(number) / bucket)).withColumn("__c", F.floor(F.col("__b") / bucket))
+    low = rows.groupBy("__c", "__b").agg(F.sum(size).alias("__s"))
+    high = low.groupBy("__c").agg(F.sum("__s").alias("__s"))
+    before = lambda of: F.coalesce(F.sum("__s").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    high = high.select("__c", before(Window.orderBy("__c")).alias("__high"))  # a row for bucket ** 2 rows
+    low = low.select("__c", "__b", before(Window.partitionBy("__c").orderBy("__b")).alias("__low"))
+    run = rows.join(low.join(high, "__c"), ["__c", "__b"])
+    own = Window.partitionBy("__c", "__b").orderBy(number)
+    total = F.col("__high") + F.col("__low") + F.sum(size).over(own)
+    return run.withColumn(name, total).drop("__b", "__c", "__high", "__low")
+
+
 def evict(df: DataFrame, size: str, order: list[Column], limit: int) -> DataFrame:
     """The newest rows (``order``: oldest last) whose sizes add up to the limit at most."""
-    held = numbered(df, order, "__rn")
-    bucket = F.floor(F.col("__rn") / 1024)
-    rows = held.withColumn("__b", bucket)
-    sums = rows.groupBy("__b").agg(F.sum(size).alias("__s"))
-    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("__b", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__before"))  # a row for 1024 rows
-    own = Window.partitionBy("__b").orderBy("__rn")
-    run = rows.join(before, "__b").withColumn("__total", F.col("__before") + F.sum(size).over(own))
-    return run.filter(F.col("__total") <= limit).drop("__rn", "__b", "__before", "__total")
+    run = running_total(numbered(df, order, "__rn"), size, "__rn", "__total")
+    return run.filter(F.col("__total") <= limit).drop("__rn", "__total")
 
 
 def write_state(df: DataFrame, path: str) -> DataFrame:
