@@ -3,9 +3,10 @@
 Vectors go in bands of descending length.  An orthogonal rotation from the SVD of
 all vectors moves most of their length into the first coordinates, so a partial
 inner product over these plus the Cauchy-Schwarz bound on the rest decides most
-pairs.  The k-th best score within the longest band is each query's first bound;
-a band whose greatest length cannot reach it is skipped, a vector whose bound
-cannot reach it is dropped, and only the rest is scored, in integers.
+pairs.  Bands are searched in rounds, the longest first; after each round every
+query's k-th best score so far is its bound.  A band whose greatest length cannot reach
+the bounds of a block of queries is not sent to it, a vector whose partial sum and
+residual cannot reach a query's bound is dropped, and only the rest is scored.
 """
 
 from __future__ import annotations
@@ -19,25 +20,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import checkpointed, table
+from corpusloom.llm.common import broadcast_if_small, checkpointed, table
 
-BAND, QUERY_BLOCK, HEAD = 4096, 1024, 24
+#: Vectors of a band and queries of a block, which one task holds; vectors scored between two looks at the bounds.
+BAND, QUERY_BLOCK, STEP = 16_384, 8192, 1024
+#: Coordinates of the partial sums.
+HEAD = 24
+#: Pairs of a block and a band (16 bytes each) up to so many are broadcast.
+BROADCAST_PAIRS = 500_000
+#: Each round takes so many times the bands of all rounds before.
+GROWTH = 3
 
 
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and floor(scale * x) per component; one row for each vec_id and embedding.
+    """vec_id and floor(scale * x) per component, for every usable row.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows
-    without a vec_id; an empty vector counts as zeros.  Rows that repeat a vec_id
-    with another embedding stay; exact copies of a row count once.
+    without a vec_id; an empty vector counts as zeros.  Rows that repeat a vec_id or are
+    exact copies stay, each a candidate of its own.
     """
     x = F.col("embedding")
     usable = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     vector = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
     rows = embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & usable)
-    rows = rows.select("vec_id", "embedding").distinct()
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
-    return rows.select("vec_id", "vector")
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -66,127 +72,146 @@ def _rotation(vectors: DataFrame, width: int) -> np.ndarray:
     return rotation[:, np.argsort(-values)]
 
 
-def _packed(rows: DataFrame, block: str, width: int) -> DataFrame:
-    """One row for each block of a range-partitioned table: ids and vectors in binary, greatest length."""
+def _packed(rows: DataFrame, block: str, width: int, kind: str) -> DataFrame:
+    """One row for each range partition: ids, vectors (longest first) and their lengths in binary, and the greatest length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
         if held:
-            rows = pd.concat(held).sort_values("vec_id")
+            rows = pd.concat(held)
             x = _matrix(rows["vector"], width)
-            length = float(np.sqrt((x.astype(float) ** 2).sum(1).max()))
-            yield pd.DataFrame(
-                {block: [int(rows[block].iloc[0])], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "data": [x.tobytes()], "longest": [length]}
-            )
+            lengths = np.sqrt((x.astype(float) ** 2).sum(1))
+            order = np.lexsort((rows["vec_id"], -lengths))
+            parts = {"ids": rows["vec_id"].to_numpy(np.int64)[order], "data": x[order].astype(kind), "lengths": lengths[order]}
+            yield pd.DataFrame({block: [int(rows[block].iloc[0])], **{k: [v.tobytes()] for k, v in parts.items()}, "longest": [float(lengths.max())]})
 
     rows = rows.withColumn(block, F.spark_partition_id().cast("long"))
-    return rows.mapInPandas(run, f"{block} long, ids binary, data binary, longest double")
+    return rows.mapInPandas(run, f"{block} long, ids binary, data binary, lengths binary, longest double")
 
 
-def _unpack(row: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"].iloc[0], np.int64), np.frombuffer(row["data"].iloc[0], np.int64).reshape(-1, width)
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores, ties to the smaller id."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        keep = np.flatnonzero(scores >= least)
+    else:
+        keep = np.arange(len(scores))
+    return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
-    """The k greatest (score, -id); ids ascend, so a stable sort settles ties."""
-    keep = np.flatnonzero((ids != own) & (scores >= least))
-    if len(keep) > k:
-        at = np.partition(scores[keep], len(keep) - k)[len(keep) - k]
-        keep = np.concatenate([keep[scores[keep] > at], keep[scores[keep] == at][:k]])
-    order = np.lexsort((ids[keep], -scores[keep]))[:k]
-    return [(int(scores[keep[j]]), int(ids[keep[j]])) for j in order]
+def _scan(rotation: np.ndarray, head: int, k: int, width: int, kind: str, exact: type):
+    """Of one block of queries and one band of vectors: each query's best k that reach its bound.
 
-
-def _scan(rotation: np.ndarray, head: int, k: int, width: int):
-    """Of one block of queries and one band of vectors: each query's best k that reach its bound."""
+    ``exact``: a number type that holds every inner product without rounding.
+    """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            ids, x = _unpack(left, width)
-            queries, q = _unpack(right, width)
-            bounds = np.frombuffer(right["bounds"].iloc[0], np.float64) if right["bounds"].iloc[0] else np.full(len(queries), -np.inf)
-            lengths = np.sqrt((q.astype(float) ** 2).sum(1))
-            live = np.flatnonzero(lengths * left["longest"].iloc[0] + 1e-6 * (1 + np.abs(bounds)) >= bounds)
-            if len(live):
-                xr, qr = x @ rotation, q[live] @ rotation
-                rest_x = np.sqrt(np.maximum(0, (xr[:, head:] ** 2).sum(1)))
-                rest_q = np.sqrt(np.maximum(0, (qr[:, head:] ** 2).sum(1)))
-                upper = qr[:, :head] @ xr[:, :head].T
-                upper += np.outer(rest_q, rest_x)
-                slack = 1e-6 * (1 + np.abs(bounds[live])) + 1e-9 * lengths[live] * left["longest"].iloc[0]
-                for i, at in enumerate(live):
-                    near = np.flatnonzero(upper[i] + slack[i] >= bounds[at])
+        fields = ["block", "at", "query_id", "vec_id", "score"]
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=fields).astype("int64")
+        vectors, queries = left.iloc[0], right.iloc[0]
+        ids, own = np.frombuffer(vectors["ids"], np.int64), np.frombuffer(queries["ids"], np.int64)
+        x = np.frombuffer(vectors["data"], kind).reshape(-1, width).astype(exact)
+        q = np.frombuffer(queries["data"], kind).reshape(-1, width).astype(exact)
+        x_lengths, q_lengths = np.frombuffer(vectors["lengths"]), np.frombuffer(queries["lengths"])
+        bounds = np.frombuffer(queries["bounds"]).copy() if queries["bounds"] else np.full(len(q), -np.inf)
+        xr, qr = x @ rotation, q @ rotation
+        rest_x, rest_q = (np.sqrt(np.maximum(0, (m[:, head:] ** 2).sum(1))) for m in (xr, qr))
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+        for at in range(0, len(x), STEP):
+            part = slice(at, at + STEP)
+            slack = 1e-6 * (1 + np.abs(np.where(np.isfinite(bounds), bounds, 0))) + 1e-9 * q_lengths * x_lengths[at]
+            live = np.flatnonzero(q_lengths * x_lengths[at] + slack >= bounds)
+            for some in np.array_split(live, -(-len(live) // STEP)) if len(live) else ():
+                upper = qr[some, :head] @ xr[part, :head].T
+                upper += np.outer(rest_q[some], rest_x[part])
+                for row, i in enumerate(some):
+                    near = at + np.flatnonzero(upper[row] + slack[i] >= bounds[i])
+                    near = near[ids[near] != own[i]]
                     if len(near):
-                        scores = x[near] @ q[at]
-                        out += [(int(queries[at]), v, s) for s, v in _best(scores, ids[near], queries[at], k, bounds[at])]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                        scores, those = found[i]
+                        scores, those = np.concatenate([scores, (x[near] @ q[i]).astype(np.int64)]), np.concatenate([those, ids[near]])
+                        best = _best(scores, those, k)
+                        found[i] = scores[best], those[best]
+                        if len(best) == k:
+                            bounds[i] = max(bounds[i], scores[best[-1]])
+        sizes = [len(s) for s, _ in found]
+        at = np.repeat(np.arange(len(q)), sizes)
+        out = pd.DataFrame({"block": int(key[0]), "at": at, "query_id": own[at], "vec_id": np.concatenate([v for _, v in found]), "score": np.concatenate([s for s, _ in found])})
+        return out[fields].astype("int64")
 
     return run
 
 
+def _bounded(blocks: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """``blocks`` with each query's k-th best score so far and ``reach``, the least band length that any of them can gain from."""
+
+    def gather(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        lengths = np.frombuffer(left["lengths"].iloc[0])
+        bounds = np.full(len(lengths), -np.inf)
+        bounds[right["at"].to_numpy(np.int64)] = right["score"]
+        least = np.where(bounds > 0, bounds * (1 - 1e-6) / np.maximum(lengths, 1e-300), -np.inf)
+        return pd.DataFrame({"block": [key[0]], "bounds": [bounds.tobytes()], "reach": [float(least.min())]})
+
+    kth = best.filter(F.col("n") == k).select("block", "at", "score")  # a row for each query of the block
+    rows = blocks.select("block", "lengths").groupBy("block").cogroup(kth.groupBy("block"))
+    return blocks.join(rows.applyInPandas(gather, "block long, bounds binary, reach double"), "block")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of every query.
 
-    ``vectors`` and ``queries`` are (vec_id, vector of long).  A query's own vec_id is
-    no candidate; ties go to the smaller vec_id; with fewer candidates all are
+    ``vectors`` and ``queries`` are (vec_id, vector of long).  Rows of a query's own vec_id are
+    no candidates; ties go to the smaller vec_id; with fewer candidates all are
     returned.  Vectors of unequal width count as padded with zeros; without
     vectors or queries there are no rows.  Repeated vec_ids are candidates each, and
-    as queries share one list.  Work goes by (block of queries, band of
-    vectors): no task holds more than one of each.
+    as queries share one list.  Work goes by (block of queries, band of vectors): no
+    task holds more than one of each, and a pair whose band is too short for the
+    block's bounds is left out before anything is sent.
     """
     vectors = checkpointed(vectors)
     spark = vectors.sparkSession
-    found = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("w")).first()
-    width = max(width or 1, found["w"] or 1)
-    head = min(HEAD, width)
+    greatest = F.array_max(F.transform("vector", lambda v: F.abs(v)))
+    found = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("w"), F.coalesce(F.max(greatest), F.lit(0)).alias("m")).first()
     n_queries = queries.count()
-    length = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    bands = max(1, -(-found["n"] // BAND))
-    by_length = vectors.select("vec_id", "vector", length.alias("length"))
-    by_length = by_length.repartitionByRange(bands, F.desc("length"), "vec_id")
-    bands_of = checkpointed(_packed(by_length, "band", width))
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    by_id = queries.select("vec_id", "vector").repartitionByRange(blocks, "vec_id")
-    blocks_of = checkpointed(_packed(by_id, "block", width).drop("longest"))
-    block_ids = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rotation = _rotation(vectors, width)
-    fields = "query_id long, vec_id long, score long"
-    scan = _scan(rotation, head, k, width)
-
-    def pairs(band_rows: DataFrame, query_rows: DataFrame, band_ids) -> DataFrame:
-        left = band_rows.withColumn("block", F.explode(block_ids.cast("array<long>")))
-        right = query_rows.withColumn("band", F.explode(band_ids))
-        return left.groupBy("block", "band").cogroup(right.groupBy("block", "band")).applyInPandas(scan, fields)
-
-    longest = bands_of.agg(F.min("band")).first()[0]
-    if longest is None:
+    if not found["n"] or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    unbounded = blocks_of.withColumn("bounds", F.lit(None).cast("binary"))
-    first = checkpointed(pairs(bands_of.filter(F.col("band") == longest), unbounded, F.array(F.lit(longest))))
-
-    # a vec_id with several vectors has the best k of each here; its own k-th best is the bound
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") == k).select("query_id", F.col("score").alias("least"))
-    owners = blocks_of.select("block", "ids")
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for block, ids in zip(rows["block"], rows["ids"], strict=True):
-                yield pd.DataFrame({"block": block, "query_id": np.frombuffer(ids, np.int64)})
-
-    bound_rows = owners.mapInPandas(split, "block long, query_id long").join(kth, "query_id", "left")
-
-    def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("query_id")
-        return pd.DataFrame({"block": [key[0]], "bounds": [rows["least"].astype(float).fillna(-np.inf).to_numpy().tobytes()]})
-
-    bounds = bound_rows.select("block", "query_id", "least").groupBy("block").applyInPandas(gather, "block long, bounds binary")
-    bounded = blocks_of.join(bounds, "block")
-    others = F.array_remove(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long")), int(longest))
-    rest = pairs(bands_of.filter(F.col("band") != longest), bounded, others)
-    best = first.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    width = max(width or 1, found["w"] or 1)
+    kind = next(t for t, top in (("<i2", 1 << 15), ("<i4", 1 << 31), ("<i8", 1 << 63)) if found["m"] < top)
+    length = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    bands, blocks = -(-found["n"] // BAND), -(-n_queries // QUERY_BLOCK)
+    # the row's own number parts rows that repeat a length and a vec_id
+    order = [F.desc("length"), F.asc("vec_id"), F.asc("row")]
+    numbered = lambda df: df.select("vec_id", "vector", length.alias("length"), F.monotonically_increasing_id().alias("row"))
+    bands_of = checkpointed(_packed(numbered(vectors).repartitionByRange(bands, *order), "band", width, kind))
+    blocks_of = checkpointed(_packed(numbered(queries).repartitionByRange(blocks, *order), "block", width, kind).drop("longest"))
+    bands = bands_of.agg(F.max("band")).first()[0] + 1
+    exact = np.float64 if found["m"] ** 2 * width < 1 << 53 else np.int64
+    scan = _scan(_rotation(vectors, width), min(HEAD, width), k, width, kind, exact)
+
+    ranked = Window.partitionBy("block", "at").orderBy(F.desc("score"), "vec_id")
+    best = spark.createDataFrame([], "block long, at long, query_id long, vec_id long, score long, n int")
+    begin, end = 0, 1
+    while begin < bands:
+        bounded = checkpointed(_bounded(blocks_of, best, k))
+        # 16 bytes for each QUERY_BLOCK queries
+        reaches = bounded.agg(F.collect_list(F.struct("block", "reach")).alias("reaches"))
+        some = bands_of.filter(F.col("band").between(begin, end - 1))
+        near = some.select("band", "longest").join(F.broadcast(reaches), how="cross")
+        near = near.withColumn("near", F.filter("reaches", lambda r: r["reach"] <= F.col("longest")))
+        pairs = checkpointed(near.select("band", F.explode("near.block").alias("block")))
+        chosen = broadcast_if_small(pairs, BROADCAST_PAIRS)
+        named = lambda: chosen.select(F.col("band").alias("band"), F.col("block").alias("block"))  # noqa: E731  columns of its own for each side
+        left, right = some.join(named(), "band"), bounded.join(named(), "block")
+        fields = "block long, at long, query_id long, vec_id long, score long"
+        scanned = left.groupBy("block", "band").cogroup(right.groupBy("block", "band")).applyInPandas(scan, fields)
+        every = best.drop("n").unionByName(scanned).withColumn("n", F.row_number().over(ranked))
+        best = checkpointed(every.filter(F.col("n") <= k))
+        begin, end = end, min(bands, end * (1 + GROWTH))
+    # queries that repeat a vec_id share a list
+    of_id = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = best.withColumn("rank", F.row_number().over(of_id)).filter(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
