@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import broadcast_if_small, id_crc_mod, slices, table, texts_to_python
+from corpusloom.llm.common import broadcast_if_small, checkpointed, id_crc_mod, slices, table, text_key, texts_to_python
 from corpusloom.llm.grams import codes_of, hashed
 
 BITS, SIZES = 16, (1, 2, 3, 4)
-#: Bound of the sample of labelled rows that the support vectors are fitted on.
+#: Bound of the sample of distinct labelled texts that the support vectors are fitted on.
 SAMPLE = 16_000
 #: One in so many sampled rows calibrates the margins instead.
 CALIBRATE = 4
@@ -109,10 +109,10 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def fit(labelled: DataFrame) -> Model | float:
-    """Learn from (doc_id, text, quality); a constant score where only one class is known.
+    """Learn from (text, quality); a constant score where only one class is known, 0.5 where none is.
 
-    Counts cover all rows; the support vectors take a sample of about SAMPLE rows,
-    picked by a hash of doc_id, in one task.  Counts and weights (a fixed number of
+    Counts cover all rows; the support vectors take SAMPLE distinct texts at most, picked
+    by a hash of the text, in one task.  Counts and weights (a fixed number of
     cells) come to the driver.
     """
 
@@ -142,7 +142,8 @@ def fit(labelled: DataFrame) -> Model | float:
         scratch = np.zeros(1 << BITS, bool)
         for batch in slices(batches, "text"):
             cells = [indicators(t, scratch).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(cells, pa.binary())], ["doc_id", "quality", "cells"])
+            known = [batch.column(batch.schema.get_field_index(c)) for c in ("quality", "key1", "key2")]
+            yield pa.record_batch([*known, pa.array(cells, pa.binary())], ["quality", "key1", "key2", "cells"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, labels = [], []
@@ -158,11 +159,16 @@ def fit(labelled: DataFrame) -> Model | float:
         slope, offset = calibrate(np.array([plain.margin(c) for c, x in zip(cells, check, strict=True) if x]), labels[check])
         yield pa.record_batch([pa.array([weight.tobytes()]), pa.array([[bias, slope, offset]])], ["weight", "rest"])
 
+    # distinct (label, text) by a hash of the text: neither null or repeated ids nor copies can exceed the bound
     share = min(1.0, SAMPLE / (rows[0] + rows[1]))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30)
-    sample = labelled.filter(drawn).mapInArrow(pack, "doc_id long, quality long, cells binary")
+    key = ["quality", "key1", "key2"]
+    keyed = labelled.select("quality", *text_key("text"), "text")
+    drawn = F.xxhash64("key2", "key1", "quality")
+    keys = keyed.filter(F.pmod(drawn, F.lit(1 << 30)) < share * float(1 << 30)).select(*key).distinct()
+    keys = checkpointed(keys.orderBy(drawn, *key).limit(SAMPLE))
+    sample = texts_to_python(keyed.join(F.broadcast(keys), key, "left_semi")).mapInArrow(pack, "quality long, key1 long, key2 long, cells binary")
     # one task on a bounded sample, in an order of its own so that the fit is the same each time
-    one = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "cells")
+    one = sample.dropDuplicates(key).repartition(1).sortWithinPartitions(F.xxhash64("key2", "key1", "quality"), *key).select("quality", "cells")
     found = one.mapInArrow(train, "weight binary, rest array<double>").first()
     return Model(ratio, np.frombuffer(found["weight"], np.float64), *found["rest"])
 
@@ -171,7 +177,8 @@ def scored(docs: DataFrame, model: Model | float, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``score`` of every whole text.
 
     A null or empty text has no n-grams and the score of the bias alone.  Repeated
-    rows are scored alike.
+    rows are scored alike; an empty table gives no rows; columns of ``docs`` that aren't
+    kept are ignored, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
