@@ -17,13 +17,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusloom.llm.common import id_crc_mod, slices, table, texts_to_python
+from corpusloom.llm.common import broadcast_if_small, checkpointed, id_crc_mod, slices, table, text_key, texts_to_python
 from corpusloom.llm.grams import codes_of, hashed
 
-BITS, SIZES = 14, (1,2,3,4)
-#: Bound of the sample per language that centroids are fitted on, and centroids per language.
+BITS, SIZES = 14, (1, 2, 3, 4)
+#: Bound of the sample of distinct texts that a language's centroids are fitted on, and centroids per language.
 SAMPLE, CENTROIDS = 1000, 8
+#: Shares of so many languages, and as many samples' keys, are broadcast; more are joined by shuffle.
+BROADCAST_LANGUAGES = 200
 #: A text is rejected below this share of the least cosine of its language's sample; the
 #: cosine of a text of fewer bytes is expected to be lower by the root of its length.
 REJECT_SHARE, FULL_BYTES = 0.5, 64
@@ -79,10 +82,11 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def fit(rows: DataFrame) -> Model | None:
-    """Learn from the columns doc_id, text, lang; null when no row has a language and a letter.
+    """Learn from the columns text and lang; null when no row has a language and a letter.
 
-    doc_id only picks the sample.  The counts and the model, of a size fixed by the
-    number of languages, are all that comes to the driver.
+    Document frequencies cover all rows; centroids take SAMPLE distinct texts of a language
+    at most, picked by a hash of the text.  The counts and the model, of a size fixed by
+    the number of languages, are all that comes to the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,20 +102,19 @@ def fit(rows: DataFrame) -> Model | None:
         n = pa.array([*seen[cells].tolist(), *langs.values()], pa.int64())
         yield pa.record_batch([lang, cell, n], ["lang", "cell", "n"])
 
-    rows = rows.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = texts_to_python(rows).select("text", "lang").mapInArrow(count, "lang string, cell long, n long")
-    counts = counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()  # n-gram cells and languages
-    per_lang = {r["lang"]: r["n"] for r in counts if r["cell"] < 0}
-    if not per_lang:
+    counts = checkpointed(counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")))
+    docs_per_language = counts.filter("cell < 0")
+    n_docs = docs_per_language.agg(F.sum("n").alias("n")).first()["n"]
+    if not n_docs:
         return None
-    n_docs = sum(per_lang.values())
     idf = np.full(1 << BITS, np.log(1.0 + n_docs) + 1, np.float32)
-    for r in counts:
-        if r["cell"] >= 0:
-            idf[r["cell"]] = np.log((1.0 + n_docs) / (1.0 + r["n"])) + 1
+    for r in counts.filter("cell >= 0").collect():  # 2 ** BITS cells at most
+        idf[r["cell"]] = np.log((1.0 + n_docs) / (1.0 + r["n"])) + 1
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in pdf["text"] if has_letter(t)]
+        texts = [t for t in pdf.sort_values(["key2", "key1"])["text"] if has_letter(t)]
         if not texts:
             return pd.DataFrame({"lang": [], "data": [], "least": []})
         x = np.empty((len(texts), 1 << BITS), np.float32)
@@ -120,11 +123,16 @@ def fit(rows: DataFrame) -> Model | None:
         c = _cluster(x, CENTROIDS)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "data": [v.tobytes() for v in c], "least": float((x @ c.T).max(1).min())})
 
-    share = F.lit(0.0)
-    for lang, n in per_lang.items():
-        share = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30)
-    fitted = rows.filter(drawn).groupBy("lang").applyInPandas(centroids, "lang string, data binary, least double")
+    # distinct (language, text) by a hash of the text: neither null or repeated ids nor copies can exceed the bound
+    key = ["lang", "key1", "key2"]
+    shares = docs_per_language.select("lang", F.least(F.lit(1.0), SAMPLE / F.col("n")).alias("share"))
+    keyed = rows.select("lang", *text_key("text"), "text").join(broadcast_if_small(shares, BROADCAST_LANGUAGES), "lang")
+    drawn = F.xxhash64("key2", "key1")
+    keys = keyed.filter(F.pmod(drawn, F.lit(1 << 30)) < F.col("share") * float(1 << 30)).select(*key).distinct()
+    first = Window.partitionBy("lang").orderBy(drawn, "key1", "key2")
+    keys = checkpointed(keys.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).drop("n"))
+    sample = keyed.join(broadcast_if_small(keys, BROADCAST_LANGUAGES * SAMPLE), key, "left_semi").dropDuplicates(key)
+    fitted = sample.groupBy("lang").applyInPandas(centroids, "lang string, data binary, least double")
     fitted = sorted(fitted.collect(), key=lambda r: (r["lang"], bytes(r["data"])))
     if not fitted:
         return None
@@ -150,7 +158,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], prefix: str =
     """``keep`` columns with lang_pred, score and rejected (``prefix`` before each), from whole texts.
 
     A null text or one without a letter is ``und`` with score 0, and rejected; so is every
-    text when nothing could be learned.  Repeated rows are judged alike.
+    text when nothing could be learned.  Repeated rows are judged alike; an empty table
+    gives no rows; columns that aren't kept are ignored, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages * centroids * 2 ** BITS floats
 
