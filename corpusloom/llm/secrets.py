@@ -1,13 +1,15 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidate spans come from patterns; their values are hashed and counted over the
-corpus by distinct repositories and owners.  A value that many owners share is a
-copied example; one that stays with a single owner looks live.
+corpus by distinct repositories and owners.  A value that many owners share, or many
+repositories of one owner, is a copied example; one that stays with a single owner
+looks live, unless the value itself is a placeholder.  Every span gets its class.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpointed, slices, table, texts_to_python
+from corpusloom.llm.common import broadcast_if_small, checkpointed, slices, table, texts_to_python
 
 #: Kinds in the order of the output; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "pem", "url", "jwt")
@@ -30,8 +32,16 @@ _HEX = re.compile(r"[0-9a-f]{32,}+")
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 _URL = re.compile(r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,80}:([^\s/:@]{3,200})@")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
-#: A value that so many distinct owners hold is an example.
-EXAMPLE_OWNERS = 3
+#: A value that so many distinct owners, or repositories of fewer owners, hold is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
+#: What a value made up for show says, and the bits a character below which it is too plain to be a secret.
+PLACEHOLDER = "example|sample|dummy|changeme|change_me|placeholder|your|test|xxxx|000000|123456|abcdef"
+_PLACEHOLDER = re.compile(PLACEHOLDER)
+LEAST_ENTROPY = 2.45
+#: example: widely copied; shared: held by two owners; placeholder and live: by one, by the look of the value.
+CLASSES = ("live", "shared", "example", "placeholder")
+#: Values (about 100 bytes each) up to so many are broadcast; more are joined by shuffle.
+BROADCAST_VALUES = 200_000
 
 
 def find(text: str | None) -> list[tuple[int, int, int, str]]:
@@ -54,11 +64,17 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-_FIELDS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, `values` array<string>"
+def placeholder(value: str) -> bool:
+    """Whether a value looks made up: telling words, or few distinct characters."""
+    shares = [value.count(c) / len(value) for c in set(value)]
+    return bool(_PLACEHOLDER.search(value.lower())) or -sum(p * math.log2(p) for p in shares) < LEAST_ENTROPY
+
+
+_FIELDS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, `values` array<string>, plain array<boolean>"
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, counts, digests and ``values``, the hash of each span's value; row by row."""
+    """``keep`` columns, counts, digests, ``values``, the hash of each span's value, and ``plain``, whether it looks made up; row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
@@ -71,6 +87,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
                 "base_sha256": pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()),
                 "spans": pa.array([",".join(x) for x in shown], pa.string()),
                 "values": pa.array([[hashlib.sha256(v.encode()).hexdigest() for *_, v in spans] for spans in found], pa.list_(pa.string())),
+                "plain": pa.array([[placeholder(v) for *_, v in spans] for spans in found], pa.list_(pa.bool_())),
             }
             rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.record_batch(
@@ -90,26 +107,33 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
-    """Per row of ``docs``: doc_id, counts, base_sha256, spans, n_live and n_example.
-
-    A span's value is an example from EXAMPLE_OWNERS distinct owners on and looks
-    live while one owner holds it.  Null texts count as empty; a null owner or
-    repository is one of its own; repeated rows are the same repository.
+    """Per row of ``docs``: doc_id, counts, base_sha256, spans, the class of each span and the number of each class.
+
+    ``classes`` names them in the order of ``spans``.  A value held by EXAMPLE_OWNERS
+    distinct owners or EXAMPLE_REPOSITORIES distinct repositories is an ``example``, one
+    held by two owners is ``shared``; with one owner it is a ``placeholder`` if it looks
+    made up and else ``live``.  Null texts count as empty; a null owner or repository is one
+    of its own; repeated rows are the same repository; an empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     known = docs.select("doc_id", owner.alias("owner"), repository.alias("repository"), "text")
     # stable from here on: the id is made before the rows are written
     rows = checkpointed(scan(known, ["doc_id", "owner", "repository"]).withColumn("row", F.monotonically_increasing_id()))
-    spans = rows.select("row", "owner", "repository", F.explode("values").alias("value"))
+    spans = rows.select("row", "owner", "repository", F.posexplode(F.arrays_zip("values", "plain")).alias("at", "s"))
+    spans = spans.select("row", "owner", "repository", "at", F.col("s.values").alias("value"), F.col("s.plain").alias("plain"))
     missing = F.lit("\0")
     counted = ownership(spans.select("value", F.coalesce("owner", missing).alias("owner"), F.coalesce("repository", missing).alias("repository")))
-    judged = spans.select("row", "value").join(counted, "value")
+    judged = spans.join(broadcast_if_small(checkpointed(counted), BROADCAST_VALUES), "value")
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    of = F.when(copied, "example").when(F.col("owners") > 1, "shared").when(F.col("plain"), "placeholder").otherwise("live")
+    judged = judged.select("row", "at", of.alias("class"))
     per_row = judged.groupBy("row").agg(
-        F.sum((F.col("owners") == 1).cast("long")).alias("n_live"),
-        F.sum((F.col("owners") >= EXAMPLE_OWNERS).cast("long")).alias("n_example"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "class"))), lambda x: x["class"]), ",").alias("classes"),  # one text's spans
+        *[F.sum((F.col("class") == c).cast("long")).alias(f"n_{c}") for c in CLASSES],
     )
-    out = rows.drop("owner", "repository", "values").join(per_row, "row", "left")
+    out = rows.drop("owner", "repository", "values", "plain").join(per_row, "row", "left")
     zero = F.lit(0).cast("long")
-    return out.withColumns({c: F.coalesce(c, zero) for c in ("n_live", "n_example")}).drop("row")
+    return out.withColumns({f"n_{c}": F.coalesce(f"n_{c}", zero) for c in CLASSES} | {"classes": F.coalesce("classes", F.lit(""))}).drop("row")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,12 +169,18 @@ s AS (
   SELECT *, stop - length(matched) AS start FROM (
     SELECT *, CAST(sum(gap + length(matched)) OVER (PARTITION BY id, k ORDER BY i) AS BIGINT) AS stop FROM c)
   WHERE {keep}),
-o AS (SELECT value, count(DISTINCT coalesce(CAST(source AS VARCHAR), chr(1))) AS owners FROM s JOIN d USING (id) GROUP BY value),
+o AS (
+  SELECT value, count(DISTINCT o) AS owners, count(DISTINCT (o, r)) AS repositories
+  FROM (SELECT value, coalesce(CAST(source AS VARCHAR), chr(1)) AS o, coalesce(CAST(doc_id AS VARCHAR), chr(1)) AS r FROM s JOIN d USING (id)) GROUP BY value),
+j AS (
+  SELECT s.*, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN owners > 1 THEN 'shared'
+    WHEN regexp_matches(lower(value), '{PLACEHOLDER}') OR list_aggregate(string_split(value, ''), 'entropy') < {LEAST_ENTROPY} THEN 'placeholder' ELSE 'live' END AS class
+  FROM s JOIN o USING (value)),
 r AS (
   SELECT id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
     sha256(coalesce({shown} FILTER (k < {BASE}), '')) AS base_sha256, {shown} AS spans,
-    count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example
-  FROM s JOIN o USING (value) GROUP BY id)
-SELECT doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example"))},
-  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+    string_agg(class, ',' ORDER BY start, k) AS classes, {", ".join(f"count(*) FILTER (class = '{c}') AS n_{c}" for c in CLASSES)}
+  FROM j GROUP BY id)
+SELECT doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_assign", "n_access", "n_hex", *(f"n_{c}" for c in CLASSES)))},
+  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(classes, '') AS classes
 FROM d LEFT JOIN r USING (id)"""
