@@ -8,7 +8,8 @@ Every turn is rendered as one self-delimiting piece of a conversation::
 A deterministic parser reads the piece back.  It refuses raw control strings in a
 text, so where source and recovered turn differ the text is escaped and parsed
 again until they are identical.  Pieces are self-delimiting, so the concatenation
-of a conversation's pieces parses into exactly its turns.
+of a conversation's pieces parses into exactly its turns.  Beside each piece goes its
+part of the loss mask: the span of the text that a model learns, none for other roles.
 """
 
 from __future__ import annotations
@@ -63,6 +64,22 @@ def parse(rendered: str) -> list[tuple[str, str]]:
     return turns
 
 
+#: Roles whose texts are learned.
+LEARNED = ("assistant",)
+
+
+def loss_span(piece: str, role: str) -> tuple[int, int] | None:
+    """The part of a rendered turn, its text as written there, under the loss mask; code points, end exclusive."""
+    m = _PIECE.match(piece)
+    return m.span("quoted" if m["escaped"] else "plain") if role in LEARNED else None
+
+
+def unmasked(piece: str, span: tuple[int, int]) -> str:
+    """The text that a span of the loss mask stands for, escapes undone."""
+    part = piece[slice(*span)]
+    return _UNESCAPE_TEXT.sub(r"\1", part) if _PIECE.match(piece)["escaped"] else part
+
+
 def round_tripped(role: str, text: str) -> str:
     """The first rendering that parses into exactly this turn."""
     for escaped in (False, True):
@@ -76,38 +93,43 @@ def round_tripped(role: str, text: str) -> str:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and ``piece``, the rendered turn; row by row.
+    """conv_id, turn, role, text, ``piece``, the rendered turn, and ``loss_start``, ``loss_end``, its loss mask; row by row.
 
-    Null role and null text count as empty; other columns are dropped.
+    The mask is null for roles that aren't learned.  Null role and null text count as
+    empty; other columns are dropped; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
             pieces = [round_tripped(r, t) for r, t in zip(roles, texts, strict=True)]
-            yield pa.record_batch([*batch.columns, pa.array(pieces, pa.string())], [*batch.schema.names, "piece"])
+            spans = [loss_span(p, r) or (None, None) for p, r in zip(pieces, roles, strict=True)]
+            mask = [pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1)]
+            yield pa.record_batch([*batch.columns, pa.array(pieces, pa.string()), *mask], [*batch.schema.names, "piece", "loss_start", "loss_end"])
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), empty("role"), empty("text"))
-    return texts_to_python(rows).mapInArrow(run, "conv_id long, turn long, role string, text string, piece string")
+    return texts_to_python(rows).mapInArrow(run, "conv_id long, turn long, role string, text string, piece string, loss_start long, loss_end long")
 
 
 class _Digest:
     def __init__(self, conv_id: int | None) -> None:
-        self.conv_id, self.turns, self.loss, self.chars = conv_id, 0, 0, 0
+        self.conv_id, self.turns, self.loss, self.chars, self.spans = conv_id, 0, 0, 0, []
         self.all, self.learned = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, piece: str) -> None:
-        self.chars += len(piece)
+    def add(self, piece: str, span: tuple[int, int] | None) -> None:
         for role, text in parse(piece):
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss += len(text)
-                self.learned.update(text.encode())
+        if span:
+            text = unmasked(piece, span)
+            self.spans.append(f"{self.chars + span[0]}:{self.chars + span[1]}")
+            self.loss += len(text)
+            self.learned.update(text.encode())
+        self.chars += len(piece)
 
     def row(self) -> tuple:
-        return (self.conv_id, self.turns, self.all.hexdigest(), self.loss, self.learned.hexdigest(), self.chars)
+        return (self.conv_id, self.turns, self.all.hexdigest(), self.loss, self.learned.hexdigest(), self.chars, ",".join(self.spans))
 
 
 DIGEST = pa.schema(
@@ -118,13 +140,15 @@ DIGEST = pa.schema(
         ("loss_chars", pa.int64()),
         ("loss_sha256", pa.string()),
         ("formatted_chars", pa.int64()),
+        ("loss_spans", pa.string()),
     ]
 )
 
 
 def digest_conversations(formatted: DataFrame) -> DataFrame:
-    """What the formatted conversations say, read back from the pieces with the parser.
+    """What the formatted conversations say, read back from the pieces with the parser and the loss mask.
 
+    ``loss_spans``: the mask over the whole formatted conversation, start:end each.
     A conversation's pieces are streamed in order of turn (null turns first, equal
     turns by role and text) through running hashes, so a conversation of any length
     takes the memory of one batch.  A null conv_id is a conversation of its own.
@@ -133,11 +157,12 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, done = None, []
         for batch in slices(batches, "piece"):
-            for conv, piece in zip(batch.column("conv_id").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end")]
+            for conv, piece, begin, end in zip(*columns, strict=True):
                 if current is None or current.conv_id != conv:
                     done += [current.row()] if current else []
                     current = _Digest(conv)
-                current.add(piece)
+                current.add(piece, None if begin is None else (begin, end))
             if len(done) > 2000:
                 yield pa.record_batch(list(zip(*done, strict=True)), schema=DIGEST)
                 done = []
@@ -146,9 +171,9 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), DIGEST, strict=True)], schema=DIGEST)
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return texts_to_python(ordered).select("conv_id", "piece").mapInArrow(
+    return texts_to_python(ordered).select("conv_id", "piece", "loss_start", "loss_end").mapInArrow(
         run,
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_spans string",
     )
 
 
@@ -177,14 +202,15 @@ WITH t AS (
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
 p AS (
   SELECT *, len(list_filter([{quoted}], lambda c: contains(text, c))) > 0 AS escaped FROM t),
-s AS (
-  SELECT conv_id, turn, role, text,
-    length('<s>[') + length(role) + {escapes("role", chr(92) + "<[]|~")} + CAST(escaped AS INTEGER) + 2 + length(text)
-    + CASE WHEN escaped THEN {escapes("text", chr(92) + "<[|")} ELSE 0 END + length('</s>') + 1 AS chars
-  FROM p)
+m AS (
+  SELECT conv_id, turn, role, text, length('<s>[') + length(role) + {escapes("role", chr(92) + "<[]|~")} + CAST(escaped AS INTEGER) + 2 AS head,
+    length(text) + CASE WHEN escaped THEN {escapes("text", chr(92) + "<[|")} ELSE 0 END AS body, head + body + length('</s>') + 1 AS chars
+  FROM p),
+s AS (SELECT *, CAST(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) - chars + head AS start FROM m)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  coalesce(string_agg(start || ':' || (start + body), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss_spans
 FROM s GROUP BY conv_id"""
