@@ -24,6 +24,10 @@ from corpusloom.llm.common import broadcast_if_small, checkpointed, slices, tabl
 from corpusloom.llm.components import connected_components
 
 SHINGLE, SEED, CHUNK = 3, 42, 1 << 16
+#: Fingerprints of so many rows are joined to them by broadcast, as there are few.
+HOT_COPIES = 1000
+#: Ids and fingerprints up to so many (about 40 bytes each) are broadcast; more go through a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -72,6 +76,8 @@ def linked_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:
         raise ValueError("variants are emitted for an even radius")
     masks = [sum(1 << i for i in places) for n in range(bits // 2 + 1) for places in combinations(range(64), n)]
     flips = F.lit(np.array(masks, np.uint64).view(np.int64))
+    # by the number of rows: each makes dozens, and adaptive execution would only see their size before
+    fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = fps.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
     pairs = variants.select("fp", before.alias("b")).filter("b IS NOT NULL AND b <> fp")
@@ -90,13 +96,16 @@ def near_duplicates(docs: DataFrame, keep: list[str], bits: int = 2) -> DataFram
     Repeated rows stay; an empty table gives no rows.
     """
     rows = checkpointed(fingerprints(docs, keep))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     components = connected_components(linked_pairs(nodes.select("fp"), bits))
     named = nodes.join(components, nodes["fp"] == components["node"], "left")
-    named = named.select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    named = named.select("fp", "rep", "copies", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component", "component_id")
-    return rows.join(named, "fp")
+    named = checkpointed(named.join(least, "component").select("fp", "component", "component_id", "copies"))
+    # a fingerprint of very many rows would be one task's work in a shuffle
+    hot = broadcast_if_small(named.filter(F.col("copies") >= HOT_COPIES).drop("copies"), BROADCAST_IDS)
+    rest = named.filter(F.col("copies") < HOT_COPIES).drop("copies")
+    return rows.join(hot, "fp").unionByName(rows.join(hot.select("fp"), "fp", "left_anti").join(rest, "fp"))
 
 
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +114,6 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Ids up to so many (about 40 bytes each) are broadcast; more go through a shuffle.
-BROADCAST_IDS = 500_000
-
-
 def without_near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component stays: its smallest doc_id.
 
