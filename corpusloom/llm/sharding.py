@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.common import table
 
-#: Sub-buckets within a shard, so that numbering a shard is not one task's work.
-SLOT_BUCKETS = 256
+#: Sub-buckets within a shard, so that numbering a shard is not one task's work: so many at least, and one for so many rows of the table.
+SLOT_BUCKETS, BUCKET_ROWS = 256, 1_600_000
 
 
 @dataclass(frozen=True)
@@ -113,16 +113,18 @@ def place(df: DataFrame, key: Column, tree: Node, out: str) -> DataFrame:
     return df.drop(region, rack, k)
 
 
-def assign_shards(docs: DataFrame, tree: Node, buckets: int = SLOT_BUCKETS) -> DataFrame:
+def assign_shards(docs: DataFrame, tree: Node, buckets: int | None = None) -> DataFrame:
     """Shard, slot within the shard and the shard after one shard more, of every row.
 
     Nulls: a null doc_id is the key ``null``; a null text has size 1 and the crc of
     the empty text.  Repeated rows land in one shard with a slot each.  Slots run
     from 0 without gaps in each shard, in order of (bucket, doc_id, crc, size).
-    Only id, size and crc are shuffled, to ``shards * buckets`` groups; the group
-    counts (at most that many rows) give each group's first slot.  Columns of the
+    Only id, size and crc are shuffled, to ``shards * buckets`` groups, by id and text, so
+    that rows which repeat an id or lack one spread too; the group counts (one row for
+    BUCKET_ROWS rows of a shard) give each group's first slot.  Columns of the
     input other than doc_id and text are ignored; an empty table gives no rows.
     """
+    buckets = buckets or max(SLOT_BUCKETS, -(-docs.count() // BUCKET_ROWS))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -131,13 +133,13 @@ def assign_shards(docs: DataFrame, tree: Node, buckets: int = SLOT_BUCKETS) -> D
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = place(place(rows, key, tree, "shard"), key, grown(tree), "grown_shard")
-    rows = rows.withColumn("__bucket", F.pmod(F.crc32(key.cast("binary")), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("__bucket", F.pmod(F.crc32(F.concat_ws("/", key, F.col("text_crc32").cast("string")).cast("binary")), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     within = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("__rn", F.row_number().over(within))
-    # at most shards * buckets rows, whatever the input
+    # shards * buckets rows at most: 16 bytes for 100,000 rows of the table
     numbered = numbered.join(F.broadcast(first), ["shard", "__bucket"])
     return numbered.select(
         "doc_id",
@@ -196,8 +198,9 @@ WITH crc AS (
     FROM range(256) r(n))),
 d AS (SELECT doc_id, t, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM documents, crc),
 a AS (SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, CAST({_crc_sql("text")} AS BIGINT) AS text_crc32,
-  CAST({_crc_sql("k")} AS BIGINT) % {SLOT_BUCKETS} AS bucket, k, {", ".join(levels[0])} FROM d),
-b AS (SELECT *, {", ".join(levels[1])} FROM a),
+  t, k, {", ".join(levels[0])} FROM d),
+n AS (SELECT greatest({SLOT_BUCKETS}, CAST(ceil(count(*) / {BUCKET_ROWS}) AS BIGINT)) AS buckets FROM documents),
+b AS (SELECT *, CAST({_crc_sql("(k || '/' || text_crc32)")} AS BIGINT) % buckets AS bucket, {", ".join(levels[1])} FROM a, n),
 c AS (SELECT *, {", ".join(levels[2])} FROM b)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
