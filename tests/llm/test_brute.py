@@ -91,7 +91,9 @@ def texts_with_copies(n=120):
     return out
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_near_duplicates(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT_COPIES", hot)
     texts = texts_with_copies()
     fps = {i: simhash(t) for i, t in enumerate(texts)}
     want = groups(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
@@ -192,6 +194,14 @@ def test_every_shared_window_shares_a_fingerprint(spark):
     assert all(r["n_hit"] >= 13 for r in got)
 
 
+def test_a_very_long_text_that_is_benchmark_throughout(spark):
+    item = " ".join(f"W{i % 977}x{i}" for i in range(200_000))
+    docs = [(1, item.upper()), (2, item), (3, f"before {item[:400]} after"), (4, "nothing of it")]
+    got = {r["doc_id"]: r for r in decontam.decontaminate(frame(spark, docs), frame(spark, [(1, item), (2, "zz"), (2, "nothing")], "item_id long, text string")).collect()}
+    assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) for i in (1, 2)] == [(200_000, 200_000, 1)] * 2
+    assert got[3]["contaminated"] and got[3]["n_hit"] >= 13 and got[4]["n_hit"] == 1
+
+
 # ---- personal data and secrets
 
 PII_PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -273,11 +283,33 @@ def test_secrets(spark):
         own += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
         spans[i] = sorted(own)
         for *_, v in own:
-            values.setdefault(v, set()).add(i % 4)
+            values.setdefault(v, set()).add((i % 4, i))
     for i, own in spans.items():
         base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b, _ in own)
         assert found[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
-        assert found[i]["n_live"] == sum(len(values[v]) == 1 for *_, v in own) and found[i]["n_example"] == sum(len(values[v]) >= 3 for *_, v in own)
+        classes = [secret_class(v, values[v]) for *_, v in own]
+        assert found[i]["classes"] == ",".join(classes) and all(found[i][f"n_{c}"] == classes.count(c) for c in secrets.CLASSES)
+    assert secret_class("hunter22x", {(0, 1)}) == "live" and secret_class("abc/def+gh=", {(0, 1), (1, 1)}) == "shared"
+
+
+def test_classes_of_secrets(spark):
+    """One value each of many owners, of two, of many repositories of one owner, of one, and made up."""
+    value = lambda c: hashlib.sha1(c.encode()).hexdigest()
+    rows = [(i, f"token={value('many')}", f"o{i}") for i in range(3)] + [(10 + i, f"token={value('two')}", f"o{i}") for i in range(2)]
+    rows += [(100 + i, f"token={value('copied')}", "o1") for i in range(20)] + [(200, f"token={value('one')} secret=changeme123 password=aaaaaaaaaa", "o1")]
+    got = {r["doc_id"]: r["classes"] for r in secrets.find_secrets(frame(spark, rows, "doc_id long, text string, source string"), *_owners()).collect()}
+    assert got[0] == got[119] == "example,example" and got[10] == "shared,shared"
+    assert got[200] == "live,live,placeholder,placeholder"
+
+
+def secret_class(value, holders):
+    owners = {o for o, _ in holders}
+    if len(owners) >= 3 or len(holders) >= 20:
+        return "example"
+    if len(owners) == 2:
+        return "shared"
+    shares = [value.count(c) / len(value) for c in set(value)]
+    return "placeholder" if re.search(secrets.PLACEHOLDER, value.lower()) or -sum(p * np.log2(p) for p in shares) < 2.45 else "live"
 
 
 def _owners():
@@ -295,6 +327,11 @@ def test_chat_round_trip(role, text):
     piece = chat.round_tripped(role, text)
     assert chat.parse(piece * 2 + chat.round_tripped("user", "z")) == [(role, text)] * 2 + [("user", "z")]
     assert not chat._CONTROL.search(text) or text not in piece
+    span = chat.loss_span(piece, role)
+    assert span is None or chat.unmasked(piece, span) == text
+    spoken = chat.round_tripped("assistant", text)
+    a, b = chat.loss_span(spoken, "assistant")
+    assert chat.unmasked(spoken, (a, b)) == text and spoken[:a].endswith("]\n") and spoken[b:] == "</s>\n"
 
 
 def test_pieces_are_lossless_reproducible_and_drawn_by_weight():
@@ -390,6 +427,109 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert best < loss(np.zeros(30), 0) and all(best <= loss(weight + d, bias) + 0.02 * best for d in rng.normal(scale=0.05, size=(200, 30)))
 
 
+def gram_cells(data, bits, sizes=(1, 2, 3, 4)):
+    """Cells of the byte n-grams of ``data`` with their counts, one n-gram at a time."""
+    out = Counter()
+    for n in sizes:
+        for at in range(len(data) - n + 1):
+            value = int.from_bytes(data[at : at + n], "big")
+            mixed = (value ^ 0x9E3779B9 * n & 0xFFFFFFFF) * 2654435761 & 0xFFFFFFFF
+            mixed ^= mixed >> 15
+            out[(mixed * 2246822519 & 0xFFFFFFFF) >> (32 - bits)] += 1
+    return out
+
+
+def test_quality_ratios_and_scores(spark):
+    rng = random.Random(12)
+    good, bad = ["river", "stone", "walked", "under"], ["buy", "now", "click", "free"]
+    text = lambda y: " ".join(rng.choices((good if y else bad) + ["the", "of"], k=rng.choice([1, 6, 30])))
+    rows = [(text(i % 3 > 0), int(i % 3 > 0)) for i in range(90)] + [("", 1), ("now now now now", 0)]
+    model = quality.fit(spark.createDataFrame(rows, "text string, quality long"))
+
+    def features(t):
+        cells = set(gram_cells(t.encode(), quality.BITS))
+        words = t.split()
+        if len(words) > 1:
+            share = sum(a == b for a, b in zip(words, words[1:], strict=False)) / (len(words) - 1)
+            cells |= {i * 7919 + 11 for i, least in enumerate(quality.REPEATS) if share >= least}
+        return sorted(cells)
+
+    counts = [Counter(), Counter()]
+    for t, y in rows:
+        counts[y].update(features(t))
+    totals = [sum(c.values()) + quality.SMOOTHING * 2**quality.BITS for c in counts]
+    share = lambda y, c: (counts[y][c] + quality.SMOOTHING) / totals[y]
+    cells = sorted(set(counts[0]) | set(counts[1]))
+    assert np.allclose(model.ratio[cells], [np.log(share(1, c) / share(0, c)) for c in cells])
+    docs = [(i, t) for i, (t, _) in enumerate(rows)] + [(900, None), (901, "unseen words altogether")]
+    got = {r["doc_id"]: r["score"] for r in quality.scored(frame(spark, docs), model, ["doc_id"]).collect()}
+    for i, t in docs:
+        own = features(t or "")
+        length = sum(float(model.ratio[c]) ** 2 for c in own) ** 0.5
+        margin = sum(float(model.ratio[c]) * float(model.weight[c]) for c in own) / max(length, 1e-9) + model.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.slope * margin + model.offset)))) < 1e-9
+
+
+def test_the_quality_sample_is_bounded(spark, monkeypatch):
+    """Rows that share an id, a null one or a text cannot exceed the bound; what is drawn follows the texts."""
+    monkeypatch.setattr(quality, "SAMPLE", 40)
+    drawn = []
+    real = quality.checkpointed
+    monkeypatch.setattr(quality, "checkpointed", lambda df: drawn.append(real(df)) or drawn[-1])
+    words = ["river", "stone", "buy", "click"]
+    rows = [(f"{words[i % 2 * 2]} {i % 300} {words[i % 2 * 2 + 1]}", i % 2) for i in range(2000)] + [("river copied", 1)] * 500
+    docs = spark.createDataFrame([(None, t, y) for t, y in rows], "doc_id long, text string, quality long")
+    assert isinstance(quality.fit(docs), quality.Model)
+    assert 0 < drawn[0].count() <= 40 and drawn[0].distinct().count() == drawn[0].count()
+
+
+def test_language_vectors_and_nearest_centroids(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CENTROIDS", 1)
+    rng = random.Random(13)
+    alphabets = {"aa": "abcde ", "bb": "cdefg ", "cc": "éèaà "}
+    rows = [("".join(rng.choices(alphabets[lang], k=rng.choice([30, 200]))), lang) for lang in alphabets for _ in range(20)]
+    rows += [("Abc abd", None), ("12 34", "aa"), (None, "bb"), rows[0], rows[0]]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    letters = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+    counts = lambda t: gram_cells(t.encode().translate(letters), langid.BITS)
+    known = [(t, lang) for t, lang in rows if t and lang and any(c.isalpha() for c in t)]
+    frequency = Counter(c for t, _ in known for c in counts(t))
+    idf = lambda c: np.log((1 + len(known)) / (1 + frequency[c])) + 1
+    assert np.allclose(model.idf[list(frequency)], [idf(c) for c in frequency], atol=1e-5)
+
+    def unit(t):
+        v = {c: np.log1p(n) * idf(c) for c, n in counts(t).items()}
+        length = sum(x * x for x in v.values()) ** 0.5
+        return {c: x / length for c, x in v.items()}
+
+    centres = {}
+    for lang in alphabets:
+        mean = Counter()
+        for t in sorted({t for t, own in known if own == lang}):
+            mean.update(unit(t))
+        length = sum(x * x for x in mean.values()) ** 0.5
+        centres[lang] = {c: x / length for c, x in mean.items()}
+    docs = [(i, t) for i, t in enumerate([t for t, _ in rows] + ["éa", "abc defg", "!"])]
+    got = {r["doc_id"]: r for r in langid.predict(frame(spark, docs), model, ["doc_id"]).collect()}
+    for i, t in docs:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
+            continue
+        cosines = {lang: sum(x * centre.get(c, 0) for c, x in unit(t).items()) for lang, centre in centres.items()}
+        assert abs(max(cosines.values()) - got[i]["score"]) < 1e-4 and max(cosines.values()) - cosines[got[i]["lang_pred"]] < 1e-4
+
+
+def test_the_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 30)
+    drawn = []
+    real = langid.checkpointed
+    monkeypatch.setattr(langid, "checkpointed", lambda df: drawn.append(real(df)) or drawn[-1])
+    rows = [(None, f"text number {i % 400} of {'ab'[i % 2]}", "ab"[i % 2] * 2) for i in range(3000)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sizes = {r["lang"]: r["count"] for r in drawn[-1].groupBy("lang").count().collect()}
+    assert set(sizes) == {"aa", "bb"} and max(sizes.values()) <= 30
+
+
 # ---- pipeline
 
 

@@ -11,6 +11,7 @@ from corpusloom.llm import topk
 def test_top_k(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "BAND", 90)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "STEP", 16)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 12))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -50,3 +51,21 @@ def test_repeated_ids_with_different_vectors(spark, monkeypatch):
         best = sorted((-int(a @ b), j) for i, a in x if i == q for j, b in x if j != q)[:5]
         want |= {(q, n + 1, j, -s) for n, (s, j) in enumerate(best)}
     assert set(map(tuple, topk.top_k(v, v.filter(F.col("vec_id") % 10 == 0), 5).collect())) == want
+
+
+def test_bands_too_short_for_a_block_are_not_sent(spark, monkeypatch):
+    """Lengths that fall fast: of later bands, no pair is left."""
+    monkeypatch.setattr(topk, "BAND", 40)
+    sent = []
+    monkeypatch.setattr(topk, "broadcast_if_small", lambda df, rows: sent.append(df.count()) or df)
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(size=(400, 6)))
+    x = np.floor(x / np.linalg.norm(x, axis=1, keepdims=True) * 20_000 * 0.98 ** np.arange(400)[:, None]).astype(int)
+    rows = spark.createDataFrame([(i, [int(c) for c in r]) for i, r in enumerate(x)], "vec_id long, vector array<long>")
+    got = set(map(tuple, topk.top_k(rows, rows.filter("vec_id % 20 = 0"), 5).collect()))
+    want = set()
+    for q in range(0, 400, 20):
+        best = sorted((-int(x[q] @ x[j]), j) for j in range(400) if j != q)[:5]
+        want |= {(q, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert got == want
+    assert len(sent) == 3 and sum(sent) < 6
