@@ -16,6 +16,7 @@ is therefore lossless.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +34,13 @@ MARK = "▁"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
 #: Texts are segmented together up to so many bytes; a longer text goes in parts of as many characters.
 BATCH = 500_000
+#: A unit of more characters (a script without spaces, a run of spaces) is drawn on its own, so many characters of its lattice at a time.
+LONG, SEGMENT = 2000, 1 << 14
+_HOLDS_LONG = re.compile(f"[^ \\n]{{{LONG}}}| {{{LONG}}}")
 #: Lattices of so many distinct units are kept for a task's next texts, then forgotten.
 UNITS = 30_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_ALL = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,6 +50,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mix_one(x: int) -> int:
+    """``_mix`` of one number."""
+    x &= _ALL
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _ALL
+    return x ^ (x >> 31)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces as text with plain spaces, their ids and weights, and the ids of the 256 bytes."""
@@ -198,27 +211,79 @@ class Segmenter:
             alpha[at] /= sums
 
     def encode(self, keys: np.ndarray, texts: list[str]) -> list[np.ndarray]:
-        """The sampled ids of each text; ``keys`` seed the rows.  A very long text goes part by part."""
-        long = [i for i, t in enumerate(texts) if len(t) > BATCH]
-        if not long:
-            return self._encode(keys, texts, np.zeros(len(texts), np.int64))
-        out = self._encode(keys, ["" if len(t) > BATCH else t for t in texts], np.zeros(len(texts), np.int64))
+        """The sampled ids of each text; ``keys`` seed the rows.  A very long text, or one with a very long unit, goes part by part."""
+        long = {i for i, t in enumerate(texts) if len(t) > BATCH or len(t) > LONG and _HOLDS_LONG.search(t)}
+        out = self._encode(keys, ["" if i in long else t for i, t in enumerate(texts)], np.zeros(len(texts), np.int64))
         for i in long:
-            parts = [self._encode(keys[i : i + 1], [part], np.array([place]))[0] for part, place in self._parts(texts[i])]
+            parts = []
+            for part, place, n in self._parts(texts[i]):
+                one = n == 1 and len(part) > LONG
+                parts.append(self._draw_long(part, self._state(keys[i : i + 1], place)) if one else self._encode(keys[i : i + 1], [part], np.array([place]))[0])
             out[i] = np.concatenate(parts)
         return out
 
+    def _state(self, keys: np.ndarray, place: int) -> int:
+        """The random state of the unit at ``place`` of a row."""
+        row = _mix(keys.astype(np.int64).view(np.uint64) + self.seed * _ODD)
+        return int(_mix(row + np.array([place], np.uint64) * _ODD)[0])
+
+    def _segment(self, chars: np.ndarray, lo: int, hi: int, window: list[float]):
+        """Of the nodes from lo + 1 to hi: where each one's edges begin, their lengths, ids and running sums, and the window after them.
+
+        ``window``: the forward sums of the nodes up to ``lo`` that an edge can begin at.
+        """
+        base = max(0, lo - self.longest + 1)
+        start, length, ids, weight = self._edges(chars[base:hi], hi - np.arange(base, hi))
+        end = base + start + length
+        own = np.flatnonzero(end > lo)
+        own = own[np.argsort(end[own], kind="stable")]
+        heads = np.searchsorted(end[own], np.arange(lo + 1, hi + 2)).tolist()
+        steps, drawn = length[own].tolist(), ids[own].tolist()
+        weights = (weight[own] * (self.scale ** np.arange(self.longest + 1))[length[own]]).tolist()
+        alpha, sums, at = window[-self.longest :], [], 0
+        for stop in heads[1:]:
+            total = 0.0
+            for e in range(at, stop):
+                total += alpha[-steps[e]] * weights[e]
+                sums.append(total)
+            at = stop
+            alpha.append(total)
+            if not 1e-100 < total < 1e100:  # shares only use ratios within a window
+                alpha = [a / total for a in alpha[-self.longest :]]
+        return heads, steps, drawn, sums, alpha[-self.longest :]
+
+    def _draw_long(self, unit: str, state: int) -> np.ndarray:
+        """One unit of any length, by segments: only the windows between them are kept from the forward pass."""
+        chars = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+        begins, windows = list(range(0, len(chars), SEGMENT)), [[1.0]]
+        for lo in begins:
+            windows.append(self._segment(chars, lo, min(len(chars), lo + SEGMENT), windows[-1])[-1])
+        out, node = [], len(chars)
+        for lo, window in zip(reversed(begins), reversed(windows[:-1]), strict=True):
+            if node <= lo:
+                continue
+            heads, steps, drawn, sums, _ = self._segment(chars, lo, node, window)
+            while node > lo:
+                state = _mix_one(state + int(_ODD))
+                u = ((state >> 11) + 0.5) * 2.0**-53
+                first, stop = heads[node - lo - 1], heads[node - lo]
+                edge = min(bisect_right(sums, u * sums[stop - 1], first, stop), stop - 1)
+                out.append(drawn[edge])
+                node -= steps[edge]
+        return self._spelled(np.array(out[::-1], np.int64))
+
     @staticmethod
-    def _parts(text: str) -> Iterator[tuple[str, int]]:
-        """Runs of whole units of about BATCH characters, with the number of units before each."""
-        begin, end, before, n = 0, 0, 0, 0
+    def _parts(text: str) -> Iterator[tuple[str, int, int]]:
+        """Runs of whole units of about BATCH characters, a very long unit alone; with the number of units before and in each."""
+        begin, end, before, n, alone = 0, 0, 0, 0, False
         for m in _UNITS.finditer(text):
-            if n and m.end() - begin > BATCH:
-                yield text[begin:end], before
+            long = m.end() - m.start() > LONG
+            if n and (alone or long or m.end() - begin > BATCH):
+                yield text[begin:end], before, n
                 begin, before, n = end, before + n, 0
-            end, n = m.end(), n + 1
+            end, n, alone = m.end(), n + 1, long
         if n:
-            yield text[begin:end], before
+            yield text[begin:end], before, n
 
     def _encode(self, keys: np.ndarray, texts: list[str], places: np.ndarray) -> list[np.ndarray]:
         """``places``: the number of each text's first unit."""
@@ -308,7 +373,8 @@ def encode_rows(docs: DataFrame, keep: list[str], key: str = "doc_id", path: str
     """``keep`` columns, ``ids`` (the sampled pieces of the whole text), ``n_ids`` and ``lossless``.
 
     ``lossless``: decoding the ids gave the text again.  Null texts count as empty and
-    have no ids; a null key is key 0; rows that repeat a key and a text repeat the ids.
+    have no ids; a null key is key 0; rows that repeat a key and a text repeat the ids; an
+    empty table gives no rows; columns that aren't kept are ignored, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(load(path, theta))  # one vocabulary
 
