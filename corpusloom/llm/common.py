@@ -31,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store with all that lies in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     spark = df.sparkSession
@@ -49,6 +55,12 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if no_larger_than(df, rows) else df
 
 
+def broadcast_if_light(df: DataFrame, weight: Column, total: int) -> DataFrame:
+    """Broadcast hint where the weights of all rows add up to ``total`` at most."""
+    light = (df.agg(F.sum(weight).alias("weight")).first()["weight"] or 0) <= total
+    return F.broadcast(df) if light else df
+
+
 def id_crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
