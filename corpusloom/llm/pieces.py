@@ -36,7 +36,6 @@ _UNITS = re.compile(r" *[^ \n]+|\n| +")
 BATCH = 500_000
 #: A unit of more characters (a script without spaces, a run of spaces) is drawn on its own, so many characters of its lattice at a time.
 LONG, SEGMENT = 2000, 1 << 14
-_HOLDS_LONG = re.compile(f"[^ \\n]{{{LONG}}}| {{{LONG}}}")
 #: Lattices of so many distinct units are kept for a task's next texts, then forgotten.
 UNITS = 30_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +49,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _may_hold_long(text: str) -> bool:
+    """False only where no unit is longer than LONG: such a one fills a window of half that length."""
+    half = LONG // 2
+    windows = range(0, len(text) - half + 1, half)
+    return " " * half in text or any(text.find(" ", k, k + half) < 0 and text.find("\n", k, k + half) < 0 for k in windows)
+
+
 def _mix_one(x: int) -> int:
     """``_mix`` of one number."""
     x &= _ALL
@@ -212,7 +218,7 @@ class Segmenter:
 
     def encode(self, keys: np.ndarray, texts: list[str]) -> list[np.ndarray]:
         """The sampled ids of each text; ``keys`` seed the rows.  A very long text, or one with a very long unit, goes part by part."""
-        long = {i for i, t in enumerate(texts) if len(t) > BATCH or len(t) > LONG and _HOLDS_LONG.search(t)}
+        long = {i for i, t in enumerate(texts) if len(t) > BATCH or _may_hold_long(t)}
         out = self._encode(keys, ["" if i in long else t for i, t in enumerate(texts)], np.zeros(len(texts), np.int64))
         for i in long:
             parts = []
