@@ -259,6 +259,134 @@ def test_redaction_masks_every_base_span(spark):
         assert "[" in got[i] and all(t[a:b] not in got[i] or any(t[a:b] in t[k : k + b - a] and not set(range(k, k + b - a)) <= covered for k in range(len(t))) for a, b in spans)
 
 
+PERSONAL = (
+    "James Smith|Mary Weber|Anna Zzyzx|visa 4111 1111 1111 1112|4929348385146306|9807915762804490|account 1234567|telefon: 0171 234567|hotel 1234567|lives in Paris|Lyon, |ssn 123-45-6789|"
+    "000-12-3456|(706) 555-3138|call 706 555 3138|mail foo [at] bar [dot] com|order 4929348385146309|noreply@shop.com|ann@uni.de|10.0.0.1|8.8.4.4|+1 (017) 555-7713|+49 170 1234567|+999 123456789| and |. |The "
+).split("|")
+
+
+def brute_pii(rows):
+    """The whole query again: candidates, votes, reliabilities and classifier, text by text."""
+    import regex
+
+    kinds = list(pii.PATTERNS)
+    known = {(k, v): (vote, least, most) for k, v, vote, least, most in pii.gazetteer.rows(_SPARK[0])}
+    found = []
+    for i, t in {t: (i, t) for i, t in rows}.values():
+        own = []
+        for kind, pattern in pii.PATTERNS.items():
+            for m in regex.finditer(PII_PLAIN.get(kind, pattern.replace("}}+", "}")), t or ""):
+                d = re.sub("[^0-9]", "", m[0])
+                if kind == "card" and len(d) < 13:
+                    continue
+                ok = {"email": True, "ip": kind != "ip" or max(map(int, m[0].split("."))) <= 255, "card": 13 <= len(d) <= 19 and luhn(d or "0"), "phone": 9 <= len(d) <= 15}.get(kind, False)
+                own.append({"kind": kinds.index(kind), "start": m.start(), "end": m.end(), "match": m[0], "digits": d, "valid": ok, "before": t[: m.start()]})
+        # what stands before a match reaches back to the match of its kind before that
+        ends = {}
+        for c in sorted(own, key=lambda c: (c["kind"], c["start"])):
+            c["before"] = c["before"][ends.get(c["kind"], 0) :][-40:].lower()
+            ends[c["kind"]] = c["end"]
+        anchors = [c for c in own if c["valid"]]
+        own = [c for c in own if c["kind"] < 4 or not any(a["start"] < c["end"] and c["start"] < a["end"] for a in anchors)]
+        for c in own:
+            kind, n, low = kinds[c["kind"]], len(c["digits"]), c["match"].lower()
+            tests = {"email": r"\.[a-z]{2,}$", "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "local": r"^\(?[2-9][0-9]{2}\)?[ .-][2-9]"}
+            if kind in ("ip", "card", "phone"):
+                c["form"] = 1 if c["valid"] else -1
+            elif kind in tests:
+                c["form"] = 1 if re.search(tests[kind], low) else -1
+            else:
+                c["form"] = {"number": -1 if n > 12 and n not in (15, 16) else 0, "spelled": int(bool(re.search(r"[a-z]{2,}[\])]?$", low)))}.get(kind, 0)
+            d = c["digits"]
+            values = {
+                "email": [re.sub(".*[^a-z]", "", low), low.split("@")[0] + "@"], "spelled": [re.sub(".*[^a-z]", "", low)], "ip": [low.split(".")[0].lstrip("0") or "0", ".".join(low.split(".")[:2])],
+                "phone": [d[:1], d[:2], d[:3]], "card": [d[:1], d[:2], d[:4]], "number": [d[:1], d[:2], d[:4]], "name": [low.split(" ")[-1]],
+            }.get(kind, [])
+            votes = [known[kind, v][0] if known[kind, v][1] <= n <= known[kind, v][2] else -1 for v in values if (kind, v) in known]
+            c["listed"] = min(votes) if votes else -1 if kind in ("card", "number") and n > 12 else 0
+            others = [a for a in anchors if a is not c]
+            beside = any(0 <= c["start"] - a["end"] <= pii.NEAR or 0 <= a["start"] - c["end"] <= pii.NEAR or a["start"] < c["end"] and c["start"] < a["end"] for a in others)
+            cue = re.search(pii.CUES[kind], c["before"])
+            c["context"] = -1 if re.search(pii.AGAINST, c["before"]) else 1 if cue or beside else 0
+        found += [{**c, "text": t} for c in own]
+    names = ("form", "listed", "context")
+    cells = Counter((c["kind"], *(c[x] for x in names), c["valid"]) for c in found)
+    rel = {(x, y, v): 0.6 if v == (1 if y else -1) else 0.3 if v == 0 else 0.1 for x in names for y in (0, 1) for v in (-1, 0, 1)}
+    start, prior, soft = dict(rel), {k: 0.5 for k in range(len(kinds))}, {}
+    for _ in range(pii.EM_ROUNDS):
+        for cell in cells:
+            joint = [np.prod([rel[x, y, v] for x, v in zip(names, cell[1:4], strict=True)]) * (prior[cell[0]] if y else 1 - prior[cell[0]]) for y in (0, 1)]
+            soft[cell] = 1.0 if cell[4] else joint[1] / sum(joint)
+        for k in prior:
+            mine = [c for c in cells if c[0] == k]
+            prior[k] = (1 + sum(soft[c] * cells[c] for c in mine)) / (2 + sum(cells[c] for c in mine))
+        for j, x in enumerate(names, 1):
+            for y in (0, 1):
+                weight = {c: (soft[c] if y else 1 - soft[c]) * n for c, n in cells.items() if x != "form" or not c[4]}
+                for v in (-1, 0, 1):
+                    rel[x, y, v] = (sum(w for c, w in weight.items() if c[j] == v) + 20 * start[x, y, v]) / (sum(weight.values()) + 20)
+    total = sum(cells.values())
+    bias, weights = 0.0, Counter()
+    parts = lambda c: [("kind", c[0]), *((x, v) for x, v in zip(names, c[1:4], strict=True) if v and not (x == "form" and c[4:] == (True,)))]
+    for _ in range(pii.FIT_ROUNDS):
+        up = {c: (soft[c] - 1 / (1 + np.exp(-(bias + sum(weights[f] for f in parts(c)))))) * n / total for c, n in cells.items()}
+        bias += 2 * sum(up.values())
+        for f in {f for c in cells for f in parts(c)}:
+            weights[f] += 2 * sum(u for c, u in up.items() if f in parts(c)) - 2e-3 * weights[f]
+    margin = lambda c: bias + sum(weights[f] for f in parts((c["kind"], *(c[x] for x in names))))
+    spans = {t: [] for _, t in rows}
+    for c in sorted(found, key=lambda c: (c["kind"], c["start"])):
+        if c["valid"] or c["kind"] > 3 and margin(c) > 0 and max(c[x] for x in names) > 0:
+            spans[c["text"]].append(f"{kinds[c['kind']]}:{c['start']}:{c['end']}")
+    return {i: ",".join(spans[t]) for i, t in rows}
+
+
+_SPARK: list = []
+
+
+def test_the_whole_pii_query(spark):
+    _SPARK[:] = [spark]
+    rng = random.Random(21)
+    words = ["river", "stone", "version 2 of", "she said", "12", "über"]
+    rows = [(i, " ".join(rng.choice(PERSONAL if rng.random() < 0.35 else words) for _ in range(rng.randrange(30)))) for i in range(400)]
+    rows += [(900, None), (901, ""), (902, rows[3][1])]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, rows)).collect()}
+    want = brute_pii(rows)
+    assert got == want
+    added = Counter(s.split(":")[0] for spans in want.values() for s in spans.split(",") if s)
+    assert sum(added[k] for k in ("number", "name", "place", "ssn", "local", "spelled")) > 50
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """Planted data in plain prose, with decoys of the same look."""
+    rng = random.Random(22)
+    prose = lambda: " ".join(rng.choices(["the", "river", "was", "cold", "and", "they", "walked", "home", "Monday", "early"], k=rng.randrange(6, 25)))
+    digits = lambda n: "".join(rng.choices("123456789", k=n))
+    given, family = pii.gazetteer.GIVEN_NAMES, pii.gazetteer.FAMILY_NAMES
+    planted = [
+        lambda: ("name", f"Mr {rng.choice(given)} {rng.choice(family)}", 3), lambda: ("name", f"{rng.choice(given)} {rng.choice(family)}", 0), lambda: ("place", f"lives in {rng.choice(pii.gazetteer.CITIES)}", 9),
+        lambda: ("ssn", f"ssn {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", 4), lambda: ("number", f"visa 4{digits(15)}", 5), lambda: ("number", f"account {digits(8)}", 8),
+        lambda: ("local", f"call ({rng.randrange(200, 900)}) {rng.randrange(200, 999)}-{digits(4)}", 5), lambda: ("spelled", f"write to {rng.choice(given).lower()} [at] mail [dot] com", 9),
+    ]
+    decoys = [lambda: "Paul Revere", lambda: f"serial {digits(17)}", lambda: "Nice weather", lambda: f"{digits(14)}", lambda: "000-12-3456", lambda: f"version 111 111 {digits(4)}"]
+    base = [lambda: f"mail {rng.choice(given).lower()}@mail.com", lambda: f"ip {rng.randrange(11, 99)}.{rng.randrange(99)}.7.9", lambda: f"phone +49 170 {digits(7)}"]
+    rows, truth = [], set()
+    for i in range(1500):
+        text, what = prose() + " ", i % 4
+        if what < 2:
+            kind, span, lead = rng.choice(planted)()
+            if not (kind == "number" and len(span) > 18 and luhn(re.sub("[^0-9]", "", span))):
+                truth.add((i, f"{kind}:{len(text) + lead}:{len(text) + len(span)}"))
+            text += span
+        else:
+            text += rng.choice(decoys if what == 2 else base)()
+        rows.append((i, f"{text} {prose()}"))
+    got = {(r["doc_id"], s) for r in pii.find_pii(frame(spark, rows)).collect() for s in r["spans"].split(",") if s and s.split(":")[0] not in PII_PLAIN}
+    precision, recall = len(got & truth) / len(got), len(got & truth) / len(truth)
+    print(f"added spans: precision {precision:.3f}, recall {recall:.3f} of {len(truth)}")
+    assert precision >= 0.9 and recall >= 0.75, (precision, recall, Counter(s.split(":")[0] for _, s in got - truth), Counter(s.split(":")[0] for _, s in truth - got))
+
+
 def test_votes_recover_reliabilities():
     rng = np.random.default_rng(1)
     counts = Counter()
@@ -370,6 +498,27 @@ def test_a_text_in_parts_has_the_same_pieces(monkeypatch):
         assert all((a == b).all() for a, b in zip(segmenter.encode(keys, texts), whole, strict=True))
 
 
+def test_a_very_long_unit_has_the_same_pieces(monkeypatch):
+    segmenter = pieces.Segmenter(pieces.load())
+    rng = random.Random(17)
+    texts = ["".join(rng.choices("日本語の文abcion", k=700)), "x" * 900, "a b" + " " * 500 + "c\n" + "tion" * 200, "😀" * 300 + "é"]
+    keys = np.arange(len(texts))
+    whole = segmenter.encode(keys, texts)
+    for long, segment in ((40, 16), (100, 333), (300, 1 << 14)):
+        monkeypatch.setattr(pieces, "LONG", long)
+        monkeypatch.setattr(pieces, "SEGMENT", segment)
+        got = segmenter.encode(keys, texts)
+        assert [segmenter.decode(i) for i in got] == texts
+        assert all(len(a) == len(b) and (a == b).all() for a, b in zip(got, whole, strict=True))
+
+
+def test_an_unspaced_text_of_megabytes():
+    segmenter = pieces.Segmenter(pieces.load())
+    text = "".join(random.Random(18).choices("日本語の文字とabc", k=1_000_000))
+    ids = segmenter.encode(np.array([3]), [text])[0]
+    assert segmenter.decode(ids) == text and (segmenter.encode(np.array([3]), [text])[0] == ids).all()
+
+
 def test_decoding_rows(spark):
     rows = list(enumerate(texts_with_copies(30)))
     encoded = pieces.encode_rows(frame(spark, rows), ["doc_id"])
