@@ -103,6 +103,31 @@ def longest_run(answer: Column, context: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(best / n)
 
 
+def _word_runs(df: DataFrame, key: str, size: int) -> DataFrame:
+    """key, n (words), at, run: every run of ``size`` words and where it starts."""
+    words = df.select(key, F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "").alias("w"))
+    run = F.col("w")
+    for i in range(1, size):
+        run = F.zip_with(run, F.slice("w", i + 1, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    words = words.select(key, F.size("w").alias("n"), run.alias("r"))
+    return words.select(key, "n", F.posexplode_outer("r").alias("at", "run")).filter("run IS NOT NULL")
+
+
+def coverage(items: DataFrame, contexts: DataFrame, item: str, context: str, size: int = 5) -> DataFrame:
+    """item, context, share: of the item's words, those in the longest run that the context holds as it is.
+
+    Runs of ``size`` words meet by equality; runs that go on along both texts are one.
+    Pairs that share no run of that length have no row.
+    """
+    both = _word_runs(items, item, size).join(_word_runs(contexts, context, size).select(context, F.col("at").alias("there"), "run"), "run")
+    both = both.withColumn("shift", F.col("at") - F.col("there"))
+    along = Window.partitionBy(item, context, "shift").orderBy("at")
+    parts = both.withColumn("part", F.col("at") - F.row_number().over(along))
+    runs = parts.groupBy(item, context, "shift", "part").agg(F.count("*").alias("long"), F.first("n").alias("n"))
+    longest = runs.groupBy(item, context).agg(F.max((F.col("long") + size - 1) / F.col("n")).alias("share"))
+    return longest.withColumn("share", F.round("share", 6))
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Ranks from 1 within keys; ties share their mean."""
     w = Window.partitionBy(*keys).orderBy(value)

@@ -107,15 +107,23 @@ def ancestor_rollup(files: DataFrame) -> DataFrame:
 
 
 def collapsed_chains(rollup: DataFrame, files: DataFrame) -> DataFrame:
-    """Folders with one child folder and no own file give way to that child (``shown``: kept folders).
+    """Folders with one child folder and no own file give way to that child, whose ``name`` then names the whole chain.
 
-    A folder is such a link when exactly one folder lies directly below it and no file does.
+    A folder is such a link when exactly one folder lies directly below it and no file
+    does.  A kept folder takes the names of the links right above it, as ``a / b / c``.
     """
     parent = lambda c: F.regexp_replace(c, "/[^/]*$", "")
     children = rollup.select(parent(F.col("folder")).alias("folder")).groupBy("folder").agg(F.count("*").alias("n"))
     own = files.select(parent(F.col("path")).alias("folder")).distinct()
     links = children.filter("n = 1").join(own, "folder", "left_anti").select("folder")
-    return rollup.join(links, "folder", "left_anti")
+    kept = rollup.join(links, "folder", "left_anti")
+    # every kept folder with those above it; after the last of these that is no link, the names are its own
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(parts, 1, i), "/").alias("up")))
+    each = kept.filter(F.size(parts) > 2).select("folder", F.explode(above).alias("a")).select("folder", "a.i", "a.up")
+    last = each.join(links.select(F.col("folder").alias("up")), "up", "left_anti").groupBy("folder").agg(F.max("i").alias("last"))
+    named = kept.join(last, "folder", "left")
+    return named.withColumn("name", F.array_join(F.slice(parts, F.coalesce("last", F.lit(1)) + 1, F.size(parts)), " / ")).drop("last")
 
 
 def interval_union(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -166,3 +174,34 @@ def nearest_percentile(values: Column, q: float) -> Column:
     """The sorted array's value at min(n - 1, floor(n q))."""
     n = F.size(values)
     return F.get(values, F.least(n - 1, F.floor(n * F.lit(q)).cast("int")))
+
+
+def sections(df: DataFrame, group: str, order: str, line: str) -> DataFrame:
+    """group, order, line: the lines of each section in their order, empty ones left out; the first carries the heading.
+
+    A section stays a set of rows, so one of any length is no single value in one task.
+    """
+    rows = df.filter(F.length(line) > 0).select(group, order, line)
+    first = rows.groupBy(group).agg(F.min(order).alias("__first"))
+    head = F.when(F.col(order) == F.col("__first"), F.concat(F.lit("## "), group, F.lit("\n\n"), line)).otherwise(F.col(line))
+    return rows.join(first, group).select(group, order, head.alias(line))
+
+
+def paths_from_parents(nodes: DataFrame, deepest: int = 64) -> DataFrame:
+    """id, path, depth from an adjacency list (id, parent, name); roots have parent 0.
+
+    A level at a time by joins on the parent, each written before the next: neither the number of
+    rows nor the plan is bounded by a recursion limit.
+    """
+    from corpusloom.operators.tables import cut
+
+    nodes = cut(nodes.select("id", "parent", "name"))
+    front = cut(nodes.filter("parent = 0").select("id", F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth")))
+    out = front
+    for depth in range(2, deepest + 1):
+        below = nodes.join(front.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent")
+        front = cut(below.select("id", F.concat("above", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out

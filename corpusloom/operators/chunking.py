@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,18 +140,28 @@ def definition_spans(text: str, language: str) -> list[tuple[str, int, int]]:
     return [(n, a, b) for (n, a), (_, b) in zip(cuts, cuts[1:], strict=False) if text[a:b].strip()]
 
 
-def stream_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """key, seq, start, end, chunk: the boundary-seeking chunker on every text."""
+def _flat(batch: pa.RecordBatch, keep: list[str], found: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """One row for each tuple of ``found``, beside the kept columns of the row it came from."""
+    rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+    columns = list(zip(*chain.from_iterable(found), strict=True)) or [()] * len(fields)
+    known = [batch.column(batch.schema.get_field_index(k)).take(rows) for k in keep]
+    return pa.record_batch([*known, *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], [*keep, *(n for n, _ in fields)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for k, t in zip(rows[key], rows[text], strict=True):
+
+def stream_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, with_text: bool = True) -> DataFrame:
+    """key, seq, start, end and, if asked for, chunk: the boundary-seeking chunker on every text."""
+    fields = [("seq", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), *([("chunk", pa.string())] if with_text else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t in batch.column(1).to_pylist():
                 spans = stream_spans(t or "", size, overlap)
-                if spans:
-                    start, end = zip(*spans, strict=True)
-                    yield pd.DataFrame({key: k, "seq": range(len(spans)), "start": start, "end": end, "chunk": [t[a:b] for a, b in spans]})
+                found.append([(i, a, b, *((t[a:b],) if with_text else ())) for i, (a, b) in enumerate(spans)])
+            yield _flat(batch, [key], found, fields)
 
-    return df.select(key, text).filter(F.col(key).isNotNull()).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, seq long, start long, end long, chunk string")
+    rows = df.select(key, text).filter(F.col(key).isNotNull())
+    return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, seq long, start long, end long{', chunk string' if with_text else ''}")
 
 
 def routed_chunks(df: DataFrame) -> DataFrame:
@@ -171,12 +184,74 @@ def routed_chunks(df: DataFrame) -> DataFrame:
             spans = [("", a, b) for a, b in markdown_spans(text, CHUNK_CHARS)]
         return spans or [("", a, b) for a, b in stream_spans(text)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for i, kind, text in zip(rows["file_id"], rows["type"], rows["text"], strict=True):
-                spans = one(kind or "", text or "")
-                if spans:
-                    symbol, start, end = zip(*spans, strict=True)
-                    yield pd.DataFrame({"file_id": i, "symbol": symbol, "start": start, "end": end})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, texts = (batch.column(i).to_pylist() for i in (1, 2))
+            found = [one(k or "", t or "") for k, t in zip(kinds, texts, strict=True)]
+            yield _flat(batch, ["file_id"], found, [("symbol", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+    return df.select("file_id", "type", "text").mapInArrow(run, "file_id long, symbol string, start long, end long")
+
+
+def python_chunks(text: str, prefix: str, most: int = 4 * 512) -> list[tuple[int, int, str]]:
+    """(start, end, chunk) of a module: what stands outside definitions first, then each top-level definition.
 
-    return df.select("file_id", "type", "text").mapInPandas(run, "file_id long, symbol string, start long, end long")
+    A definition takes its decorators and the comment lines right above it.  The module's
+    imports go before the first chunk only.  A chunk over ``most`` characters is cut
+    blindly; so is a module without code, or one that doesn't parse.
+    """
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", SyntaxWarning)
+            body = ast.parse(text).body
+    except (SyntaxError, ValueError, RecursionError):
+        return blind_chunks(text, prefix, most)
+    lines = text.split("\n")
+    at = [0, *accumulate(len(line) + 1 for line in lines)]
+
+    def first_line(node: ast.stmt, floor: int) -> int:
+        line = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]) - 1
+        while line > floor and lines[line - 1].lstrip().startswith("#"):
+            line -= 1
+        return line
+
+    imports, loose, definitions, floor = "", set(), [], 0
+    for node in body:
+        if isinstance(node, (ast.Import, ast.ImportFrom)):
+            imports += "\n".join(lines[node.lineno - 1 : node.end_lineno]) + "\n"
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            definitions.append((first_line(node, floor), node.end_lineno))
+        else:
+            loose |= set(range(first_line(node, floor), node.end_lineno))
+        floor = node.end_lineno
+    parts = [(a, at[a], min(len(text), at[b]), "\n".join(lines[a:b])) for a, b in definitions]
+    module = "\n".join(lines[i] for i in sorted(loose))
+    if module.strip():
+        # gathered from separate lines: it starts at the first of them and is as long as what it holds
+        parts.insert(0, (min(loose), at[min(loose)], min(len(text), at[min(loose)] + len(module)), module))
+    out: list[tuple[int, int, str]] = []
+    for _, start, end, code in parts:
+        lead = prefix + (f"\n{imports}" if imports and not out else "")
+        whole = f"{lead}\n{code}"
+        out += [(start, end, whole)] if len(whole) <= most else blind_chunks(code, lead, most, start)
+    return out or blind_chunks(text, prefix, most)
+
+
+def blind_chunks(text: str, prefix: str, most: int, base: int = 0) -> list[tuple[int, int, str]]:
+    """Windows of what the prefix leaves of ``most``, stepping 50 characters less; a prefix that leaves under 100 isn't counted."""
+    room = most - len(prefix) - 5
+    room = room if room >= 100 else most
+    return [(base + a, base + min(len(text), a + room), f"{prefix}\n{text[a : a + room]}") for a in range(0, len(text), max(1, room - 50))]
+
+
+def code_chunks(df: DataFrame, most: int = 4 * 512) -> DataFrame:
+    """file_id, seq, start, end, chunk of Python files (columns file_id, path, text), each chunk under its file's context prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = (batch.column(i).to_pylist() for i in (1, 2))
+            found = [[(i, *c) for i, c in enumerate(python_chunks(t or "", f"[PY: {n}] ", most))] for n, t in zip(names, texts, strict=True)]
+            yield _flat(batch, ["file_id"], found, [("seq", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("chunk", pa.string())])
+
+    rows = df.select("file_id", F.element_at(F.split("path", "/"), -1).alias("name"), "text")
+    return rows.mapInArrow(run, "file_id long, seq long, start long, end long, chunk string")

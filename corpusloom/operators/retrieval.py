@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,43 +14,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.tables import cut
+
 # Keyword ranking, fusion and allocation constants.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, LEG_WEIGHTS = 60, {"keyword": 0.4, "vector": 0.6, "summary": 0.05}
 DOMAIN_SHARE = 0.6
-RERANK_K, RERANK_WEIGHT = 10, 0.5
-#: Queries whose vectors are held by every task at once.
-QUERY_BLOCK = 4096
+RERANK_K, RERANK_WEIGHT, RERANK_CHARS = 10, 0.5, 2048
+#: Queries and vectors that one task scores.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16_384
+
+
+def overlaps_itself(term: str) -> bool:
+    """Whether a term can occur again before it ends, as ``aa`` in ``aaa``."""
+    return any(term.startswith(term[i:]) for i in range(1, len(term)))
 
 
 def occurrences(text: Column, term: str) -> Column:
-    """How often a term occurs, overlaps included; one pass over the text."""
+    """How often a term occurs, overlaps included.
+
+    What is missing once the term is taken out tells it, without a pattern; only a term
+    that can overlap itself needs one.
+    """
+    if not overlaps_itself(term):
+        return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))) / len(term.encode())).cast("int")
     quoted = "".join(f"\\x{{{ord(c):x}}}" for c in term)
-    return F.regexp_count(text, F.lit(f"(?={quoted})"))
+    return F.when(F.contains(text, F.lit(term)), F.regexp_count(text, F.lit(f"(?={quoted})"))).otherwise(0)
 
 
 def bm25(df: DataFrame, text: str, terms: list[str], keep: list[str]) -> DataFrame:
     """``keep`` columns and ``score`` (greater is better) of the rows that hold a term of three characters or more.
 
     Length counts trigrams; row counts and average length are those of all rows,
-    whatever is filtered afterwards.  Statistics and scores share one scan's columns:
-    a term is counted once for each row.
+    whatever is filtered afterwards.
+    """
+    total = df.agg(F.count("*").alias("n"), F.avg(F.greatest(F.lit(0), F.length(text) - 2)).alias("avg")).first()
+    return bm25_scored(df, text, sorted({t.lower() for t in terms if len(t) >= 3}), keep, total["n"], total["avg"])
+
+
+def bm25_scored(df: DataFrame, text: str, terms: list[str], keep: list[str], n_rows: int, average: float | None) -> DataFrame:
+    """Scores of the rows of ``df`` that hold a term, among ``n_rows`` rows of that average length.
+
+    ``df`` must hold every row with a term.  Terms are counted once; the rows that hold
+    one, without their texts, are written and give the terms' document counts and scores.
     """
-    terms = sorted({t.lower() for t in terms if len(t) >= 3})
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    counted = df.select(*keep, F.greatest(F.lit(0), F.length(text) - 2).alias("__dl"), *[occurrences(low, t).alias(f"__tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("__dl").alias("avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
+    hit = F.lit(False)
+    for t in terms:
+        hit = hit | F.contains(low, F.lit(t))
+    counted = df.filter(hit).select(*keep, F.greatest(F.lit(0), F.length(text) - 2).alias("__dl"), *[occurrences(low, t).alias(f"__tf{i}") for i, t in enumerate(terms)])
+    counted = cut(counted)
+    held = counted.agg(F.count("*"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
-    norm = (F.col("__dl") / float(stats["avg"] or 1.0)) * (K1 * B) + K1 * (1 - B)
+    norm = (F.col("__dl") / float(average or 1.0)) * (K1 * B) + K1 * (1 - B)
     for i in range(len(terms)):
-        df_i = stats[f"df{i}"] or 0
-        idf = max(LEAST_IDF, math.log((stats["n"] - df_i + 0.5) / (df_i + 0.5)))
+        df_i = held[f"df{i}"] or 0
+        idf = max(LEAST_IDF, math.log((n_rows - df_i + 0.5) / (df_i + 0.5)))
         tf = F.col(f"__tf{i}")
         score = score + F.lit(idf) * tf * (K1 + 1) / (tf + norm)
-    hit = F.lit(False)
-    for i in range(len(terms)):
-        hit = hit | (F.col(f"__tf{i}") > 0)
-    return counted.filter(hit).select(*keep, score.alias("score"))
+    return counted.select(*keep, score.alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,49 +92,54 @@ def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None
     return rows.withColumn("distance", F.round(cosine_distance(F.col("embedding"), target), 6)).orderBy("distance", "vec_id").limit(k)
 
 
+def _in_blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """(name, ids, data): blocks of about ``size`` unit vectors each, packed in tasks."""
+    parts = max(1, -(-rows.count() // size))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            rows = pd.concat(held)
+            x = np.array(rows["embedding"].tolist(), float)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            yield pd.DataFrame({name: [int(rows[name].iloc[0])], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "data": [x.tobytes()]})
+
+    ranged = rows.select("vec_id", "embedding").repartitionByRange(parts, "vec_id").withColumn(name, F.spark_partition_id().cast("long"))
+    return cut(ranged.mapInPandas(pack, f"{name} long, ids binary, data binary"))
+
+
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, distance for a stated query set, in blocks of queries.
+    """query_id, rank, vec_id, distance for a stated query set against all vectors.
 
-    Every task scores its vectors against the block and keeps k for each query; only
-    those are shuffled.  A query is no neighbour of itself.
+    Queries and vectors are packed into blocks in tasks; each task scores one block of
+    either and keeps k for each query.  Nothing but the numbers of the blocks comes to
+    the driver.  A query is no neighbour of itself.
     """
-    spark, out = vectors.sparkSession, None
-    rows = queries.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()
-    block: list = []
-
-    def scan(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        held = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own, unit = held.value
-            for b in batches:
-                if len(b):
-                    x = np.array(b["embedding"].tolist(), float)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    d, v = np.round(1 - unit @ x.T, 6), b["vec_id"].to_numpy()
-                    d[own[:, None] == v[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(v, d.shape), d), axis=1)[:, :k]
-                    dist = np.take_along_axis(d, order, 1)
-                    part = pd.DataFrame({"query_id": np.repeat(own, order.shape[1]), "vec_id": v[order].ravel(), "distance": dist.ravel()})
-                    yield part[np.isfinite(part["distance"])]
-
-        return vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, distance double")
-
-    def flush() -> None:
-        nonlocal out, block
-        if block:
-            part = scan(np.array([r["vec_id"] for r in block]), np.array([r["embedding"] for r in block], float))
-            out, block = part if out is None else out.unionByName(part), []
-
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            flush()
-    flush()
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double")
+    left, right = _in_blocks(vectors, VECTOR_BLOCK, "band"), _in_blocks(queries, QUERY_BLOCK, "block")
+    bands, blocks = ((df.agg(F.max(name)).first()[0] or 0) + 1 for df, name in ((left, "band"), (right, "block")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def scan(key: tuple, some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        fields = ["query_id", "vec_id", "distance"]
+        if not len(some) or not len(asked):
+            return pd.DataFrame([], columns=fields).astype({"query_id": "int64", "vec_id": "int64", "distance": "float64"})
+        v, own = (np.frombuffer(df["ids"].iloc[0], np.int64) for df in (some, asked))
+        x, q = (np.frombuffer(df["data"].iloc[0]).reshape(len(ids), -1) for df, ids in ((some, v), (asked, own)))
+        out = []
+        for at in range(0, len(q), 256):
+            d = np.round(1 - q[at : at + 256] @ x.T, 6)
+            d[own[at : at + 256, None] == v[None, :]] = np.inf
+            if len(v) > 4 * k:  # all that tie with the k-th stay for the sort
+                d = np.where(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k], d, np.inf)
+            order = np.lexsort((np.broadcast_to(v, d.shape), d), axis=1)[:, :k]
+            part = pd.DataFrame({"query_id": np.repeat(own[at : at + 256], order.shape[1]), "vec_id": v[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
+            out.append(part[np.isfinite(part["distance"])])
+        return pd.concat(out)
+
+    pairs = left.withColumn("block", every(blocks)).groupBy("block", "band").cogroup(right.withColumn("band", every(bands)).groupBy("block", "band"))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    scored = pairs.applyInPandas(scan, "query_id long, vec_id long, distance double")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def id_order(name: str) -> list[Column]:
@@ -162,9 +191,12 @@ def rerank_fused(df: DataFrame) -> DataFrame:
 
 
 def footprint_prefix(df: DataFrame, budget: int = 60_000, times_k: int = 40) -> DataFrame:
-    """The longest prefix (one row at least) whose padded size, rows times the longest text so far, fits."""
+    """The longest prefix (one row at least) whose padded size, rows times the longest text so far, fits.
+
+    The reranker reads RERANK_CHARS characters of a text at most, so a longer one counts as that.
+    """
     upto = Window.partitionBy("query").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"__n": F.count("*").over(upto), "__w": F.max(F.length("text")).over(upto)})
+    df = df.withColumns({"__n": F.count("*").over(upto), "__w": F.max(F.least(F.length("text"), F.lit(RERANK_CHARS))).over(upto)})
     bad = (F.col("__n") * F.col("__w") > budget) | (F.col("__n") > times_k)
     df = df.withColumn("__bad", F.max((bad & (F.col("__n") > 1)).cast("int")).over(upto))
     return df.filter("__bad = 0").drop("__n", "__w", "__bad")
@@ -190,21 +222,56 @@ def without_overlaps(df: DataFrame, share: float = 0.7) -> DataFrame:
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, spans = None, []
+        now, spans, longest = None, [], 0
         for batch in batches:
             keep = []
             for query, path, a, b in zip(*(batch.column(c).to_pylist() for c in ("query", "path", "start", "end")), strict=True):
                 if (query, path) != now:
-                    now, spans = (query, path), []
-                clash = any(max(0, min(b, d) - max(a, c)) / max(1, min(b - a, d - c)) >= share for c, d in spans)
+                    now, spans, longest = (query, path), [], 0
+                # kept spans by start: only those that begin within the longest one before can reach this one
+                near = spans[bisect.bisect_left(spans, (a - longest, a)) : bisect.bisect_left(spans, (b, b))]
+                clash = any(max(0, min(b, d) - max(a, c)) / max(1, min(b - a, d - c)) >= share for c, d in near)
                 keep.append(not clash)
                 if not clash:
-                    spans.append((a, b))
+                    bisect.insort(spans, (a, b))
+                    longest = max(longest, b - a)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.repartition("query", "path").sortWithinPartitions("query", "path", "pos").mapInArrow(walk, df.schema)
 
 
+def without_redundancy(df: DataFrame, share: float = 0.7, cap: int = 100) -> DataFrame:
+    """One walk of each query's rows by pos (columns query, pos, path, start, end, text): up to ``cap`` rows stay.
+
+    A text under 50 characters always stays and is compared with nothing.  Of the others
+    one goes if its text, white space levelled, is that of a kept row of any file, or if
+    it shares ``share`` of the shorter span with a kept row of its file.  Rows are
+    streamed in order; what is held of a query is the ``cap`` rows kept at most.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, texts, spans = object(), 0, set(), {}
+        for batch in batches:
+            keep = []
+            for query, path, a, b, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("query", "path", "start", "end", "text")), strict=True):
+                if query != now:
+                    now, kept, texts, spans = query, 0, set(), {}
+                text, stays = text or "", kept < cap
+                if stays and len(text) >= 50:
+                    name, own = " ".join(text.split()), spans.setdefault(path, []) if None not in (path, a, b) else None
+                    shared = own is not None and any(min(b, d) > max(a, c) and min(b, d) - max(a, c) >= share * min(b - a, d - c) for c, d in own)
+                    stays = name not in texts and not shared
+                    if stays:
+                        texts.add(name)
+                        if own is not None:
+                            own.append((a, b))
+                kept += stays
+                keep.append(stays)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition("query").sortWithinPartitions("query", "pos").mapInArrow(walk, df.schema)
+
+
 def packed(df: DataFrame, budget: int) -> DataFrame:
     """Snippets of each query cut to a token budget: each takes half of what is left at most, 32 tokens at least.
 
@@ -273,3 +340,28 @@ def contradiction(a: Column, b: Column) -> Column:
     share = F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.least(F.size(x), F.size(y)))
     negates = lambda t: F.lower(t).rlike(r"\b(?:not|never|no|cannot|false|incorrect|wrong)\b")
     return (share > 0.5) & (negates(a) != negates(b))
+
+
+# Words of a question that never count as a gap.
+GAP_STOP_WORDS = "which where about could would should their there these those because through using under".split()
+
+
+def knowledge_gaps(question: str, retrieved: DataFrame, corpus: DataFrame, least: int = 3) -> DataFrame:
+    """(gap): what the question asks about and the rows found (pos, text, rerank_score) don't cover.
+
+    A word of over four letters is a gap if no retrieved text holds it and fewer than ``least``
+    rows of the corpus do.  The whole question is one if nothing was retrieved, or if no
+    word is a gap and the best row's rerank score lies below -2.
+    """
+    spark = corpus.sparkSession
+    words = sorted({w for w in re.sub(r"[^a-z0-9\s]", " ", question.lower()).split() if len(w) > 4} - set(GAP_STOP_WORDS))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    found = retrieved.agg(F.count("*").alias("n"), F.min_by("rerank_score", "pos").alias("best"), *[F.max(F.contains(low, F.lit(w))).alias(f"w{i}") for i, w in enumerate(words)]).first()
+    missing = [w for i, w in enumerate(words) if not found[f"w{i}"]] if found["n"] else []
+    gaps = [question] if not found["n"] else []
+    if missing:
+        counts = corpus.agg(*[F.sum(F.contains(low, F.lit(w)).cast("long")).alias(f"w{i}") for i, w in enumerate(missing)]).first()
+        gaps = [w for i, w in enumerate(missing) if (counts[f"w{i}"] or 0) < least]
+    if not gaps and found["best"] is not None and found["best"] < -2.0:
+        gaps = [question]
+    return spark.createDataFrame([(g,) for g in gaps], "gap string")

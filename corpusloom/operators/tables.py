@@ -127,3 +127,28 @@ def write_state(df: DataFrame, path: str) -> DataFrame:
 def sql(spark: SparkSession, text: str, args: dict[str, object], **frames: DataFrame) -> DataFrame:
     """A parameterised statement over DataFrames by name."""
     return spark.sql(text, args=args, **frames)
+
+
+#: What a reset empties.  The page cache goes by content, so it outlives the files and goes only when asked for.
+CLEARED = {
+    "all": ("files", "chunks", "vectors", "history", "profiles", "queue"),
+    "vectors": ("vectors",),
+    "history": ("history",),
+    "cache": ("cache",),
+}
+
+
+def cleared(state: dict[str, DataFrame], what: str) -> dict[str, DataFrame]:
+    """The new state of all tables after a reset of ``what``: emptied ones keep their columns, the others their rows."""
+    return {name: df.limit(0) if name in CLEARED[what] else df for name, df in state.items()}
+
+
+def reset_counts(state: dict[str, DataFrame], what: str) -> DataFrame:
+    """(target, removed, left) of each table for a reset of ``what``."""
+    out = None
+    for name, df in state.items():
+        n, none = F.count("*"), F.lit(0).cast("long")
+        removed, left = (n, none) if name in CLEARED[what] else (none, n)
+        row = df.agg(F.lit(name).alias("target"), removed.alias("removed"), left.alias("left"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -21,12 +21,7 @@ p AS (SELECT id, '/' || name AS path, 1 AS depth FROM n WHERE parent = 0 UNION A
 )
 def adjacency_paths(spark: SparkSession, d: str) -> DataFrame:  # S4: paths from (id, parent, name), level by level
     n = table(spark, d, "documents").select((F.col("doc_id") + 1).alias("id"), F.floor((F.col("doc_id") + 1) / 4).alias("parent"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
-    return tables.sql(
-        spark,
-        """WITH RECURSIVE p(id, path, depth) MAX RECURSION LEVEL 64 AS (SELECT id, '/' || name, 1 FROM {n} WHERE parent = 0 UNION ALL
-        SELECT n.id, p.path || '/' || n.name, p.depth + 1 FROM p JOIN {n} n ON n.parent = p.id) SELECT id, path, depth FROM p""",
-        {}, n=n,
-    )
+    return an.paths_from_parents(n)
 
 
 @query(
@@ -100,13 +95,12 @@ def fast_answer(spark: SparkSession, d: str) -> DataFrame:  # R18, R30
 
 @query(
     "context_sections",
-    """SELECT source, regexp_replace('## ' || source || chr(10) || chr(10) || string_agg(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || ' ' || n_chars END, chr(10) || chr(10) ORDER BY doc_id), '\\n{3,}', chr(10) || chr(10), 'g') AS section FROM documents GROUP BY source""",
+    """WITH t AS (SELECT source, doc_id, lang || ' ' || n_chars AS line FROM documents WHERE doc_id % 3 <> 0)
+SELECT source, doc_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source) THEN '## ' || source || chr(10) || chr(10) || line ELSE line END AS line FROM t""",
 )
 def context_sections(spark: SparkSession, d: str) -> DataFrame:  # R30, D4
     line = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat_ws(" ", "lang", F.col("n_chars").cast("string")))
-    rows = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("t")))).alias("x"))
-    text = F.concat(F.lit("## "), "source", F.lit("\n\n"), F.array_join(F.transform("x", lambda e: e["t"]), "\n\n"))
-    return rows.select("source", F.regexp_replace(text, "\n{3,}", "\n\n").alias("section"))
+    return an.sections(table(spark, d, "documents").select("source", "doc_id", line.alias("line")), "source", "doc_id", "line")
 
 
 @query(
@@ -188,6 +182,35 @@ def unseen_evidence(spark: SparkSession, d: str) -> DataFrame:  # U7: a round th
     return rows.groupBy("round").agg(F.count("*").alias("ids"), new.alias("new"), (new == 0).alias("fixpoint"))
 
 
+@query(
+    "clear_all",
+    with_views(FILES_SQL, CHUNKS_SQL)
+    + """SELECT 'files' AS target, count(*) AS removed, 0 AS "left" FROM files UNION ALL SELECT 'chunks', count(*), 0 FROM chunks UNION ALL SELECT 'vectors', count(*), 0 FROM embeddings
+UNION ALL SELECT 'history', count(*), 0 FROM events UNION ALL SELECT 'cache', 0, count(*) FROM customer""",
+)
+def clear_all(spark: SparkSession, d: str) -> DataFrame:  # K6: the cache goes by content and stays
+    state = {"files": files(spark, d), "chunks": chunks(spark, d), "vectors": table(spark, d, "embeddings"), "history": table(spark, d, "events"), "cache": table(spark, d, "customer")}
+    return tables.reset_counts(state, "all")
+
+
+def toy_embedding(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model: how often five letters occur."""
+    return [[float(t.count(c)) for c in "etaon"] for t in texts]
+
+
+@query(
+    "reembed",
+    with_views(FILES_SQL, CHUNKS_SQL)
+    + """, t AS (SELECT 'chunk' AS target, c.chunk_id AS id, '[' || upper(f.type) || ': ' || regexp_extract(f.path, '[^/]*$') || '] ' || c.text AS text FROM chunks c JOIN files f USING (file_id)
+UNION ALL SELECT 'summary', file_id, summary FROM files WHERE summary <> '' AND NOT starts_with(summary, '[ERROR:'))
+SELECT target, id, list_transform(['e', 't', 'a', 'o', 'n'], lambda c: CAST(length(text) - length(replace(text, c, '')) AS DOUBLE)) AS vector FROM t""",
+)
+def reembed(spark: SparkSession, d: str) -> DataFrame:  # P8: vectors of all chunks and summaries, made anew
+    from corpusloom.plans.indexing import reembedded
+
+    return reembedded(files(spark, d), chunks(spark, d), toy_embedding)
+
+
 @query(
     "index_run",
     with_views(FILES_SQL, CHUNKS_SQL)

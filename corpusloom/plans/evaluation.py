@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import metrics as mt
-from corpusloom.plans.registry import query
+from corpusloom.plans.registry import CRC_SQL, crc32_sql, query
 from corpusloom.sources.entities import CHUNKS_SQL, chunks, table, with_views
 
 _RUN = """r AS (SELECT doc_id % 60 AS query, doc_id % 180 AS id, source AS domain, row_number() OVER (PARTITION BY doc_id % 60 ORDER BY n_chars DESC, doc_id) AS pos FROM documents),
@@ -100,11 +100,17 @@ def token_f1(spark: SparkSession, d: str) -> DataFrame:  # M10, A26, X6, M25
     return mt.token_f1(pairs, ["conv_id", "turn"], "answer", "truth")
 
 
-@query("context_coverage")
-def context_coverage(spark: SparkSession, d: str) -> DataFrame:  # M9, M19: the longest run of an item that a context of it holds
-    items = table(spark, d, "benchmark").select("item_id", "text")
-    context = F.substring("text", 40, 120)
-    return items.select("item_id", F.round(mt.longest_run(F.col("text"), context), 6).alias("share"))
+_RUNS = "SELECT {1}, len(w) AS n, i AS at, array_to_string(w[i : i + 4], ' ') AS run FROM (SELECT {1}, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {0}), range(1, len(w) - 3) r(i)"
+
+
+@query(
+    "context_coverage",
+    f"""WITH a AS ({_RUNS.format("benchmark", "item_id")}), b AS ({_RUNS.format("documents", "doc_id")}),
+p AS (SELECT item_id, doc_id, a.n, a.at, a.at - b.at AS shift, a.at - row_number() OVER (PARTITION BY item_id, doc_id, a.at - b.at ORDER BY a.at) AS part FROM a JOIN b USING (run))
+SELECT item_id, doc_id, round(max((long + 4) / n), 6) AS share FROM (SELECT item_id, doc_id, any_value(n) AS n, count(*) AS long FROM p GROUP BY item_id, doc_id, shift, part) GROUP BY item_id, doc_id""",
+)
+def context_coverage(spark: SparkSession, d: str) -> DataFrame:  # M9, M19: the longest run of an item in each document that shares five words with it
+    return mt.coverage(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 _STAT = "WITH d AS (SELECT source, CAST(n_chars AS DOUBLE) AS x, CAST(doc_id * 7919 % 1000 AS DOUBLE) AS y FROM documents)"
@@ -140,8 +146,14 @@ def kendall(spark: SparkSession, d: str) -> DataFrame:  # M12, M21
     return mt.kendall(by(F.desc("n_chars"), "doc_id"), by(F.col("doc_id") * 7919 % 10007, "doc_id"), 20)
 
 
-@query("cv_fold_best_k")
-def cv_fold_best_k(spark: SparkSession, d: str) -> DataFrame:  # M13, A21, M22 (crc32 folds; tests compare with plain Python)
+@query(
+    "cv_fold_best_k",
+    f"""WITH {CRC_SQL}, f AS (SELECT doc_id AS id, CAST({crc32_sql("CAST(doc_id AS VARCHAR)")} AS BIGINT) % 5 AS fold FROM documents, crc),
+s AS (SELECT fold, k, sum((id * 31 + k * 17) % 101 / 100.0) AS s, count(*) AS n FROM f, range(1, 10) r(k) GROUP BY fold, k),
+m AS (SELECT fold, k, round((sum(s) OVER (PARTITION BY k) - s) / (sum(n) OVER (PARTITION BY k) - n), 6) AS train_mean, round(s / n, 6) AS test_mean FROM s)
+SELECT fold, CAST(k AS INTEGER) AS k, train_mean, test_mean FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_mean DESC, k) AS rn FROM m) WHERE rn = 1""",
+)
+def cv_fold_best_k(spark: SparkSession, d: str) -> DataFrame:  # M13, A21, M22: folds by crc32
     ks = F.explode(F.sequence(F.lit(1), F.lit(9))).alias("k")
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), ks)
     score = (F.col("id") * 31 + F.col("k") * 17) % 101 / 100.0

@@ -111,7 +111,15 @@ def graph_plan(spark: SparkSession, d: str) -> DataFrame:  # G9
     return gr.expand_seeds(seeds, edges, 2, 20)
 
 
-@query("code_graph")
+@query(
+    "code_graph",
+    """WITH l AS (SELECT doc_id AS id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g'), ' +'), lambda x: length(x) > 3) AS w FROM documents),
+n AS (SELECT id, 'w_' || coalesce(w[1], 'none') AS a, 'w_' || coalesce(w[2], 'none') AS b, 'w_' || coalesce(w[3], 'none') AS c, 'w_' || coalesce(w[4], 'none') AS d FROM l)
+SELECT id AS file_id, unnest(CASE WHEN id % 2 = 0 THEN [
+  {'kind': 'class', 'source': a, 'target': '', 'line': 1}, {'kind': 'INHERITS', 'source': a, 'target': 'PENDING::' || b, 'line': 1}, {'kind': 'function', 'source': a || '.' || c, 'target': '', 'line': 2},
+  {'kind': 'CONTAINS', 'source': a, 'target': a || '.' || c, 'line': 2}, {'kind': 'CALLS', 'source': a || '.' || c, 'target': 'PENDING::' || d, 'line': 3}, {'kind': 'function', 'source': d, 'target': '', 'line': 5}]
+ELSE [{'kind': 'function', 'source': a, 'target': '', 'line': 2}, {'kind': 'class', 'source': b, 'target': '', 'line': 3}] END, recursive := true) FROM n""",
+)
 def code_graph(spark: SparkSession, d: str) -> DataFrame:  # G5, G6: programs made of each document's words
     docs = table(spark, d, "documents")
     w = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]+", " "), " +"), lambda x: F.length(x) > 3)

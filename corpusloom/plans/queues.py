@@ -148,17 +148,26 @@ def line_clusters(spark: SparkSession, d: str) -> DataFrame:  # W13
 
 @query(
     "page_text",
-    """WITH l AS (SELECT user_id % 80 AS doc, event_id, 'w' || event_id AS t, (event_id * 37 % 100) / 100.0 AS c FROM events)
-SELECT doc, md5(coalesce(string_agg(t, chr(10) ORDER BY event_id) FILTER (c >= 0.5), '')) AS digest, round(avg(c) FILTER (c >= 0.5), 4) AS mean_conf FROM l GROUP BY doc""",
+    """WITH l AS (SELECT user_id AS doc, event_id // 1000 AS page, event_id, 'w' || event_id AS t, (event_id * 37 % 101) / 101.0 AS c FROM events)
+SELECT doc, page, md5(coalesce(string_agg(t, chr(10) ORDER BY event_id) FILTER (c >= 0.5), '')) AS digest, round(avg(c) FILTER (c >= 0.5), 4) AS mean_conf FROM l GROUP BY doc, page""",
 )
 def page_text(spark: SparkSession, d: str) -> DataFrame:  # C16, C17, A28
     n = F.col("event_id")
-    line = F.struct(n.alias("n"), F.concat(F.lit("w"), n.cast("string")).alias("t"), ((n * 37 % 100) / 100.0).alias("c"))
-    pages = table(spark, d, "events").groupBy((F.col("user_id") % 80).alias("doc")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return st.page_text(pages, 0.5).select("doc", F.md5(F.col("text").cast("binary")).alias("digest"), "mean_conf")
+    line = F.struct(n.alias("n"), F.concat(F.lit("w"), n.cast("string")).alias("t"), ((n * 37 % 101) / 101.0).alias("c"))
+    # a page has a thousand lines at most
+    pages = table(spark, d, "events").groupBy(F.col("user_id").alias("doc"), F.floor(n / 1000).alias("page")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return st.page_text(pages, 0.5).select("doc", "page", F.md5(F.col("text").cast("binary")).alias("digest"), "mean_conf")
 
 
-@query("length_batches")
+@query(
+    "length_batches",
+    """WITH RECURSIVE k AS (SELECT greatest(1, count(*) // 1000) AS parts FROM documents),
+r AS (SELECT doc_id % parts AS part, doc_id, length(text) AS n, row_number() OVER (PARTITION BY doc_id % parts ORDER BY length(text), doc_id) AS i FROM documents, k),
+b AS (SELECT part, doc_id, n, i, n AS width, 1 AS held, 0 AS batch FROM r WHERE i = 1
+  UNION ALL SELECT r.part, r.doc_id, r.n, r.i, CASE WHEN full_ THEN r.n ELSE greatest(width, r.n) END, CASE WHEN full_ THEN 1 ELSE held + 1 END, CASE WHEN full_ THEN batch + 1 ELSE batch END
+  FROM (SELECT b.*, q.doc_id AS next_id, (held + 1) * greatest(width, q.n) > 10240 OR held = 64 AS full_ FROM b JOIN r q ON q.part = b.part AND q.i = b.i + 1) x JOIN r ON r.doc_id = x.next_id)
+SELECT part, doc_id, CAST(batch AS BIGINT) AS batch FROM b""",
+)
 def length_batches(spark: SparkSession, d: str) -> DataFrame:  # W8, P3, P4: a batch closes where the next text no longer fits
     import pandas as pd
 
@@ -171,8 +180,8 @@ def length_batches(spark: SparkSession, d: str) -> DataFrame:  # W8, P3, P4: a b
             out.append(number)
         return pd.DataFrame({"part": key[0], "doc_id": rows["doc_id"], "batch": out})
 
-    # parts of a thousand texts or so, by hash: a batch never spans parts
+    # parts of a thousand texts or so: a batch never spans parts
     docs = table(spark, d, "documents")
     parts = max(1, docs.count() // 1000)
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), "doc_id", F.length("text").alias("n"))
+    rows = docs.select((F.col("doc_id") % parts).alias("part"), "doc_id", F.length("text").alias("n"))
     return rows.groupBy("part").applyInPandas(batch, "part long, doc_id long, batch long")

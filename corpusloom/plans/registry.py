@@ -25,6 +25,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: A table ``crc`` of one row ``t``, the 256 steps of crc32, and the checksum of a text's UTF-8 bytes by it.
+CRC_SQL = """crc AS (SELECT list(v ORDER BY n) AS t FROM (
+  SELECT n, list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(n)))"""
+
+
+def crc32_sql(of: str) -> str:
+    byte = f"('0x' || substr(hex(encode({of})), 2 * i - 1, 2))::BIGINT"
+    bytes_ = f"list_transform(range(1, strlen({of}) + 1), lambda i: {byte})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
 def load() -> None:
     """Import the modules that register queries."""
     from importlib import import_module

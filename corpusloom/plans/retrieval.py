@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,7 +144,7 @@ def rerank_fuse(spark: SparkSession, d: str) -> DataFrame:  # W6, R7
 
 @query(
     "budget_prefix",
-    f"""WITH {_RANKED}, p AS (SELECT query, doc_id, pos, max(length(text)) OVER (PARTITION BY query ORDER BY pos ROWS UNBOUNDED PRECEDING) AS w FROM r),
+    f"""WITH {_RANKED}, p AS (SELECT query, doc_id, pos, max(least(length(text), 2048)) OVER (PARTITION BY query ORDER BY pos ROWS UNBOUNDED PRECEDING) AS w FROM r),
 b AS (SELECT *, max(CASE WHEN pos > 1 AND (pos * w > 60000 OR pos > 40) THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY pos ROWS UNBOUNDED PRECEDING) AS bad FROM p)
 SELECT query, doc_id FROM b WHERE bad = 0""",
 )
@@ -171,7 +173,23 @@ def dedup_spans(spark: SparkSession, d: str) -> DataFrame:  # J14, X18: which ro
     return rt.without_overlaps(_spans(spark, d)).select("query", "doc_id")
 
 
-@query("pack_context")
+@query("dedup_redundant")
+def dedup_redundant(spark: SparkSession, d: str) -> DataFrame:  # R10: text and span tests in one walk; which rows stay depends on those before
+    n = F.col("doc_id")
+    span = {"path": F.concat(F.lit("f"), (n % 4).cast("string")), "start": n * 31 % 900, "end": n * 31 % 900 + 120 + n % 70}
+    return rt.without_redundancy(_ranked(spark, d).select("query", "pos", "doc_id", "text").withColumns(span)).select("query", "doc_id")
+
+
+_GIVE = "least(need, greatest(32, remaining // 2), remaining)"
+
+
+@query(
+    "pack_context",
+    f"""WITH RECURSIVE {_RANKED}, n AS (SELECT query, pos, doc_id, greatest(1, length(text) // 4) AS need FROM r),
+p AS (SELECT DISTINCT query, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS tokens, CAST(2000 AS BIGINT) AS remaining FROM n
+  UNION ALL SELECT n.query, n.pos, n.doc_id, {_GIVE}, remaining - {_GIVE} FROM p JOIN n ON n.query = p.query AND n.pos = p.pos + 1 WHERE remaining > 0)
+SELECT query, CAST(pos AS INTEGER) AS pos, doc_id, tokens FROM p WHERE tokens > 0""",
+)
 def pack_context(spark: SparkSession, d: str) -> DataFrame:  # R11, R13, W15: each share depends on those before
     return rt.packed(_ranked(spark, d).select("query", "pos", "doc_id", "text"), 2000).select("query", "pos", "doc_id", "tokens")
 
@@ -215,16 +233,31 @@ def contradiction_terms(spark: SparkSession, d: str) -> DataFrame:  # R14
     return a.join(b, "b").select("a", "b", rt.contradiction(F.col("x"), F.col("y")).alias("clash"))
 
 
+GAPS_QUESTION = "Which license covers turbulence, quarks or tionre there?"
+
+
 @query(
     "knowledge_gaps",
-    "SELECT w.word FROM (VALUES ('turbulence'), ('tionre'), ('license'), ('quarks'), ('thonon')) w(word) WHERE (SELECT count(*) FROM documents WHERE contains(lower(text), w.word)) < 3",
+    f"""WITH {_bm25_sql('documents', 'doc_id')}, top AS (SELECT id FROM kw ORDER BY score DESC, id LIMIT 10),
+w AS (SELECT unnest(['license', 'covers', 'turbulence', 'quarks', 'tionre']) AS gap),
+g AS (SELECT gap FROM w WHERE NOT EXISTS (SELECT 1 FROM top JOIN documents ON doc_id = id WHERE contains(lower(text), gap)) AND (SELECT count(*) FROM documents WHERE contains(lower(text), gap)) < 3)
+SELECT gap FROM g UNION ALL SELECT '{GAPS_QUESTION}' WHERE NOT EXISTS (SELECT 1 FROM top)""",
 )
-def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:  # R15
-    words = ["turbulence", "tionre", "license", "quarks", "thonon"]
-    low = table(spark, d, "documents").select(F.lower("text").alias("t"))
-    counts = low.agg(*[F.sum(F.contains("t", F.lit(w)).cast("long")).alias(w) for w in words])
-    each = counts.select(F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.coalesce(F.col(w), F.lit(0)).alias("n")) for w in words])).alias("x"))
-    return each.filter("x.n < 3").select("x.word")
+def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:  # R15: words of the question that neither the best rows nor the corpus hold
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    best = rt.bm25(docs, "text", TERMS, ["doc_id", "text"]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(10)
+    rows = best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("pos"), "text", F.lit(0.5).alias("rerank_score"))  # ten rows
+    return rt.knowledge_gaps(GAPS_QUESTION, rows, docs)
+
+
+@query("keyword_index_topk", f"WITH {_bm25_sql('documents', 'doc_id')} SELECT id AS doc_id, score FROM kw ORDER BY score DESC, id LIMIT 40")
+def keyword_index_topk(spark: SparkSession, d: str) -> DataFrame:  # R1, T1, A13: the index is written, then read for the question
+    from corpusloom.operators import keyword_index, tables
+
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), f"{tables.shared_folder(spark)}/keyword-{uuid.uuid4().hex}"
+    keyword_index.build(docs, "doc_id", "text", path)
+    found = keyword_index.search(docs, "doc_id", "text", TERMS, path)
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(40)
 
 
 @query(

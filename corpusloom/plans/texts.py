@@ -11,6 +11,14 @@ from corpusloom.plans.registry import query
 from corpusloom.sources.entities import CHUNKS_SQL, FILES_SQL, chunks, files, table, with_views
 
 
+_WORD_SQL = "coalesce(nullif(regexp_extract(lower(text), '[a-z]+'), ''), 'none')"
+
+
+def _word():
+    """The first run of letters of a text."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.lower("text"), "[a-z]+", 0), F.lit("")), F.lit("none"))
+
+
 @query("chunk_fixed", with_views(CHUNKS_SQL) + 'SELECT chunk_id, "start", "end", md5(text) AS digest FROM chunks')
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:  # C6
     return chunks(spark, d).select("chunk_id", "start", "end", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -18,7 +26,7 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:  # C6
 
 @query("chunk_stream")
 def chunk_stream(spark: SparkSession, d: str) -> DataFrame:  # C1: each cut depends on the one before; tests compare with plain Python
-    return chunking.stream_chunks(table(spark, d, "documents"), "doc_id", "text").drop("chunk")
+    return chunking.stream_chunks(table(spark, d, "documents"), "doc_id", "text", with_text=False)
 
 
 @query("chunk_routed")
@@ -27,6 +35,29 @@ def chunk_routed(spark: SparkSession, d: str) -> DataFrame:  # C2-C5, C7
     return chunking.routed_chunks(files(spark, d).select("file_id", "type").join(docs, "file_id"))
 
 
+_MODULES = f"""WITH w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE 'import os' || chr(10) || 'from a import b' || chr(10) END AS imports, {_WORD_SQL} AS w FROM documents),
+m AS (SELECT doc_id, w, imports, '[PY: doc' || doc_id || '.py] ' AS prefix, '# about ' || w || chr(10) || '@mark' || chr(10) || 'def f_' || w || '():' || chr(10) || '    return 1' AS f, 'class C_' || w || ':' || chr(10) || '    pass' AS c FROM w)"""
+
+
+@query(
+    "code_chunks",
+    _MODULES
+    + """, p AS (SELECT *, imports || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) END || f || chr(10) || c || chr(10) AS text FROM m WHERE doc_id % 3 <> 0)
+SELECT doc_id AS file_id, 0 AS seq, length(imports) + 1 AS "start", length(imports) + 1 + length(f) + 1 AS "end", md5(prefix || chr(10) || imports || chr(10) || f) AS digest FROM p
+UNION ALL SELECT doc_id, 1, length(imports) + length(f) + 2, length(imports) + length(f) + length(c) + 3, md5(prefix || chr(10) || c) FROM p
+UNION ALL SELECT doc_id, 0, 0, 5 + length(f) + length(c), md5(prefix || chr(10) || 'x (' || chr(10) || f || chr(10) || c) FROM m WHERE doc_id % 3 = 0""",
+)
+def code_chunks(spark: SparkSession, d: str) -> DataFrame:  # C4, C6: a small module made of each document's first word; a third of them don't parse
+    docs = table(spark, d, "documents").withColumn("w", _word())
+    f = F.concat(F.lit("# about "), "w", F.lit("\n@mark\ndef f_"), "w", F.lit("():\n    return 1"))
+    c = F.concat(F.lit("class C_"), "w", F.lit(":\n    pass"))
+    whole = F.concat(F.lit("import os\nfrom a import b\n\n"), f, F.lit("\n"), c, F.lit("\n"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x (\n"), f, F.lit("\n"), c)).otherwise(whole)
+    path = F.concat(F.lit("/corpus/doc"), F.col("doc_id").cast("string"), F.lit(".py"))
+    found = chunking.code_chunks(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), text.alias("text")))
+    return found.select("file_id", F.col("seq").cast("int").alias("seq"), "start", "end", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
 @query(
     "sentence_counts",
     """SELECT doc_id, 1 + len(regexp_extract_all(regexp_replace(text, '([A-Z])', chr(1) || '\\1', 'g'), '[.!?]\\s+\\x01')) AS n FROM documents""",

@@ -54,7 +54,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
     rows = fixed_chunks(docs, "text", CHUNK, OVERLAP)
-    return rows.select((F.col("file_id") * 100000 + F.col("seq")).alias("chunk_id"), "file_id", "seq", "start", "end", F.col("chunk").alias("text"))
+    # five digits for the chunk: a text of over 97 million characters would run into the next file's ids, so it stops the job
+    fits = F.when(F.col("seq") < 100000, F.col("seq")).otherwise(F.raise_error(F.lit("a file of over 100,000 chunks")).cast("long"))
+    return rows.select((F.col("file_id") * 100000 + fits).alias("chunk_id"), "file_id", "seq", "start", "end", F.col("chunk").alias("text"))
 
 
 CHUNKS_SQL = f"""chunks AS (

@@ -176,7 +176,36 @@ def epub_text(data: bytes) -> str:  # S14
     return "\n\n".join(t for t in texts if len(t) > 50)
 
 
-#: Extractors by extension; a format without one here (PDF) takes an injected one.
+def pdf_text(read_pages: Callable[[bytes], list[str | None] | None], few: int = 40, blank: int = 10, most_odd: float = 0.2) -> Callable[[bytes], str]:  # S15
+    """An extractor for PDF files from an injected page reader, as no PDF library comes with the engine.
+
+    ``read_pages`` gives the text of each page, null where a page fails, or null for an
+    encrypted file.  Pages that need recognition (too little text for a page that isn't
+    blank, or too many odd characters) are left out and named in a last line,
+    ``[PAGES: n native, n blank, ocr 1-3,7]``; an encrypted file gives a stub.
+    """
+
+    def odd(text: str) -> float:
+        return sum(not (c.isalnum() or c.isspace() or c in ".,;:!?'\"()[]/%&+-") for c in text) / max(1, len(text))
+
+    def extract(data: bytes) -> str:
+        pages = read_pages(data)
+        if pages is None:
+            return "[ENCRYPTED PDF]"
+        texts = [(p or "").strip() for p in pages]
+        weak = [i for i, t in enumerate(texts, 1) if t and (len(t) < few or odd(t) > most_odd) or pages[i - 1] is None]
+        weak = [i for i in weak if len(texts[i - 1]) >= blank or pages[i - 1] is None]
+        native = [t for i, t in enumerate(texts, 1) if len(t) >= blank and i not in weak]
+        runs: list[list[int]] = []
+        for i in weak:
+            runs = [*runs[:-1], [runs[-1][0], i]] if runs and runs[-1][1] == i - 1 else [*runs, [i, i]]
+        ocr = ",".join(str(a) if a == b else f"{a}-{b}" for a, b in runs) or "none"
+        return "\n\n".join([*native, f"[PAGES: {len(native)} native, {len(pages) - len(native) - len(weak)} blank, ocr {ocr}]"])
+
+    return extract
+
+
+#: Extractors by extension; PDF takes an injected one (``pdf_text``), and gives a stub without it.
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {
     "csv": csv_text, "tsv": csv_text, "json": json_text, "xlsx": xlsx_text, "docx": docx_text, "pptx": pptx_text, "epub": epub_text,
     "html": lambda b: stripped(decode(b)), "htm": lambda b: stripped(decode(b)),
@@ -186,14 +215,13 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
 def extract(files: DataFrame, more: dict[str, Callable[[bytes], str]] | None = None, largest: int = 50_000_000) -> DataFrame:  # S7, S8, S15, S17
     """path, type, sha256 and text of files read with their bytes.
 
-    Extractors of ``more`` come first; other files are plain text.  Failures and files
-    over the limit give an [UNREADABLE: ...] stub.
+    Extractors of ``more`` come first; other files are plain text.  Failures and files of
+    over ``largest`` bytes give an [UNREADABLE: ...] stub; of the latter no byte is read,
+    so their sha256 is null.
     """
     table = {**EXTRACTORS, **(more or {})}
 
     def one(kind: str, data: bytes) -> str:
-        if len(data) > largest:
-            return f"[UNREADABLE: {len(data)} bytes]"
         try:
             return table.get(kind, plain_text)(data)
         except Exception as e:  # noqa: BLE001  a broken file must not end the job
@@ -204,8 +232,11 @@ def extract(files: DataFrame, more: dict[str, Callable[[bytes], str]] | None = N
             texts = [one(k, bytes(b)) for k, b in zip(rows["type"], rows["content"], strict=True)]
             yield rows[["path", "type", "sha256"]].assign(text=texts)
 
-    named = files.select("path", "type", F.sha2("content", 256).alias("sha256"), "content")
-    return named.mapInPandas(run, "path string, type string, sha256 string, text string")
+    # the filter on size goes down to the reader, and the stubs' side reads no content
+    small = files.filter(F.col("size") <= largest).select("path", "type", F.sha2("content", 256).alias("sha256"), "content")
+    stub = F.concat(F.lit("[UNREADABLE: "), F.col("size").cast("string"), F.lit(" bytes]"))
+    large = files.filter(F.col("size") > largest).select("path", "type", F.lit(None).cast("string").alias("sha256"), stub.alias("text"))
+    return small.mapInPandas(run, "path string, type string, sha256 string, text string").unionByName(large)
 
 
 def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:  # S18

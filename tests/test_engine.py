@@ -54,3 +54,29 @@ def test_question_loop():
 def test_roots_and_models():
     assert indexing.validated_folders(["/", "/data/x/", "/data/x", "rel", "/etc"]) == ["/data/x"]
     assert indexing.same_model(None, {"name": "m"}) and not indexing.same_model({"name": "n"}, {"name": "m"})
+
+
+def test_index_run_and_rebuild(spark, tmp_path):
+    import pytest
+
+    seen = spark.createDataFrame([(i, f"/r/{i}.md", "md", "/r", "t", 5, 10, f"sha{i}", "" if i == 2 else f"summary {i}") for i in range(4)], "file_id long, path string, type string, root_path string, folder_tag string, size long, modified_s long, sha256 string, summary string")
+    known = seen.filter("file_id = 0")
+    chunks = spark.createDataFrame([(i * 100000 + j, i, f"text {i} {j}") for i in range(4) for j in range(3)], "chunk_id long, file_id long, text string")
+    calls = []
+    embed = lambda texts: calls.append(len(texts)) or [[float(len(t))] for t in texts]
+    counts = indexing.index_run(seen, known, chunks, embed, str(tmp_path / "index"))
+    assert counts == {"chunks": 9, "summaries": 2, "profiles": 1, "vectors": 9}
+    assert indexing.rebuilt(seen, chunks, embed, str(tmp_path / "all")) == {"chunk": 12, "summary": 3}
+    vectors = {(r["target"], r["id"]): r["vector"] for r in indexing.reembedded(seen, chunks, embed).collect()}
+    assert vectors["chunk", 100001] == [float(len("[MD: 1.md] text 1 1"))] and vectors["summary", 3] == [9.0]
+    with pytest.raises(Exception):
+        indexing.rebuilt(seen, chunks, lambda texts: [], str(tmp_path / "bad"))
+
+
+def test_polls_and_question_vectors(spark):
+    handed = []
+    assert indexing.polled(lambda: ["/a"], lambda: True, handed.append) == [] and indexing.polled(lambda: [], lambda: False, handed.append) == [] and not handed
+    assert indexing.polled(lambda: ["/a"], lambda: False, handed.append) == ["/a"] and handed == [["/a"]]
+    asked = []
+    e = indexing.Engine(None, None, None, lambda q: asked.append(q) or [1.0], prefix="query: ")
+    assert e.embed("x") == e.embed("x") == [1.0] and asked == ["query: x"]

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import metrics, text
-from corpusloom.operators import analytics, chunking, graph, retrieval, routing, scopes, state, tables
+from corpusloom.operators import analytics, chunking, graph, keyword_index, retrieval, routing, scopes, state, tables
 from corpusloom.sources import readers, sinks
 
 
@@ -46,6 +46,20 @@ def test_code_chunks():
     assert chunking.markdown_spans("# a\ntext\n# b\n" + "y" * 50, 30)[0] == (0, 8)
 
 
+def test_python_chunks():
+    code = "import os\nfrom a import (b,\n  c)\n\nX = 1\n# about f\n@deco\ndef f():\n    return 1\n\nclass A:\n    pass\nif X:\n    f()\n"
+    imports = "import os\nfrom a import (b,\n  c)\n"
+    got = chunking.python_chunks(code, "P", 2048)
+    module = "X = 1\nif X:\n    f()"
+    assert got[0] == (code.index("X = 1"), code.index("X = 1") + len(module), f"P\n{imports}\n{module}")
+    assert got[1][2] == "P\n# about f\n@deco\ndef f():\n    return 1" and code[got[1][0] : got[1][1]].startswith("# about f")
+    assert got[2][2] == "P\nclass A:\n    pass" and len(got) == 3
+    long = "import os\n\ndef g():\n" + "".join(f"    x{i} = {i}\n" for i in range(400))
+    parts = chunking.python_chunks(long, "P", 600)
+    assert len(parts) > 5 and all(len(c) <= 600 for *_, c in parts) and all(c.startswith("P\nimport os\n") for *_, c in parts)
+    assert chunking.python_chunks("def (", "P", 600) == [(0, 5, "P\ndef (")] and chunking.python_chunks("", "P") == []
+
+
 def test_paths(spark):
     rows = [(p,) for p in ("proj", "proj/a", "proj\\a", "proj2/a", "Proj/a", "a_b/x", "a%b/x", "axb/x")]
     df = spark.createDataFrame(rows, "path string")
@@ -93,6 +107,81 @@ def test_fusion_order_and_permutations(spark):
     assert fused.collect()[0]["score"] == round(1000 / 61, 4)
 
 
+def test_redundancy_in_one_walk(spark):
+    rng = random.Random(14)
+    texts = [f"text number {i} " + "filler words " * 6 for i in range(12)] + ["short", "also short"]
+    rows = [(q, p, rng.choice("fg"), a, a + rng.randrange(20, 90), rng.choice(texts) + " " * rng.randrange(2)) for q in range(6) for p in range(60) for a in [rng.randrange(400)]]
+    want = []
+    for q in range(6):
+        seen, spans, n = set(), defaultdict(list), 0
+        for _, p, f, a, b, t in sorted(r for r in rows if r[0] == q):
+            if n >= 25:
+                break
+            if len(t) >= 50:
+                name = " ".join(t.split())
+                if name in seen or any(min(b, d) > max(a, c) and (min(b, d) - max(a, c)) / min(b - a, d - c) >= 0.7 for c, d in spans[f]):
+                    continue
+                seen.add(name)
+                spans[f].append((a, b))
+            n += 1
+            want.append((q, p))
+    rng.shuffle(rows)
+    kept = retrieval.without_redundancy(spark.createDataFrame(rows, "query int, pos int, path string, start int, end int, text string"), cap=25)
+    assert sorted((r["query"], r["pos"]) for r in kept.collect()) == want
+
+
+def test_keyword_index_gives_the_scores_of_a_scan(spark, tmp_path):
+    rng = random.Random(15)
+    rows = [(i, "".join(rng.choice(["an", "na", "Über", " ", "ban", "x"]) for _ in range(rng.randrange(60)))) for i in range(300)] + [(900, None), (901, ""), (None, "banana")]
+    docs = spark.createDataFrame(rows, "id long, text string").filter("id IS NOT NULL")
+    keyword_index.build(spark.createDataFrame(rows, "id long, text string"), "id", "text", str(tmp_path / "index"))
+    for terms in (["anan", "über"], ["banana"], ["qqq"], ["na"], ["BAN", "nan", "zzz"]):
+        want = {r["id"]: round(r["score"], 9) for r in retrieval.bm25(docs, "text", terms, ["id"]).collect()}
+        got = {r["id"]: round(r["score"], 9) for r in keyword_index.search(docs, "id", "text", terms, str(tmp_path / "index")).collect()}
+        assert got == want, terms
+    low = {i: (t or "").lower() for i, t in rows if i is not None}
+    assert {r["key"] for r in keyword_index.candidates(spark, str(tmp_path / "index"), "anan").collect()} >= {i for i, t in low.items() if "anan" in t}
+
+
+def test_nearest_of_each(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 40)
+    x = np.random.default_rng(4).normal(size=(150, 6))
+    x[70:90] = x[70]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 150, 7):
+        best = sorted((round(1 - float(unit[q] @ unit[j]), 6) + 0.0, j) for j in range(150) if j != q)[:4]
+        want |= {(q, n, j) for n, (_, j) in enumerate(best, 1)}
+    got = retrieval.nearest_of_each(rows, rows.filter("vec_id % 7 = 0"), 4).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want
+
+
+def test_gaps_of_a_question(spark):
+    corpus = spark.createDataFrame([("rivers and stones",)] * 3 + [("quark",)], "text string")
+    found = spark.createDataFrame([(1, "Rivers run", -3.0), (2, "deep", None)], "pos int, text string, rerank_score double")
+    gaps = lambda q, rows: {r[0] for r in retrieval.knowledge_gaps(q, rows, corpus).collect()}
+    assert gaps("Which rivers, stones and quarks?", found) == {"quarks"}
+    assert gaps("rivers", found) == {"rivers"} and gaps("rivers", found.limit(0)) == {"rivers"}
+    assert gaps("rivers", found.filter("pos = 2").withColumn("text", F.lit("rivers"))) == set()
+
+
+def test_merged_folder_names(spark):
+    paths = ["/c/a/b/c/x.md", "/c/a/b/c/d/y.md", "/c/e/f/z.md", "/c/e/g/h/w.md"]
+    files = spark.createDataFrame([(p, 1, 0) for p in paths], "path string, size long, usage_count long")
+    got = {r["folder"]: r["name"] for r in analytics.collapsed_chains(analytics.ancestor_rollup(files), files).collect()}
+    assert got == {"/c": "c", "/c/a/b/c": "a / b / c", "/c/a/b/c/d": "d", "/c/e": "e", "/c/e/f": "f", "/c/e/g/h": "g / h"}
+
+
+def test_resets(spark):
+    state = {n: spark.range(3) for n in ("files", "chunks", "vectors", "history", "profiles", "queue", "cache")}
+    left = lambda what: {n for n, df in tables.cleared(state, what).items() if df.count()}
+    assert left("all") == {"cache"} and "vectors" not in left("vectors") and len(left("history")) == 6 and "cache" not in left("cache")
+
+
 def test_occurrences_overlap(spark):
     row = spark.createDataFrame([("aaaa a.a|b",)], "t string").select(retrieval.occurrences(F.col("t"), "aa"), retrieval.occurrences(F.col("t"), "a.a|b")).first()
     assert tuple(row) == (3, 1)
@@ -257,6 +346,22 @@ def test_extractors(spark, tmp_path):
         "e.docx": "## Top\nx | y", "f.xlsx": "--- Sheet: S ---\nhi | 7", "g.docx": "[UNREADABLE: BadZipFile]", "h.docx": "[UNREADABLE: ValueError]",
     }
     assert readers.discover(spark, [str(tmp_path / "in")], [".CSV", "json"]).count() == 2
+    small = {r["path"].rsplit("/", 1)[1]: (r["sha256"], r["text"]) for r in readers.extract(files, largest=40).collect()}
+    assert small["d.bin"] == (None, "[UNREADABLE: 300 bytes]") and small["b.json"][0] and len(small) == len(got)
+
+
+def test_pdf_pages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"locked")
+    page = "A page of plain text that is long enough to be taken."
+
+    def read_pages(data):
+        return None if data == b"locked" else [page, "", "scan stub text", None, "\u25a1" * 60, page]
+
+    files = readers.discover(spark, [str(tmp_path / "in")], ["pdf"], content=True)
+    got = {r["path"][-5:]: r["text"] for r in readers.extract(files, {"pdf": readers.pdf_text(read_pages)}).collect()}
+    assert got == {"a.pdf": f"{page}\n\n{page}\n\n[PAGES: 2 native, 1 blank, ocr 3-5]", "b.pdf": "[ENCRYPTED PDF]"}
 
 
 def test_line_readers_and_journal(spark, tmp_path):
