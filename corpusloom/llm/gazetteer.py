@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Row = tuple[str, str, int, int, int]
 #: Generic top-level domains in wide use; those of countries come from the platform's ISO 3166 list.
@@ -66,7 +67,12 @@ def rows(spark: SparkSession) -> list[Row]:
 
 
 def table_of(spark: SparkSession, kinds: Iterable[str], more: Iterable[Row] = ()) -> DataFrame:
-    """The table with ``kind`` as its place among ``kinds``; later rows stand for earlier ones of the same kind and value."""
+    """The table with ``kind`` as its place among ``kinds``; later rows stand for earlier ones of the same kind and value.
+
+    It goes into the plan as one literal of lines, so no Python worker takes part.
+    """
     at = {k: i for i, k in enumerate(kinds)}
-    held = {(at[k], v): (at[k], v, vote, least, most) for k, v, vote, least, most in [*rows(spark), *more]}
-    return spark.createDataFrame(list(held.values()), "kind int, value string, vote int, least int, most int")
+    held = {(at[k], v): (vote, least, most) for k, v, vote, least, most in [*rows(spark), *more]}
+    lines = "\n".join("\t".join(map(str, (*key, *rest))) for key, rest in held.items())
+    parts = spark.range(1).select(F.explode(F.split(F.lit(lines), "\n")).alias("line")).select(F.split("line", "\t").alias("p"))
+    return parts.select(*[F.col("p")[i].cast(t).alias(n) for i, (n, t) in enumerate((("kind", "int"), ("value", "string"), ("vote", "int"), ("least", "int"), ("most", "int")))])
