@@ -115,15 +115,15 @@ def sweep_grid(spark: SparkSession, d: str) -> DataFrame:  # X24: the product of
 
 @query(
     "fusion_sweep",
-    """WITH r AS (SELECT doc_id % 30 AS query, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 30 ORDER BY n_chars DESC, doc_id) - 1 AS a, row_number() OVER (PARTITION BY doc_id % 30 ORDER BY doc_id * 7919 % 1009, doc_id) - 1 AS b FROM documents),
+    """WITH r AS (SELECT doc_id // 30 AS query, doc_id AS id, row_number() OVER (PARTITION BY doc_id // 30 ORDER BY n_chars DESC, doc_id) - 1 AS a, row_number() OVER (PARTITION BY doc_id // 30 ORDER BY doc_id * 7919 % 1009, doc_id) - 1 AS b FROM documents),
 s AS (SELECT k, query, id, round((0.4 / (k + a + 1) + 0.6 / (k + b + 1)) * 1000, 6) AS s FROM r, (SELECT unnest([10, 60, 200]) AS k)),
 o AS (SELECT *, row_number() OVER (PARTITION BY k, query ORDER BY s DESC, id) AS rn FROM s)
 SELECT k, round(avg(h), 6) AS share FROM (SELECT k, query, avg(CASE WHEN id % 7 < 2 THEN 1 ELSE 0 END) AS h FROM o WHERE rn <= 5 GROUP BY k, query) GROUP BY k""",
 )
 def fusion_sweep(spark: SparkSession, d: str) -> DataFrame:  # M21, M22: ranks once, fused at each setting
-    w = Window.partitionBy(F.col("doc_id") % 30)
+    w = Window.partitionBy(F.floor(F.col("doc_id") / 30))
     rank = lambda *by: F.row_number().over(w.orderBy(*by, "doc_id")) - 1
-    rows = table(spark, d, "documents").select((F.col("doc_id") % 30).alias("query"), F.col("doc_id").alias("id"), rank(F.desc("n_chars")).alias("a"), rank(F.col("doc_id") * 7919 % 1009).alias("b"))
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 30).alias("query"), F.col("doc_id").alias("id"), rank(F.desc("n_chars")).alias("a"), rank(F.col("doc_id") * 7919 % 1009).alias("b"))
     each = rows.withColumn("k", F.explode(F.array(F.lit(10), F.lit(60), F.lit(200))))
     score = F.round((0.4 / (F.col("k") + F.col("a") + 1) + 0.6 / (F.col("k") + F.col("b") + 1)) * 1000, 6)
     top = an.top_per(each.withColumn("s", score), ["k", "query"], [F.desc("s"), F.asc("id")], 5, "rn")

@@ -10,13 +10,13 @@ from corpusloom.functions import metrics as mt
 from corpusloom.plans.registry import CRC_SQL, crc32_sql, query
 from corpusloom.sources.entities import CHUNKS_SQL, chunks, table, with_views
 
-_RUN = """r AS (SELECT doc_id % 60 AS query, doc_id % 180 AS id, source AS domain, row_number() OVER (PARTITION BY doc_id % 60 ORDER BY n_chars DESC, doc_id) AS pos FROM documents),
-g AS (SELECT DISTINCT doc_id % 60 AS query, doc_id % 180 AS id FROM documents WHERE doc_id % 7 < 2)"""
+_RUN = """r AS (SELECT doc_id // 20 AS query, doc_id // 2 AS id, source AS domain, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY n_chars DESC, doc_id) AS pos FROM documents),
+g AS (SELECT DISTINCT doc_id // 20 AS query, doc_id // 2 AS id FROM documents WHERE doc_id % 7 < 2)"""
 
 
 def _run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "n_chars", "source")
-    q, i = F.col("doc_id") % 60, F.col("doc_id") % 180
+    q, i = F.floor(F.col("doc_id") / 20), F.floor(F.col("doc_id") / 2)
     w = Window.partitionBy(q).orderBy(F.desc("n_chars"), "doc_id")
     ranked = docs.select(q.alias("query"), i.alias("id"), F.col("source").alias("domain"), F.row_number().over(w).alias("pos"))
     return ranked, docs.filter("doc_id % 7 < 2").select(q.alias("query"), i.alias("id")).distinct()
@@ -46,8 +46,8 @@ def domain_coverage(spark: SparkSession, d: str) -> DataFrame:  # M5
     return mt.domain_coverage(ranked, ranked.filter("pos % 3 = 0"), 5)
 
 
-_ANSWER = with_views(CHUNKS_SQL).rstrip() + """, c AS (SELECT file_id % 25 AS query, file_id AS file, "start" AS a, "end" AS b FROM chunks WHERE chunk_id % 3 <> 1),
-s AS (SELECT doc_id % 25 AS query, doc_id AS file, doc_id * 13 % 700 AS s, doc_id * 13 % 700 + 150 AS e FROM documents)"""
+_ANSWER = with_views(CHUNKS_SQL).rstrip() + """, c AS (SELECT file_id // 40 AS query, file_id AS file, "start" AS a, "end" AS b FROM chunks WHERE chunk_id % 3 <> 1),
+s AS (SELECT doc_id // 40 AS query, doc_id AS file, doc_id * 13 % 700 AS s, doc_id * 13 % 700 + 150 AS e FROM documents)"""
 
 
 @query(
@@ -63,9 +63,9 @@ SELECT cv.query, round(coalesce(p, 0), 6) AS precision, round(cov, 6) AS coverag
 FROM cv LEFT JOIN pr USING (query) LEFT JOIN cu USING (query)""",
 )
 def span_scores(spark: SparkSession, d: str) -> DataFrame:  # M6-M8
-    c = chunks(spark, d).filter("chunk_id % 3 <> 1").select((F.col("file_id") % 25).alias("query"), F.col("file_id").alias("file"), "start", "end")
+    c = chunks(spark, d).filter("chunk_id % 3 <> 1").select(F.floor(F.col("file_id") / 40).alias("query"), F.col("file_id").alias("file"), "start", "end")
     base = F.col("doc_id") * 13 % 700
-    s = table(spark, d, "documents").select((F.col("doc_id") % 25).alias("query"), F.col("doc_id").alias("file"), base.alias("s"), (base + 150).alias("e"))
+    s = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 40).alias("query"), F.col("doc_id").alias("file"), base.alias("s"), (base + 150).alias("e"))
     return mt.span_scores(c, s)
 
 
@@ -75,7 +75,7 @@ def span_scores(spark: SparkSession, d: str) -> DataFrame:  # M6-M8
     + """ SELECT s.query, s.file, min(least(s.s - c.a, c.b - s.e)) AS margin FROM s JOIN c ON c.query = s.query AND c.file = s.file AND c.a <= s.s AND c.b >= s.e GROUP BY s.query, s.file""",
 )
 def boundary_margin(spark: SparkSession, d: str) -> DataFrame:  # M11
-    c = chunks(spark, d).filter("chunk_id % 3 <> 1").select((F.col("file_id") % 25).alias("query"), F.col("file_id").alias("file"), "start", "end")
+    c = chunks(spark, d).filter("chunk_id % 3 <> 1").select(F.floor(F.col("file_id") / 40).alias("query"), F.col("file_id").alias("file"), "start", "end")
     base = F.col("doc_id") * 13 % 700
     s = table(spark, d, "documents").select(F.col("doc_id").alias("file"), base.alias("s"), (base + 150).alias("e"))
     whole = c.join(s, "file").filter((F.col("start") <= F.col("s")) & (F.col("end") >= F.col("e")))
@@ -135,13 +135,13 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:  # M12, W10
 
 @query(
     "kendall",
-    """WITH a AS (SELECT doc_id % 30 AS query, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 30 ORDER BY n_chars DESC, doc_id) AS x, row_number() OVER (PARTITION BY doc_id % 30 ORDER BY doc_id * 7919 % 10007, doc_id) AS y FROM documents),
+    """WITH a AS (SELECT doc_id // 30 AS query, doc_id AS id, row_number() OVER (PARTITION BY doc_id // 30 ORDER BY n_chars DESC, doc_id) AS x, row_number() OVER (PARTITION BY doc_id // 30 ORDER BY doc_id * 7919 % 10007, doc_id) AS y FROM documents),
 p AS (SELECT query, id, x, y FROM a WHERE x <= 20 AND y <= 20), n AS (SELECT query, count(*) AS n FROM p GROUP BY query)
 SELECT n.query, CASE WHEN n >= 2 THEN round(coalesce(sum(sign(r.y - l.y)), 0) / (n * (n - 1) / 2), 6) END AS tau FROM n LEFT JOIN p l ON l.query = n.query LEFT JOIN p r ON r.query = l.query AND r.x > l.x GROUP BY n.query, n""",
 )
 def kendall(spark: SparkSession, d: str) -> DataFrame:  # M12, M21
     docs = table(spark, d, "documents")
-    q, w = F.col("doc_id") % 30, Window.partitionBy(F.col("doc_id") % 30)
+    q, w = F.floor(F.col("doc_id") / 30), Window.partitionBy(F.floor(F.col("doc_id") / 30))
     by = lambda *order: docs.select(q.alias("query"), F.col("doc_id").alias("id"), F.row_number().over(w.orderBy(*order)).alias("pos"))
     return mt.kendall(by(F.desc("n_chars"), "doc_id"), by(F.col("doc_id") * 7919 % 10007, "doc_id"), 20)
 

@@ -72,8 +72,8 @@ def semantic_cache(spark: SparkSession, d: str) -> DataFrame:  # R21, T9
     return rt.nearest(rows, _vector_of(spark, d, 3), 1).filter("distance < 0.03").select("vec_id", "distance")
 
 
-_LEGS = """k AS (SELECT doc_id % 40 AS query, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents),
-v AS (SELECT doc_id % 40 AS query, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents),
+_LEGS = """k AS (SELECT doc_id // 25 AS query, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents),
+v AS (SELECT doc_id // 25 AS query, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents),
 s AS (SELECT query, id, rank FROM v WHERE CAST(id AS BIGINT) % 3 = 0),
 fused AS (SELECT query, id, round(sum(p) * 1000, 4) AS score FROM (
   SELECT query, id, 0.4 / (61 + rank) AS p FROM k WHERE rank < 20 UNION ALL SELECT query, id, 0.6 / (61 + rank) FROM v WHERE rank < 20 UNION ALL SELECT query, id, 0.05 / (61 + rank) FROM s WHERE rank < 20) GROUP BY query, id)"""
@@ -81,8 +81,8 @@ fused AS (SELECT query, id, round(sum(p) * 1000, 4) AS score FROM (
 
 def _legs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    q, i = (F.col("doc_id") % 40).alias("query"), F.col("doc_id").cast("string").alias("id")
-    w = Window.partitionBy(F.col("doc_id") % 40)
+    q, i = F.floor(F.col("doc_id") / 25).alias("query"), F.col("doc_id").cast("string").alias("id")
+    w = Window.partitionBy(F.floor(F.col("doc_id") / 25))
     leg = lambda *by: docs.select(q, i, (F.row_number().over(w.orderBy(*by, "doc_id")) - 1).alias("rank"))
     vector = leg(F.md5(F.col("doc_id").cast("string").cast("binary")))
     return {
@@ -106,15 +106,15 @@ def fused_order(spark: SparkSession, d: str) -> DataFrame:  # W12
     return rt.fuse(_legs(spark, d)).select("query", "id", F.row_number().over(w).alias("pos"))
 
 
-_RANKED = """r AS (SELECT doc_id % 50 AS query, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a' WHEN doc_id % 7 = 0 THEN 'b' ELSE source END AS dom, source, text,
-  row_number() OVER (PARTITION BY doc_id % 50 ORDER BY n_chars DESC, doc_id) AS pos FROM documents)"""
+_RANKED = """r AS (SELECT doc_id // 100 AS query, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a' WHEN doc_id % 7 = 0 THEN 'b' ELSE source END AS dom, source, text,
+  row_number() OVER (PARTITION BY doc_id // 100 ORDER BY n_chars DESC, doc_id) AS pos FROM documents)"""
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
     dom = F.when(n % 3 == 0, "a").when(n % 7 == 0, "b").otherwise(F.col("source"))
-    w = Window.partitionBy(n % 50).orderBy(F.desc("n_chars"), "doc_id")
-    return table(spark, d, "documents").select((n % 50).alias("query"), "doc_id", dom.alias("dom"), "source", "text", F.row_number().over(w).alias("pos"))
+    w = Window.partitionBy(F.floor(n / 100)).orderBy(F.desc("n_chars"), "doc_id")
+    return table(spark, d, "documents").select(F.floor(n / 100).alias("query"), "doc_id", dom.alias("dom"), "source", "text", F.row_number().over(w).alias("pos"))
 
 
 @query(
