@@ -46,7 +46,7 @@ def domain_coverage(spark: SparkSession, d: str) -> DataFrame:  # M5
     return mt.domain_coverage(ranked, ranked.filter("pos % 3 = 0"), 5)
 
 
-_ANSWER = with_views(CHUNKS_SQL).rstrip() + """, c AS (SELECT file_id // 40 AS query, file_id AS file, "start" AS a, "end" AS b FROM chunks WHERE chunk_id % 3 <> 1),
+_ANSWER = with_views(CHUNKS_SQL).rstrip() + """, c AS (SELECT file_id // 40 AS query, file_id AS file, "start" AS a, "end" AS b FROM chunks),
 s AS (SELECT doc_id // 40 AS query, doc_id AS file, doc_id * 13 % 700 AS s, doc_id * 13 % 700 + 150 AS e FROM documents)"""
 
 
@@ -63,7 +63,7 @@ SELECT cv.query, round(coalesce(p, 0), 6) AS precision, round(cov, 6) AS coverag
 FROM cv LEFT JOIN pr USING (query) LEFT JOIN cu USING (query)""",
 )
 def span_scores(spark: SparkSession, d: str) -> DataFrame:  # M6-M8
-    c = chunks(spark, d).filter("chunk_id % 3 <> 1").select(F.floor(F.col("file_id") / 40).alias("query"), F.col("file_id").alias("file"), "start", "end")
+    c = chunks(spark, d).select(F.floor(F.col("file_id") / 40).alias("query"), F.col("file_id").alias("file"), "start", "end")
     base = F.col("doc_id") * 13 % 700
     s = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 40).alias("query"), F.col("doc_id").alias("file"), base.alias("s"), (base + 150).alias("e"))
     return mt.span_scores(c, s)
@@ -75,7 +75,7 @@ def span_scores(spark: SparkSession, d: str) -> DataFrame:  # M6-M8
     + """ SELECT s.query, s.file, min(least(s.s - c.a, c.b - s.e)) AS margin FROM s JOIN c ON c.query = s.query AND c.file = s.file AND c.a <= s.s AND c.b >= s.e GROUP BY s.query, s.file""",
 )
 def boundary_margin(spark: SparkSession, d: str) -> DataFrame:  # M11
-    c = chunks(spark, d).filter("chunk_id % 3 <> 1").select(F.floor(F.col("file_id") / 40).alias("query"), F.col("file_id").alias("file"), "start", "end")
+    c = chunks(spark, d).select(F.floor(F.col("file_id") / 40).alias("query"), F.col("file_id").alias("file"), "start", "end")
     base = F.col("doc_id") * 13 % 700
     s = table(spark, d, "documents").select(F.col("doc_id").alias("file"), base.alias("s"), (base + 150).alias("e"))
     whole = c.join(s, "file").filter((F.col("start") <= F.col("s")) & (F.col("end") >= F.col("e")))

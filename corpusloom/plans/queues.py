@@ -83,13 +83,13 @@ def queue_page(spark: SparkSession, d: str) -> DataFrame:  # Q5, T6
     return _queue(spark, d).filter("status = 'pending'").orderBy(F.desc("updated_at"), "file_path").offset(10).limit(500).select("file_path", "status")
 
 
-_C = "c AS (SELECT sha256('k' || (event_id % 400)) AS content_key, event_id % 5 AS page_num, min(100 + event_id % 900) AS bytes, max(event_id) AS last_used_at FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2)"
+_C = "c AS (SELECT sha256('k' || (event_id % 400)) AS content_key, event_id % 5 AS page_num, min(100 + event_id % 900) AS bytes, max(event_id) AS last_used_at FROM events GROUP BY 1, 2)"
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("event_id")
     key = F.sha2(F.concat(F.lit("k"), (n % 400).cast("string")).cast("binary"), 256)
-    rows = table(spark, d, "events").filter(n % 2 == 0).groupBy(key.alias("content_key"), (n % 5).alias("page_num")).agg(F.min(100 + n % 900).alias("bytes"), F.max("event_id").alias("last_used_at"))
+    rows = table(spark, d, "events").groupBy(key.alias("content_key"), (n % 5).alias("page_num")).agg(F.min(100 + n % 900).alias("bytes"), F.max("event_id").alias("last_used_at"))
     return rows.select("content_key", "page_num", F.lit("m1").alias("model_version"), F.lit("p1").alias("preproc_hash"), "bytes", "last_used_at")
 
 

@@ -74,7 +74,7 @@ def semantic_cache(spark: SparkSession, d: str) -> DataFrame:  # R21, T9
 
 _LEGS = """k AS (SELECT doc_id // 25 AS query, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents),
 v AS (SELECT doc_id // 25 AS query, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents),
-s AS (SELECT query, id, rank FROM v WHERE CAST(id AS BIGINT) % 3 = 0),
+s AS (SELECT doc_id // 25 AS query, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id * 7919 % 1009, doc_id) - 1 AS rank FROM documents),
 fused AS (SELECT query, id, round(sum(p) * 1000, 4) AS score FROM (
   SELECT query, id, 0.4 / (61 + rank) AS p FROM k WHERE rank < 20 UNION ALL SELECT query, id, 0.6 / (61 + rank) FROM v WHERE rank < 20 UNION ALL SELECT query, id, 0.05 / (61 + rank) FROM s WHERE rank < 20) GROUP BY query, id)"""
 
@@ -88,7 +88,7 @@ def _legs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
         "keyword": leg(F.desc("n_chars")).filter("rank < 20"),
         "vector": vector.filter("rank < 20"),
-        "summary": vector.filter("id % 3 = 0 AND rank < 20"),
+        "summary": leg(F.col("doc_id") * 7919 % 1009).filter("rank < 20"),
     }
 
 
