@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -9,6 +10,7 @@ import corpus_pipeline
 from corpusloom.llm import queries
 
 from .conftest import ODD_ROWS
+from .test_brute import brute_contamination, plain_pii, simhash
 
 NAMES = list(queries.QUERIES)
 BENCH = [{"item_id": 1, "text": "one two three"}, {"item_id": None, "text": None}, {"item_id": 2, "text": ""}]
@@ -36,6 +38,41 @@ def tables():
     return {"documents": ODD_ROWS, "benchmark": BENCH, "labels": LABELS, "conversations": TURNS, "embeddings": VECTORS}
 
 
+def per_row(values):
+    """(doc_id, values) of the odd rows, as a multiset."""
+    return Counter((r["doc_id"], values(r["text"] or "")) for r in ODD_ROWS)
+
+
+def check_values(op, rows):
+    """The defined results of the odd rows, from the plain versions."""
+    empty = hashlib.sha256(b"").hexdigest()
+    got = lambda *columns: Counter((r["doc_id"], tuple(r[c] for c in columns)) for r in rows)
+    texts = {}
+    for r in ODD_ROWS:
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    if op == "op2":
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+        bare = {r["score"] for r in rows if all(not t for t in texts[r["doc_id"]])}
+        assert len(bare) == 1  # nulls and empty texts score alike
+    elif op == "op3":
+        assert all(r["lossless"] and len(r["ids"]) == r["n_ids"] for r in rows)
+        assert all(r["n_ids"] == 0 for r in rows if all(not t for t in texts[r["doc_id"]]))
+    elif op == "op4":
+        assert got("n_assign", "n_access", "n_hex", "n_live", "base_sha256", "spans", "classes") == per_row(lambda t: (0, 0, 0, 0, empty, "", ""))
+    elif op == "op7":
+        assert got("fingerprint") == per_row(lambda t: (f"{simhash(t):016x}",))
+    elif op == "op8":
+        lettered = lambda t: any(c.isalpha() for c in t)
+        assert Counter((r["doc_id"], r["lang_pred"] == "und" and r["score"] == 0.0) for r in rows) == per_row(lambda t: not lettered(t))
+    elif op == "op9":
+        items = [(i["item_id"], i["text"]) for i in BENCH]
+        want = lambda t: brute_contamination([(0, t)], items)[0]
+        assert got("n_words", "n_hit", "n_items", "items_sha256", "contaminated") == per_row(want)
+    elif op == "op10":
+        base = lambda t: hashlib.sha256(",".join(plain_pii(t)).encode()).hexdigest()
+        assert got("base_sha256", "n_email") == per_row(lambda t: (base(t), 0))
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_odd_rows_and_clashing_columns(spark, make, name):
     rows = queries.QUERIES[name](spark, make(clash=True, **tables())).collect()
@@ -50,6 +87,7 @@ def test_odd_rows_and_clashing_columns(spark, make, name):
         assert by[1]["loss_sha256"] == hashlib.sha256("[INST] \\ ~".encode()).hexdigest()
         assert by[-1]["n_turns"] == 2 and by[-1]["loss_chars"] == len("</s>[INST] ok [/INST]")
     else:
+        check_values(name.split("_")[0], rows)
         assert len(rows) == len(ODD_ROWS)
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in ODD_ROWS)
 
