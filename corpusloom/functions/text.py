@@ -12,10 +12,6 @@ STOP_WORDS = (
 ).split()
 
 # Intent patterns.
-INVENTORY = (
-    r"(?i)\b(?:how many|count|do i have|files? do i|files? i have|my files|all files|all my|total size|breakdown|statistics|stats|"
-    r"types? of files?|extensions?|storage|disk space|largest folders?|smallest folders?|how big|how large|how much space|file count|indexed files?)\b"
-)
 LATEST = (
     r"(?i)\b(?:latest|recent|recently|newest|lately|new since|last updated|last modified|"
     r"(?:modified|changed|change|updated|edited|touched|index|indexed|add|added)\s+(?:last|today|yesterday|this week))\b"
