@@ -29,7 +29,7 @@ SAMPLE, CENTROIDS = 1000, 8
 BROADCAST_LANGUAGES = 200
 #: A text is rejected below this share of the least cosine of its language's sample; the
 #: cosine of a text of fewer bytes is expected to be lower by the root of its length.
-REJECT_SHARE, FULL_BYTES = 0.5, 64
+REJECT_SHARE, FULL_BYTES = 0.4, 64
 UNKNOWN = "und"
 
 #: Bytes of letters in lower case and of non-ASCII characters stay; the rest is a space.
