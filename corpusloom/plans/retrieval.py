@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import analytics as an
 from corpusloom.operators import retrieval as rt
 from corpusloom.plans.registry import query
 from corpusloom.sources.entities import CHUNKS_SQL, chunks, table, with_views
