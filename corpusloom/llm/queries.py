@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, decontam, langid, neardup, pieces, pii, quality, secrets, sharding, topk
+from corpusloom.llm import chat, codes, decontam, fim, langid, neardup, overlap, pieces, pii, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_pii_weak_supervision": pii.op10_pii_weak_supervision,
+    "op11_jaccard_join": overlap.op11_jaccard_join,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,7 @@ ORACLE_SQL = {
     "op5_topk_inner_product": topk.oracle(),
     "op6_chat_formatting": chat.oracle(),
     "op9_benchmark_decontamination": decontam.oracle(),
+    "op11_jaccard_join": overlap.oracle(),
+    "op12_fill_in_middle": fim.oracle(),
+    "op13_vector_codes": codes.oracle(),
 }

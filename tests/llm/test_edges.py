@@ -11,6 +11,8 @@ from corpusloom.llm import queries
 
 from .conftest import ODD_ROWS
 from .test_brute import brute_contamination, plain_pii, simhash
+from .test_fim import plain as plain_fim
+from .test_overlap import grams
 
 NAMES = list(queries.QUERIES)
 BENCH = [{"item_id": 1, "text": "one two three"}, {"item_id": None, "text": None}, {"item_id": 2, "text": ""}]
@@ -71,6 +73,24 @@ def check_values(op, rows):
     elif op == "op10":
         base = lambda t: hashlib.sha256(",".join(plain_pii(t)).encode()).hexdigest()
         assert got("base_sha256", "n_email") == per_row(lambda t: (base(t), 0))
+    elif op == "op11":
+        assert got("n_shingles") == per_row(lambda t: (len(grams(t)),))
+        # only equal sets link: each goes by its smallest id, what has none by its own
+        least = {}
+        for r in ODD_ROWS:
+            least.setdefault(frozenset(grams(r["text"])), []).append(r["doc_id"])
+        want = Counter()
+        for r in ODD_ROWS:
+            own = frozenset(grams(r["text"]))
+            want[r["doc_id"], min((i for i in least[own] if i is not None), default=None) if own else r["doc_id"]] += 1
+        assert Counter((r["doc_id"], r["component_id"]) for r in rows) == want
+    elif op == "op12":
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        want = Counter()
+        for r in ODD_ROWS:
+            n, form, p, m, output = plain_fim(r["doc_id"], r["text"])
+            want[r["doc_id"], (n, form, None if p is None else len(p), None if m is None else len(m), sha(output), sha(r["text"] or ""))] += 1
+        assert got("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256") == want
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -86,6 +106,12 @@ def test_odd_rows_and_clashing_columns(spark, make, name):
         assert by[1]["turns_sha256"] == hashlib.sha256("\n\nuser\nhi </s>\nassistant\n[INST] \\ ~\n".encode()).hexdigest()
         assert by[1]["loss_sha256"] == hashlib.sha256("[INST] \\ ~".encode()).hexdigest()
         assert by[-1]["n_turns"] == 2 and by[-1]["loss_chars"] == len("</s>[INST] ok [/INST]")
+    elif name.startswith("op13"):
+        # six usable rows, each an entry of its own or the first of equal ones; an empty vector is zeros
+        first = {"0.5": "00", "0.1": "05", "0.001": "03", "": "04"}
+        assert sorted((r["vec_id"] is None, r["vec_id"] or 0) for r in rows) == [(False, 0), (False, 1), (False, 1), (False, 50), (False, 51), (True, 0)]
+        assert all(r["error"] == 0 and r["label_error"] == 0 and len(r["code"]) == 32 for r in rows)
+        assert {r["vec_id"]: r["code"][:2] for r in rows} == {0: first["0.5"], 1: first["0.5"], 50: "03", 51: "03", None: first["0.1"]}
     else:
         check_values(name.split("_")[0], rows)
         assert len(rows) == len(ODD_ROWS)
