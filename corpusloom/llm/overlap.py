@@ -62,12 +62,12 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
 def size_classes(size: int, num: int, den: int) -> list[tuple[int, int]]:
     """(class, k) of the classes that a set of this size takes part in; k: most elements in which two similar sets of it differ.
 
-    Class c holds the sizes from its first to ``top``, where similar sets can't be of more than
-    one class further; a set also counts to the class before, whose larger sets may be its partners.
+    Class c holds the sizes from its first to ``top``, half as much again; the set also counts to
+    the class before if it can be similar to one of its larger sets.
     """
     out, first, c = [], 1, 0
     while first <= size:
-        top = first * den // num
+        top = first * 3 // 2
         beyond = top * den // num  # the largest set that is similar to one of the class
         k = 2 * beyond * (den - num) // (den + num)
         if size <= beyond and k:
@@ -168,36 +168,43 @@ def _resigned(sets: DataFrame, num: int, den: int, salt: int) -> DataFrame:
     return sets.mapInArrow(run, "node long, signed array<long>").select("node", F.explode("signed").alias("second"))
 
 
-def _near(a: str, b: str, num: int, den: int) -> Column:
-    """Whether sizes and sketches of two sets allow a link: they may differ in no more elements than a link lets them."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    cells = sum((F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(4)), F.lit(0))
-    return (n * den >= m * num) & (m * den >= n * num) & (cells * (den + num) <= (n + m) * (den - num))
-
-
 def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("one"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("two"))
-    both = pairs.join(one, "a").join(two, "b")
+    known = broadcast_if_small(pairs, BROADCAST_ROWS)
+    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("one")).join(known, "a")
+    ends = broadcast_if_small(pairs.select("b").distinct(), BROADCAST_ROWS)
+    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("two")).join(ends, "b", "left_semi")
     common = F.size(F.array_intersect("one", "two"))
-    both = both.select("a", "b", common.alias("common"), (F.size("one") + F.size("two")).alias("sizes"))
+    both = one.join(two, "b").select("a", "b", common.alias("common"), (F.size("one") + F.size("two")).alias("sizes"))
     return both.filter(F.col("common") * den >= (F.col("sizes") - F.col("common")) * num).select("a", "b")
 
 
-def _pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a < b) of one bucket, but not of one component, that may link."""
-    other = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y", num, den)
+def _pairs(left: DataFrame, right: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (a < b) of one bucket, but not of one component, that their sizes and sketches allow to link."""
+    n, m = F.col("x.n"), F.col("y.n")
+    other = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & (n * den >= m * num) & (m * den >= n * num)
     found = left.alias("x").join(right.alias("y"), other)
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    found = found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (n + m).alias("sizes")).distinct()
+    for end in ("a", "b"):
+        found = found.join(sketches.select(F.col("node").alias(end), F.col("odd").alias(f"odd_{end}")), end)
+    cells = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(4)), F.lit(0))
+    return found.filter(cells * (den + num) <= F.col("sizes") * (den - num)).select("a", "b")
 
 
 def _hubs(members: DataFrame, order: Column) -> DataFrame:
     """Of each bucket the set that comes last in ``order``."""
-    best = members.groupBy("sig").agg(F.max_by(F.struct("node", "n", "odd", "component"), F.struct(order, "node")).alias("hub"))
+    best = members.groupBy("sig").agg(F.max_by(F.struct("node", "n", "component"), F.struct(order, "node")).alias("hub"))
     return checkpointed(best.select("sig", "hub.*"))
 
 
+def _one_of_equal(members: DataFrame) -> DataFrame:
+    """The rows of one bucket of those that hold the same sets, by 128 bits that name what a bucket holds."""
+    node = F.col("node")
+    held = members.groupBy("sig").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64(node)).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), node)).alias("y"))
+    kept = held.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).filter("size > 1").select("sig")
+    return members.join(broadcast_if_small(checkpointed(kept), BROADCAST_ROWS), "sig")
+
+
 def _mixed_only(members: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one component; ``most`` is the component with most sets of its bucket, ``left`` the pairs across."""
     parts = members.groupBy("sig", "component").agg(F.count("*").alias("size"))
@@ -207,25 +214,22 @@ def _mixed_only(members: DataFrame) -> DataFrame:
 
 
 def _in_components(members: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links)
+    found = broadcast_if_small(checkpointed(connected_components(links)), BROADCAST_ROWS)
     rows = members.drop("component", "most", "left").join(found, "node", "left")
     return rows.withColumn("component", F.coalesce("component", "node"))
 
 
-def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect all linked sets of ``members`` (sig, node, n, odd).
+def links(members: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect all linked sets of ``members`` (sig, node, n, shared); ``shared``: in how many buckets a set is.
 
     Two rounds of hubs, then all pairs across the components that are left in a bucket.  Where
     these are many, the sets of such buckets are first parted by a signature from another
     partition of the domain, which similar sets share as well.
     """
-    shared = checkpointed(members.groupBy("node").agg(F.count("*").alias("shared")))
-    members = checkpointed(members.join(shared, "node").withColumn("component", F.col("node")))
-    found = None
+    members, found = members.withColumn("component", F.col("node")), None
     for step in range(5):
         if step < 2:
-            hubs = _hubs(members, F.col("shared") if step == 0 else F.xxhash64("node"))
-            left = hubs
+            left = _hubs(members, F.col("shared") if step == 0 else F.xxhash64("node"))
         else:
             rows, words = members.agg(F.count("*"), F.sum("n")).first()
             if not rows:
@@ -235,14 +239,14 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 nodes = broadcast_if_small(members.select("node").distinct(), BROADCAST_ROWS)
                 second = _resigned(sets.join(nodes, "node", "left_semi"), num, den, step)
                 members = members.drop("most", "left").join(second, "node").withColumn("sig", F.xxhash64("sig", "second")).drop("second")
-                members = _mixed_only(checkpointed(members))
+                members = _mixed_only(checkpointed(_one_of_equal(checkpointed(members))))
                 continue
             left = members.filter("component <> most")
-        linked = checkpointed(_compared(checkpointed(_pairs(left, members, num, den)), sets, num, den))
+        linked = checkpointed(_compared(checkpointed(_pairs(left, members, sketches, num, den)), sets, num, den))
         found = linked if found is None else checkpointed(found.unionByName(linked).distinct())
         if step >= 2:
             break
-        members = _mixed_only(checkpointed(_in_components(members, found)))
+        members = _mixed_only(_in_components(members, found))
     return found
 
 
@@ -259,17 +263,18 @@ def jaccard_components(docs: DataFrame, keep: list[str], num: int = NUM, den: in
     signed = rows.filter("signed IS NOT NULL").select(F.explode("signed").alias("sig"), *names)
     # names of different sets differ in their first half but for one in 2 ** 64
     shared = signed.groupBy("sig").agg(F.min("high").alias("a"), F.max("high").alias("b")).filter("a <> b").select("sig")
-    shared = checkpointed(shared)
-    members = checkpointed(signed.join(broadcast_if_small(shared, BROADCAST_ROWS), "sig").distinct())
-    some = members.select(*names).distinct()
-    sketched = rows.filter("signed IS NOT NULL").groupBy(*names).agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min(F.struct("key1", "key2")).alias("key"))
-    nodes = checkpointed(sketched.join(some, names, "left_semi").withColumn("node", F.monotonically_increasing_id()))
-    members = members.join(nodes.select(*names, "node", "n", "odd"), names).drop(*names)
+    members = checkpointed(signed.join(shared, "sig").distinct())
+    some = members.groupBy(*names).agg(F.count("*").alias("shared"))
+    first = rows.filter("signed IS NOT NULL").groupBy(*names).agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min(F.struct("key1", "key2")).alias("key"))
+    nodes = checkpointed(first.join(some, names).withColumn("node", F.monotonically_increasing_id()))
+    named = nodes.select(*names, "node", "n", "shared")
+    members = checkpointed(members.join(broadcast_if_small(named, BROADCAST_ROWS), names).drop(*names))
+    members = checkpointed(_one_of_equal(members))
     # of equal texts one is read again
     keys = broadcast_if_small(nodes.select("node", F.col("key.key1").alias("key1"), F.col("key.key2").alias("key2")), BROADCAST_ROWS)
     texts = docs.select(*text_key("text"), F.col("text").cast("string").alias("text")).join(keys, ["key1", "key2"]).select("node", "text")
     sets = checkpointed(_elements(texts.groupBy("node").agg(F.first("text").alias("text"))))
-    components = connected_components(links(members, sets, num, den))
+    components = connected_components(links(members, nodes.select("node", "odd"), sets, num, den))
     named = nodes.join(components, "node").select(*names, "component")
     sizes = rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n")).filter("n > 0").drop("n")
     named = checkpointed(sizes.join(named, names, "left"))
