@@ -5,8 +5,8 @@ most ``k`` elements.  The hashed domain of the elements is cut into n1 parts, ea
 smaller ones, so that some part holds at most k2 differing elements and some choice of
 n2 - k2 of its smaller parts holds none: a signature is a class, a part and a choice, with all the
 elements in it, and similar sets share one.  Sets of a bucket (that is, of one signature) are
-candidates; their size and an odd sketch (parities of element counts in 256 cells, which differ
-in no more cells than the sets do in elements) leave out most; the rest are compared in full.
+candidates; their size and an odd sketch (parities of element counts in cells, which differ in
+no more cells than the sets do in elements) leave out most; the rest are compared in full.
 
 Equal sets are one node.  In a bucket all sets are first compared with a hub, that is one of them
 that shares most signatures; of buckets that aren't one component after that, only pairs
@@ -108,22 +108,31 @@ def signatures(elements: np.ndarray, num: int, den: int, salt: int = 0) -> np.nd
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parities of the elements in each of 256 cells, as four words."""
-    odd = np.bincount((_mixed(elements, 5) >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    """Parities of the elements in each of n / 2 to n cells (a power of two, 256 at least), 64 to a word.
+
+    Words a multiple of w apart, added up without carry, are the sketch of w words.
+    """
+    cells = max(256, 1 << max(len(elements), 1).bit_length() - 1)
+    odd = np.bincount((_mixed(elements, 5) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def small_sketch(odd: np.ndarray) -> np.ndarray:
+    """The sketch of 256 cells."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, 4), axis=0)
+
+
 def _sets(docs: DataFrame, keep: list[str], num: int, den: int) -> DataFrame:
-    """``keep`` columns, the size ``n`` of the set, its 128-bit name, sketch and signatures.
+    """``keep`` columns, the size ``n`` of the set, its 128-bit name, sketches and signatures.
 
-    A task writes the signatures and sketch of a set once, null with further copies.
+    A task writes the signatures and sketches of a set once, null with further copies.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in slices(batches, "__text"):
             at = batch.schema.get_field_index("__text")
-            n, high, low, odd, signed = [], [], [], [], []
+            n, high, low, odd, few, signed = [], [], [], [], [], []
             for text in batch.column(at).to_pylist():
                 found = shingles(text)
                 name = xxhash.xxh3_128_intdigest(found.tobytes())
@@ -133,28 +142,40 @@ def _sets(docs: DataFrame, keep: list[str], num: int, den: int) -> DataFrame:
                 low.append(name[1])
                 first = len(found) > 0 and name not in seen
                 odd.append(sketch(found) if first else None)
+                few.append(small_sketch(odd[-1]) if first else None)
                 signed.append(signatures(found, num, den).view(np.int64) if first else None)
                 if first:
                     seen.add(name)
             rest = [i for i in range(batch.num_columns) if i != at]
             longs = pa.list_(pa.int64())
-            columns = [pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(odd, longs), pa.array(signed, longs)]
-            yield pa.record_batch([*(batch.column(i) for i in rest), *columns], [*(batch.schema.names[i] for i in rest), "n", "high", "low", "odd", "signed"])
+            columns = [pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(odd, longs), pa.array(few, longs), pa.array(signed, longs)]
+            yield pa.record_batch([*(batch.column(i) for i in rest), *columns], [*(batch.schema.names[i] for i in rest), "n", "high", "low", "odd", "few", "signed"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
-    return texts_to_python(rows).mapInArrow(run, f"{types}, n long, high long, low long, odd array<long>, signed array<long>")
+    return texts_to_python(rows).mapInArrow(run, f"{types}, n long, high long, low long, odd array<long>, few array<long>, signed array<long>")
 
 
-def _elements(texts: DataFrame) -> DataFrame:
-    """(node, elements) of (node, text)."""
+def _with_sets(sets: DataFrame | None, nodes: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """``sets`` (node, elements) and those of ``nodes`` that it lacks, read from ``docs`` again; of equal texts one is read.
+
+    ``keys``: (node, key1, key2), the text of each node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "elements"])
+            found = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "elements"])
 
-    return texts_to_python(texts.select("node", "text")).mapInArrow(run, "node long, elements array<long>")
+    new = nodes.distinct() if sets is None else nodes.distinct().join(sets.select("node"), "node", "left_anti")
+    new = checkpointed(new)
+    if sets is not None and new.isEmpty():
+        return sets
+    wanted = broadcast_if_small(checkpointed(keys.join(new, "node")), BROADCAST_ROWS)
+    texts = docs.select(*text_key("text"), F.col("text").cast("string").alias("text")).join(wanted, ["key1", "key2"])
+    texts = texts_to_python(texts.groupBy("node").agg(F.first("text").alias("text")))
+    found = checkpointed(texts.mapInArrow(run, "node long, elements array<long>"))
+    return found if sets is None else sets.unionByName(found)
 
 
 def _resigned(sets: DataFrame, num: int, den: int, salt: int) -> DataFrame:
@@ -179,21 +200,41 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.filter(F.col("common") * den >= (F.col("sizes") - F.col("common")) * num).select("a", "b")
 
 
+def _folded(odd: Column, words: Column) -> Column:
+    """A sketch of fewer words."""
+    times = (F.size(odd) / words).cast("int")
+    part = lambda i: F.slice(odd, i * words + 1, words)
+    more = F.aggregate(F.sequence(F.lit(1), times - 1), part(F.lit(0)), lambda a, i: F.zip_with(a, part(i), lambda x, y: x.bitwiseXOR(y)))
+    return F.when(times == 1, odd).otherwise(more)
+
+
+def _differing(one: Column, two: Column) -> Column:
+    """Cells in which two sketches of the same number of words differ."""
+    return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+
+
 def _pairs(left: DataFrame, right: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a < b) of one bucket, but not of one component, that their sizes and sketches allow to link."""
-    n, m = F.col("x.n"), F.col("y.n")
-    other = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & (n * den >= m * num) & (m * den >= n * num)
+    """Distinct (a < b) of one bucket, but not of one component, that their sizes and sketches allow to link.
+
+    Sets that link differ in (den - num) / (den + num) of their sizes at most; small sketches go
+    with the buckets, whole ones decide once a pair is found.
+    """
+    n, m, x, y = F.col("x.n"), F.col("y.n"), F.col("x.few"), F.col("y.few")
+    cells = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(4)), F.lit(0))
+    other = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component"))
+    other = other & (n * den >= m * num) & (m * den >= n * num) & (cells * (den + num) <= (n + m) * (den - num))
     found = left.alias("x").join(right.alias("y"), other)
     found = found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (n + m).alias("sizes")).distinct()
     for end in ("a", "b"):
         found = found.join(sketches.select(F.col("node").alias(end), F.col("odd").alias(f"odd_{end}")), end)
-    cells = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(4)), F.lit(0))
+    words = F.least(F.size("odd_a"), F.size("odd_b"))
+    cells = _differing(_folded(F.col("odd_a"), words), _folded(F.col("odd_b"), words))
     return found.filter(cells * (den + num) <= F.col("sizes") * (den - num)).select("a", "b")
 
 
 def _hubs(members: DataFrame, order: Column) -> DataFrame:
     """Of each bucket the set that comes last in ``order``."""
-    best = members.groupBy("sig").agg(F.max_by(F.struct("node", "n", "component"), F.struct(order, "node")).alias("hub"))
+    best = members.groupBy("sig").agg(F.max_by(F.struct("node", "n", "few", "component"), F.struct(order, "node")).alias("hub"))
     return checkpointed(best.select("sig", "hub.*"))
 
 
@@ -219,14 +260,17 @@ def _in_components(members: DataFrame, links: DataFrame) -> DataFrame:
     return rows.withColumn("component", F.coalesce("component", "node"))
 
 
-def links(members: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect all linked sets of ``members`` (sig, node, n, shared); ``shared``: in how many buckets a set is.
+def links(members: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect all linked sets of ``members`` (sig, node, n, few, shared; ``shared``: in how many buckets a set is).
+
+    ``nodes``: (node, odd, key1, key2); ``docs``: the texts.
 
     Two rounds of hubs, then all pairs across the components that are left in a bucket.  Where
     these are many, the sets of such buckets are first parted by a signature from another
     partition of the domain, which similar sets share as well.
     """
-    members, found = members.withColumn("component", F.col("node")), None
+    members, found, sets = members.withColumn("component", F.col("node")), None, None
+    keys, sketches = nodes.select("node", "key1", "key2"), nodes.select("node", "odd")
     for step in range(5):
         if step < 2:
             left = _hubs(members, F.col("shared") if step == 0 else F.xxhash64("node"))
@@ -234,15 +278,18 @@ def links(members: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, de
             rows, words = members.agg(F.count("*"), F.sum("n")).first()
             if not rows:
                 break
-            pairs = members.select("sig", "left").distinct().agg(F.sum("left")).first()[0]
-            if step < 4 and pairs > PAIRS_A_ROW * rows and pairs > PAIRS_AN_ELEMENT * words:
-                nodes = broadcast_if_small(members.select("node").distinct(), BROADCAST_ROWS)
-                second = _resigned(sets.join(nodes, "node", "left_semi"), num, den, step)
+            across = members.select("sig", "left").distinct().agg(F.sum("left")).first()[0]
+            if step < 4 and across > PAIRS_A_ROW * rows and across > PAIRS_AN_ELEMENT * words:
+                some = checkpointed(members.select("node").distinct())
+                sets = _with_sets(sets, some, keys, docs)
+                second = _resigned(sets.join(broadcast_if_small(some, BROADCAST_ROWS), "node", "left_semi"), num, den, step)
                 members = members.drop("most", "left").join(second, "node").withColumn("sig", F.xxhash64("sig", "second")).drop("second")
                 members = _mixed_only(checkpointed(_one_of_equal(checkpointed(members))))
                 continue
             left = members.filter("component <> most")
-        linked = checkpointed(_compared(checkpointed(_pairs(left, members, sketches, num, den)), sets, num, den))
+        pairs = checkpointed(_pairs(left, members, sketches, num, den))
+        sets = _with_sets(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")), keys, docs)
+        linked = checkpointed(_compared(pairs, sets, num, den))
         found = linked if found is None else checkpointed(found.unionByName(linked).distinct())
         if step >= 2:
             break
@@ -265,16 +312,12 @@ def jaccard_components(docs: DataFrame, keep: list[str], num: int = NUM, den: in
     shared = signed.groupBy("sig").agg(F.min("high").alias("a"), F.max("high").alias("b")).filter("a <> b").select("sig")
     members = checkpointed(signed.join(shared, "sig").distinct())
     some = members.groupBy(*names).agg(F.count("*").alias("shared"))
-    first = rows.filter("signed IS NOT NULL").groupBy(*names).agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min(F.struct("key1", "key2")).alias("key"))
-    nodes = checkpointed(first.join(some, names).withColumn("node", F.monotonically_increasing_id()))
-    named = nodes.select(*names, "node", "n", "shared")
-    members = checkpointed(members.join(broadcast_if_small(named, BROADCAST_ROWS), names).drop(*names))
-    members = checkpointed(_one_of_equal(members))
-    # of equal texts one is read again
-    keys = broadcast_if_small(nodes.select("node", F.col("key.key1").alias("key1"), F.col("key.key2").alias("key2")), BROADCAST_ROWS)
-    texts = docs.select(*text_key("text"), F.col("text").cast("string").alias("text")).join(keys, ["key1", "key2"]).select("node", "text")
-    sets = checkpointed(_elements(texts.groupBy("node").agg(F.first("text").alias("text"))))
-    components = connected_components(links(members, nodes.select("node", "odd"), sets, num, den))
+    first = rows.filter("signed IS NOT NULL").groupBy(*names).agg(*[F.first(c).alias(c) for c in ("n", "odd", "few")], F.min(F.struct("key1", "key2")).alias("key"))
+    nodes = checkpointed(first.join(some, names).withColumn("node", F.monotonically_increasing_id()).select("*", "key.*").drop("key"))
+    named = nodes.select(*names, "node", "n", "few", "shared")
+    members = members.join(broadcast_if_small(named.select(*names, "node"), BROADCAST_ROWS), names).drop(*names)
+    members = _one_of_equal(checkpointed(members)).join(broadcast_if_small(named.drop(*names), BROADCAST_ROWS), "node")
+    components = connected_components(links(checkpointed(members), nodes, docs, num, den))
     named = nodes.join(components, "node").select(*names, "component")
     sizes = rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n")).filter("n > 0").drop("n")
     named = checkpointed(sizes.join(named, names, "left"))
