@@ -35,10 +35,9 @@ NUM, DEN = 9, 10
 FINE = 16
 #: Sets of so many rows are joined to them by broadcast, as there are few; tables up to so many rows are broadcast.
 HOT_COPIES, BROADCAST_ROWS = 1000, 500_000
-#: Pairs across components that are left, for each set of a bucket: up to so many they are compared, beyond another signature parts them first.
-PAIRS_A_ROW = 64
-#: Further signatures (about a quarter as many as elements) are written where they cost less than so many pairs each.
-PAIRS_AN_ELEMENT = 1
+#: A further signature, one for about three elements, costs as much as some thirty looks at two sketches to write and shuffle.
+#: Where more pairs than this for each element are left across components, buckets are parted by further signatures first.
+PAIRS_AN_ELEMENT = 10
 #: All ones of a 64-bit word.
 WORD = 0xFFFFFFFFFFFFFFFF
 
@@ -279,7 +278,7 @@ def links(members: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den:
             if not rows:
                 break
             across = members.select("sig", "left").distinct().agg(F.sum("left")).first()[0]
-            if step < 4 and across > PAIRS_A_ROW * rows and across > PAIRS_AN_ELEMENT * words:
+            if step < 4 and across > PAIRS_AN_ELEMENT * words:
                 some = checkpointed(members.select("node").distinct())
                 sets = _with_sets(sets, some, keys, docs)
                 second = _resigned(sets.join(broadcast_if_small(some, BROADCAST_ROWS), "node", "left_semi"), num, den, step)

@@ -84,7 +84,6 @@ def test_another_similarity(spark, make):
 
 
 def test_buckets_that_are_parted_again(spark, make, monkeypatch):
-    monkeypatch.setattr(overlap, "PAIRS_A_ROW", 0)
     monkeypatch.setattr(overlap, "PAIRS_AN_ELEMENT", 0)
     calls = []
     resigned = overlap._resigned
