@@ -102,7 +102,9 @@ def fit(rows: DataFrame) -> Model | None:
         n = pa.array([*seen[cells].tolist(), *langs.values()], pa.int64())
         yield pa.record_batch([lang, cell, n], ["lang", "cell", "n"])
 
-    rows = rows.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # texts without a letter are neither counted nor drawn, so a language of many such texts has as large a sample as any
+    rows = rows.select(F.col("text").cast("string").alias("text"), "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    key = ["lang", "key1", "key2"]
     counts = texts_to_python(rows).select("text", "lang").mapInArrow(count, "lang string, cell long, n long")
     counts = checkpointed(counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")))
     docs_per_language = counts.filter("cell < 0")
@@ -113,25 +115,34 @@ def fit(rows: DataFrame) -> Model | None:
     for r in counts.filter("cell >= 0").collect():  # 2 ** BITS cells at most
         idf[r["cell"]] = np.log((1.0 + n_docs) / (1.0 + r["n"])) + 1
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [vector(t, idf) if has_letter(t) else np.zeros(1 << BITS, np.float32) for t in batch.column("text").to_pylist()]
+            cells = [np.flatnonzero(v) for v in found]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in key]
+            columns += [pa.array([c.astype(np.uint16).tobytes() for c in cells], pa.binary()), pa.array([v[c].tobytes() for v, c in zip(found, cells, strict=True)], pa.binary())]
+            yield pa.record_batch(columns, [*key, "cells", "weights"])
+
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in pdf.sort_values(["key2", "key1"])["text"] if has_letter(t)]
-        if not texts:
-            return pd.DataFrame({"lang": [], "data": [], "least": []})
-        x = np.empty((len(texts), 1 << BITS), np.float32)
-        for i, t in enumerate(texts):
-            x[i] = vector(t, idf)
+        pdf = pdf[pdf["cells"].str.len() > 0].sort_values(["key2", "key1"])
+        if not len(pdf):
+            return pd.DataFrame({"lang": pd.Series(dtype="str"), "data": pd.Series(dtype="object"), "least": pd.Series(dtype="float64")})
+        x = np.zeros((len(pdf), 1 << BITS), np.float32)
+        for i, (cells, weights) in enumerate(zip(pdf["cells"], pdf["weights"], strict=True)):
+            x[i, np.frombuffer(cells, np.uint16)] = np.frombuffer(weights, np.float32)
         c = _cluster(x, CENTROIDS)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "data": [v.tobytes() for v in c], "least": float((x @ c.T).max(1).min())})
 
     # distinct (language, text) by a hash of the text: neither null or repeated ids nor copies can exceed the bound
-    key = ["lang", "key1", "key2"]
     shares = docs_per_language.select("lang", F.least(F.lit(1.0), SAMPLE / F.col("n")).alias("share"))
     keyed = rows.select("lang", *text_key("text"), "text").join(broadcast_if_small(shares, BROADCAST_LANGUAGES), "lang")
     drawn = F.xxhash64("key2", "key1")
     keys = keyed.filter(F.pmod(drawn, F.lit(1 << 30)) < F.col("share") * float(1 << 30)).select(*key).distinct()
     first = Window.partitionBy("lang").orderBy(drawn, "key1", "key2")
     keys = checkpointed(keys.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).drop("n"))
-    sample = keyed.join(broadcast_if_small(keys, BROADCAST_LANGUAGES * SAMPLE), key, "left_semi").dropDuplicates(key)
+    sample = keyed.join(broadcast_if_small(keys, BROADCAST_LANGUAGES * SAMPLE), key, "left_semi")
+    # at most 2 ** BITS cells for a text, whatever its length
+    sample = texts_to_python(sample).mapInArrow(vectors, "lang string, key1 long, key2 long, cells binary, weights binary").dropDuplicates(key)
     fitted = sample.groupBy("lang").applyInPandas(centroids, "lang string, data binary, least double")
     fitted = sorted(fitted.collect(), key=lambda r: (r["lang"], bytes(r["data"])))
     if not fitted:
@@ -184,7 +195,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learned from the two thirds that are not held out."""
+    """Language of every document, learned from the two thirds that are not held out.
+
+    Texts without a letter, null and empty ones among them, are ``und`` with score 0, whatever
+    share of a language they are; see ``predict`` for repeated rows, empty tables and other columns.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(training_rows(docs))
     judged = predict(docs.withColumn("held_out", id_crc_mod("doc_id", 3) == 1), model, ["doc_id", "held_out"])
