@@ -5,7 +5,7 @@ Candidate spans come from patterns.  Three labelers vote on each: its own form
 it and personal data beside it (context).  Expectation-maximisation over the counts of vote
 patterns estimates how reliable each labeler is; a logistic span classifier is trained on
 the resulting soft labels.  Valid spans of the four base kinds always stand, and anchor what
-label 1 means; of the other candidates (long digit runs that fail the card rule, numbers
+label 1 means; of the other candidates (long digit runs that fail the card rule, which speaks against them, numbers
 after a cue, names, places, local and social security numbers, spelled-out addresses)
 those that some labeler speaks for and the classifier accepts are added.
 """
@@ -150,7 +150,7 @@ def _form() -> Column:
         {
             **{k: _vote(F.col("valid"), 1, -1) for k in ("ip", "card", "phone")},
             "email": _vote(F.col("match").rlike(r"\.[A-Za-z]{2,}$"), 1, -1),
-            "number": F.when((n > 12) & ~n.isin(15, 16), -1).otherwise(0),  # the length of a card, but not its check digit
+            "number": F.when(n > 12, -1).otherwise(0),  # the length of a card, but not its check digit or no card's length
             "ssn": _vote(F.col("match").rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), 1, -1),
             "local": _vote(F.col("match").rlike(r"^\(?[2-9][0-9]{2}\)?[ .-][2-9]"), 1, -1),
             "spelled": _vote(F.col("match").rlike(r"[A-Za-z]{2,}[\])]?$")),
@@ -179,7 +179,11 @@ def _values() -> Column:
 
 
 def _listed(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds ``listed``, the gazetteer's vote, by one join for each value; a number that no issuer has speaks against it."""
+    """Adds ``listed``, the gazetteer's vote, by one join for each value.
+
+    A number that no issuer has speaks against it; that one has, by itself, for nothing where the check digit fails: a quarter
+    of all digit runs begin like some issuer's.
+    """
     n = F.length(_digits())
     rows = rows.withColumn("values", _values())
     votes = []
@@ -190,6 +194,7 @@ def _listed(rows: DataFrame, known: DataFrame) -> DataFrame:
         votes.append(F.when(n.between(F.col(f"__least{i}"), F.col(f"__most{i}")), F.col(f"__vote{i}")).when(F.col(f"__vote{i}").isNotNull(), -1))
     issued = F.col("kind").isin([list(PATTERNS).index(k) for k in ("card", "number")]) & (n > 12)
     listed = F.coalesce(F.least(*votes), F.when(issued, -1), F.lit(0))
+    listed = F.when((F.col("kind") == list(PATTERNS).index("number")) & (n > 12), F.least(listed, F.lit(0))).otherwise(listed)
     return rows.withColumn("listed", listed).drop("values", *[f"__{c}{i}" for c in ("vote", "least", "most") for i in range(3)])
 
 
@@ -361,5 +366,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document."""
+    """Personal data in every document; see ``find_pii`` for nulls, empty texts, repeated rows and other columns."""
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
