@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm.common import broadcast_if_small, checkpointed, id_crc_mod, slices, table, text_key, texts_to_python
 from corpusloom.llm.grams import codes_of, hashed
@@ -21,6 +22,8 @@ from corpusloom.llm.grams import codes_of, hashed
 BITS, SIZES = 16, (1, 2, 3, 4)
 #: Bound of the sample of distinct labelled texts that the support vectors are fitted on.
 SAMPLE = 16_000
+#: Cells (two bytes each) of all texts of the sample together: what the fitting task holds, however long texts are.
+SAMPLE_CELLS = 96_000_000
 #: One in so many sampled rows calibrates the margins instead.
 CALIBRATE = 4
 COST, ROUNDS, SMOOTHING = 1.0, 12, 1.0
@@ -166,9 +169,13 @@ def fit(labelled: DataFrame) -> Model | float:
     drawn = F.xxhash64("key2", "key1", "quality")
     keys = keyed.filter(F.pmod(drawn, F.lit(1 << 30)) < share * float(1 << 30)).select(*key).distinct()
     keys = checkpointed(keys.orderBy(drawn, *key).limit(SAMPLE))
-    sample = texts_to_python(keyed.join(F.broadcast(keys), key, "left_semi")).mapInArrow(pack, "quality long, key1 long, key2 long, cells binary")
+    sample = texts_to_python(keyed.join(broadcast_if_small(keys, SAMPLE), key, "left_semi")).mapInArrow(pack, "quality long, key1 long, key2 long, cells binary")
     # one task on a bounded sample, in an order of its own so that the fit is the same each time
-    one = sample.dropDuplicates(key).repartition(1).sortWithinPartitions(F.xxhash64("key2", "key1", "quality"), *key).select("quality", "cells")
+    packed = checkpointed(sample.dropDuplicates(key))
+    # SAMPLE rows of key and size: from the first on in the order of the draw, as long as their cells fit
+    upto = Window.orderBy(drawn, *key).rowsBetween(Window.unboundedPreceding, 0)
+    fits = packed.select(*key, F.sum(F.octet_length("cells") / 2).over(upto).alias("sum")).filter(F.col("sum") <= SAMPLE_CELLS).drop("sum")
+    one = packed.join(broadcast_if_small(fits, SAMPLE), key, "left_semi").repartition(1).sortWithinPartitions(F.xxhash64("key2", "key1", "quality"), *key).select("quality", "cells")
     found = one.mapInArrow(train, "weight binary, rest array<double>").first()
     return Model(ratio, np.frombuffer(found["weight"], np.float64), *found["rest"])
 
