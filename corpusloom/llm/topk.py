@@ -158,6 +158,22 @@ def _bounded(blocks: DataFrame, best: DataFrame, k: int) -> DataFrame:
     return blocks.join(rows.applyInPandas(gather, "block long, bounds binary, reach double"), "block")
 
 
+def _in_reach(bands: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(band, block) of all pairs whose longest vector reaches the block's bound.
+
+    Bands are numbered from the longest on, so a block takes those up to the last one that
+    it reaches: found by one sort of bands and blocks, a row for BAND vectors or QUERY_BLOCK queries.
+    """
+    none = F.lit(None).cast("long")
+    every = bands.select(F.col("longest").cast("double").alias("reach"), F.col("band").cast("long").alias("band"), none.alias("block"))
+    every = every.unionByName(blocks.select(F.col("reach").cast("double").alias("reach"), none.alias("band"), F.col("block").cast("long").alias("block")))
+    first = bands.agg(F.min("band").cast("long").alias("__first")).first()[0]
+    upto = Window.orderBy(F.desc("reach"), F.col("band").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = every.withColumn("last", F.max("band").over(upto)).filter("block IS NOT NULL AND last IS NOT NULL")
+    pairs = last.select(F.explode(F.sequence(F.lit(first), "last")).alias("band"), "block")
+    return pairs.join(bands.select("band"), "band", "left_semi")  # a range may have stayed empty
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of every query.
 
@@ -194,12 +210,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int | None
     begin, end = 0, 1
     while begin < bands:
         bounded = checkpointed(_bounded(blocks_of, best, k))
-        # 16 bytes for each QUERY_BLOCK queries
-        reaches = bounded.agg(F.collect_list(F.struct("block", "reach")).alias("reaches"))
         some = bands_of.filter(F.col("band").between(begin, end - 1))
-        near = some.select("band", "longest").join(F.broadcast(reaches), how="cross")
-        near = near.withColumn("near", F.filter("reaches", lambda r: r["reach"] <= F.col("longest")))
-        pairs = checkpointed(near.select("band", F.explode("near.block").alias("block")))
+        pairs = checkpointed(_in_reach(some.select("band", "longest"), bounded.select("block", "reach")))
         chosen = broadcast_if_small(pairs, BROADCAST_PAIRS)
         named = lambda: chosen.select(F.col("band").alias("band"), F.col("block").alias("block"))  # noqa: E731  columns of its own for each side
         left, right = some.join(named(), "band"), bounded.join(named(), "block")
