@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import broadcast_if_small, table
 
 #: Sub-buckets within a shard, so that numbering a shard is not one task's work: so many at least, and one for so many rows of the table.
 SLOT_BUCKETS, BUCKET_ROWS = 256, 1_600_000
+#: Groups of a shard and a bucket up to so many are broadcast with their first slots.
+BROADCAST_GROUPS = 500_000
 
 
 @dataclass(frozen=True)
@@ -139,8 +141,8 @@ def assign_shards(docs: DataFrame, tree: Node, buckets: int | None = None) -> Da
     first = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     within = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("__rn", F.row_number().over(within))
-    # shards * buckets rows at most: 16 bytes for 100,000 rows of the table
-    numbered = numbered.join(F.broadcast(first), ["shard", "__bucket"])
+    # shards * buckets rows at most: 16 bytes for BUCKET_ROWS rows of a shard
+    numbered = numbered.join(broadcast_if_small(first, BROADCAST_GROUPS), ["shard", "__bucket"])
     return numbered.select(
         "doc_id",
         "size",
