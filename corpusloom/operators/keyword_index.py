@@ -1,57 +1,119 @@
-"""An inverted index over trigrams: written once, it answers keyword questions by lookup instead of a scan of all texts."""
+"""A positional index over trigrams: keyword questions are answered from postings alone, no text is read.
+
+A posting holds a trigram, a key and the places of the trigram in that row.  A term occurs
+where the trigrams that cover it stand at their distances from one another, so its counts
+come from a join of their postings on the key and an intersection of shifted places.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
+from corpusloom.operators.tables import cut
 
 GRAM = 3
+#: Rows of the table for a slot of trigrams, and for a split of a slot's postings.
+ROWS_A_SLOT, ROWS_A_SPLIT, MOST_SLOTS = 5_000, 50_000, 512
+
+
+def packed(gram: str) -> int:
+    """Three code points in one number."""
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct runs of three characters of a text."""
-    chars = F.split(text, "")
-    chars = F.filter(chars, lambda c: c != "")
-    two = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
-    three = F.zip_with(two, F.slice(chars, 3, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.filter(three, lambda g: g.isNotNull()))
+def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams of a text, where each begins among ``all places``, and all places (in order for each trigram)."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    grams = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
+    order = np.argsort(grams, kind="stable")
+    grams, first = np.unique(grams[order], return_index=True)
+    return grams, first, order.astype(np.int32)
+
+
+def _slot(gram: Column, slots: int) -> Column:
+    return (gram % slots).cast("int")
 
 
 def build(df: DataFrame, key: str, text: str, path: str) -> None:
-    """Write ``postings`` (gram, key) and ``lengths`` (key, trigrams of the row) of all rows below ``path``.
+    """Write ``postings``, ``lengths`` (key, dl) and ``totals`` of all rows below ``path``; keys are unique.
 
-    Postings are dealt and sorted by (gram, key): a lookup reads the few row groups whose
-    range of trigrams holds its own, and a very frequent trigram spreads over files.  Rows without a key are left out; null texts have no trigrams and length 0.
+    Postings lie in folders by the trigram's remainder (a lookup opens those of its own only), each
+    dealt by key, so that a very frequent trigram spreads over files, and sorted by trigram, so that
+    a file gives up the few row groups asked for.  Texts are read once and postings shuffled once.
+    Rows without a key are left out; null texts and those of under three characters have no trigrams and length 0.
     """
+    spark = df.sparkSession
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"), F.length(text).alias("n"))
-    grams = rows.select(F.explode_outer(trigrams(F.col("low"))).alias("gram"), "key").filter("gram IS NOT NULL")
-    grams.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.mode("overwrite").parquet(f"{path}/postings")
-    rows.select("key", F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - (GRAM - 1)).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = rows.select("key", F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - (GRAM - 1)).alias("dl"))
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    totals = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    n = totals.first()["n"]
+    slots, splits = max(1, min(MOST_SLOTS, n // ROWS_A_SLOT)) | 1, max(1, -(-n // ROWS_A_SPLIT))
+    totals.withColumn("slots", F.lit(slots)).write.mode("overwrite").parquet(f"{path}/totals")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, low in enumerate(batch.column(1).to_pylist()):
+                grams, first, every = places(low)
+                if len(grams):
+                    offsets = pa.array(np.append(first, len(every)).astype(np.int32))
+                    own = batch.column(0).slice(at, 1).take(pa.array(np.zeros(len(grams), np.int64)))
+                    yield pa.record_batch([pa.array(grams), own, pa.ListArray.from_arrays(offsets, pa.array(every))], ["gram", "key", "places"])
 
-def candidates(spark: SparkSession, path: str, term: str) -> DataFrame:
-    """(key): rows that hold every trigram of the term; others can't hold it."""
-    grams = sorted({term[i : i + GRAM] for i in range(len(term) - GRAM + 1)})
-    held = spark.read.parquet(f"{path}/postings").filter(F.col("gram").isin(grams))
-    return held.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("key")
+    found = rows.select("key", "low").mapInArrow(run, f"gram long, key {dict(rows.dtypes)['key']}, places array<int>")
+    found = found.withColumn("slot", _slot(F.col("gram"), slots))
+    parts = min(slots * splits, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 8)
+    dealt = found.repartition(parts, "slot", F.pmod(F.xxhash64("key"), F.lit(splits)))
+    dealt.sortWithinPartitions("slot", "gram", "key").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/postings")
 
 
-def search(df: DataFrame, key: str, text: str, terms: list[str], path: str) -> DataFrame:
-    """(key, score): the same scores as ``retrieval.bm25`` over all rows, read from the texts of candidates only.
+def cover(term: str) -> list[int]:
+    """Where trigrams begin that together hold every character of the term."""
+    last = len(term) - GRAM
+    return [*range(0, last, GRAM), last]
 
-    Lookup gives the rows that hold all trigrams of some term; a join fetches their texts,
-    where terms are counted.  Row count and average length come from the index.
+
+def occurrences(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(key, term, tf): how often each row holds each term, overlaps included; rows without one are absent.
+
+    One shuffle, by term and key, of the postings of the terms' trigrams.
     """
-    spark = df.sparkSession
+    slots = spark.read.parquet(f"{path}/totals").first()["slots"]
+    asked = [(i, packed(t[at : at + GRAM]), at) for i, t in enumerate(terms) for at in cover(t)]
+    grams = sorted({g for _, g, _ in asked})
+    held = spark.read.parquet(f"{path}/postings").filter(F.col("slot").isin(sorted({g % slots for g in grams})) & F.col("gram").isin(grams))
+    asked_of = F.broadcast(spark.createDataFrame(asked, "term int, gram long, at int"))  # the question's own trigrams
+    begun = held.join(asked_of, "gram").select("term", "key", F.transform("places", lambda p: p - F.col("at")).alias("begins"))
+    sets = begun.groupBy("term", "key").agg(F.collect_list("begins").alias("sets"))  # one for each trigram of a term
+    needed = F.element_at(F.array(*[F.lit(len(cover(t))) for t in terms]), F.col("term") + 1)
+    whole = sets.filter(F.size("sets") == needed)
+    common = F.aggregate(F.slice("sets", 2, F.greatest(F.size("sets") - 1, F.lit(0))), F.element_at("sets", 1), lambda a, b: F.array_intersect(a, b))
+    return whole.select("key", "term", F.size(common).alias("tf")).filter("tf > 0")
+
+
+def search(spark: SparkSession, path: str, terms: list[str], key: str = "key") -> DataFrame:
+    """(key, score): the scores of ``retrieval.bm25`` over all rows of the table, from the index alone."""
     terms = sorted({t.lower() for t in terms if len(t) >= GRAM})
-    if not terms:
-        return df.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
-    found = candidates(spark, path, terms[0])
-    for term in terms[1:]:
-        found = found.unionByName(candidates(spark, path, term))
     lengths = spark.read.parquet(f"{path}/lengths")
-    total = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
-    near = df.join(found.distinct().withColumnRenamed("key", key), key, "left_semi")
-    return retrieval.bm25_scored(near, text, terms, [key], total["n"], total["avg"])
+    if not terms:
+        return lengths.select(F.col("key").alias(key), F.lit(0.0).alias("score")).limit(0)
+    counted = cut(occurrences(spark, path, terms))
+    held = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    total = spark.read.parquet(f"{path}/totals").first()
+    k1, b = retrieval.K1, retrieval.B
+    idf = {i: max(retrieval.LEAST_IDF, math.log((total["n"] - n + 0.5) / (n + 0.5))) for i, n in held.items()}
+    norm = F.col("dl") / float(total["avg"] or 1.0) * (k1 * b) + k1 * (1 - b)
+    tf = counted.groupBy("key").pivot("term", list(range(len(terms)))).agg(F.first("tf")).na.fill(0)
+    scored = tf.join(lengths, "key")
+    score = F.lit(0.0)
+    for i, weight in sorted(idf.items()):
+        score = score + F.lit(weight) * F.col(str(i)) * (k1 + 1) / (F.col(str(i)) + norm)
+    return scored.select(F.col("key").alias(key), score.alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.operators.tables import cut
+from corpusloom.operators.tables import cut, shared_folder
 
 # Keyword ranking, fusion and allocation constants.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -23,6 +24,8 @@ DOMAIN_SHARE = 0.6
 RERANK_K, RERANK_WEIGHT, RERANK_CHARS = 10, 0.5, 2048
 #: Queries and vectors that one task scores.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 16_384
+#: Pairs of a block of queries and a block of vectors that are scanned; for more the vectors are indexed.
+MOST_PAIRS = 64
 
 
 def overlaps_itself(term: str) -> bool:
@@ -81,7 +84,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; 0 for a vector of no length or with a non-finite component."""
-    d = 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    d = 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     return F.when(F.isnan(d) | d.isNull() | (F.abs(d) == float("inf")), 0.0).otherwise(d)
 
 
@@ -104,17 +107,27 @@ def _in_blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             yield pd.DataFrame({name: [int(rows[name].iloc[0])], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "data": [x.tobytes()]})
 
-    ranged = rows.select("vec_id", "embedding").repartitionByRange(parts, "vec_id").withColumn(name, F.spark_partition_id().cast("long"))
+    from corpusloom.operators.vector_index import finite
+
+    ranged = finite(rows.select("vec_id", "embedding")).repartitionByRange(parts, "vec_id").withColumn(name, F.spark_partition_id().cast("long"))
     return cut(ranged.mapInPandas(pack, f"{name} long, ids binary, data binary"))
 
 
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, distance for a stated query set against all vectors.
 
-    Queries and vectors are packed into blocks in tasks; each task scores one block of
-    either and keeps k for each query.  Nothing but the numbers of the blocks comes to
-    the driver.  A query is no neighbour of itself.
+    A query is no neighbour of itself; null and non-finite vectors take no part; one of no length
+    is at distance 0 of all.  Up to MOST_PAIRS pairs of blocks each task scores one block of
+    queries and one of vectors; beyond, an index is built (and left in the shared folder, as the
+    result reads it) whose exact mode reads only the lists that can matter.  Nothing but the
+    numbers of the blocks comes to the driver.
     """
+    if -(-vectors.count() // VECTOR_BLOCK) * -(-queries.count() // QUERY_BLOCK) > MOST_PAIRS:
+        from corpusloom.operators import vector_index
+
+        path = f"{shared_folder(vectors.sparkSession)}/vectors-{uuid.uuid4().hex}"
+        vector_index.build(vectors, path)
+        return vector_index.search(vectors.sparkSession, path, queries, k, exact=True)
     left, right = _in_blocks(vectors, VECTOR_BLOCK, "band"), _in_blocks(queries, QUERY_BLOCK, "block")
     bands, blocks = ((df.agg(F.max(name)).first()[0] or 0) + 1 for df, name in ((left, "band"), (right, "block")))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -128,6 +141,8 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame
         out = []
         for at in range(0, len(q), 256):
             d = np.round(1 - q[at : at + 256] @ x.T, 6)
+            d[:, ~x.any(1)] = 0.0
+            d[~q[at : at + 256].any(1)] = 0.0
             d[own[at : at + 256, None] == v[None, :]] = np.inf
             if len(v) > 4 * k:  # all that tie with the k-th stay for the sort
                 d = np.where(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k], d, np.inf)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import indexes, keyword_index, vector_index
 from corpusloom.operators import retrieval as rt
 from corpusloom.plans.registry import query
 from corpusloom.sources.entities import CHUNKS_SQL, chunks, table, with_views
@@ -48,12 +47,12 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:  # R3, T2, F2, X25
     return rt.nearest(table(spark, d, "embeddings"), _vector_of(spark, d, 3), 30, F.col("label") != 4).select("vec_id", "label", "distance")
 
 
-@query(
-    "cosine_topk_batch",
-    f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (
+_NEAREST_SQL = f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (
   SELECT q.vec_id AS query_id, e.vec_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank
-  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 10""",
-)
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 10"""
+
+
+@query("cosine_topk_batch", _NEAREST_SQL)
 def cosine_topk_batch(spark: SparkSession, d: str) -> DataFrame:  # J17, T3
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     return rt.nearest_of_each(v, v.filter("vec_id % 50 = 0"), 10).select("query_id", "rank", "vec_id", "distance")
@@ -250,15 +249,31 @@ def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:  # R15: words of t
 
 
 @query("keyword_index_topk", f"WITH {_bm25_sql('documents', 'doc_id')} SELECT id AS doc_id, score FROM kw ORDER BY score DESC, id LIMIT 40")
-def keyword_index_topk(spark: SparkSession, d: str) -> DataFrame:  # R1, T1, A13: the index is written, then read for the question
-    from corpusloom.operators import keyword_index, tables
-
-    docs, path = table(spark, d, "documents").select("doc_id", "text"), f"{tables.shared_folder(spark)}/keyword-{uuid.uuid4().hex}"
-    keyword_index.build(docs, "doc_id", "text", path)
-    found = keyword_index.search(docs, "doc_id", "text", TERMS, path)
+def keyword_index_topk(spark: SparkSession, d: str) -> DataFrame:  # R1, R2, T1, A13: the positional index is built once for a state of the table, then read
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = indexes.published(docs, "keyword", lambda path: keyword_index.build(docs, "doc_id", "text", path))
+    found = keyword_index.search(spark, path, TERMS, "doc_id")
     return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(40)
 
 
+def _vector_index(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return v, indexes.published(v, "vectors", lambda path: vector_index.build(v, path))
+
+
+@query("vector_index_topk", _NEAREST_SQL)
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:  # R3, J17, T3: exact mode, every list that can matter
+    v, path = _vector_index(spark, d)
+    return vector_index.search(spark, path, v.filter("vec_id % 50 = 0"), 10, exact=True)
+
+
+@query("vector_index_recall")
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:  # R3: the share of each query's true neighbours that the calibrated probes find; lists depend on k-means, so no SQL
+    v, path = _vector_index(spark, d)
+    asked = v.filter("vec_id % 50 = 0")
+    return vector_index.recall(vector_index.search(spark, path, asked, 10), vector_index.search(spark, path, asked, 10, exact=True))
+
+
 @query(
     "context_budgets",
     """SELECT conv_id, turn, CAST(greatest(1000, least(CASE role WHEN 'user' THEN 4000 ELSE 10000 END, 8000 + 100 * conv_id) - 400 - least(1000, length(text) // 4) - 80 - 400 * least(turn, 3)) AS BIGINT) AS budget,
@@ -271,8 +286,7 @@ def context_budgets(spark: SparkSession, d: str) -> DataFrame:  # R12, R13
     return c.select("conv_id", "turn", budget.alias("budget"), tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(
-    "hybrid_search",
+_HYBRID_SQL = (
     with_views(CHUNKS_SQL).rstrip()
     + f""", {_bm25_sql('chunks', 'chunk_id')},
 k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM kw ORDER BY score DESC, id LIMIT 30),
@@ -282,8 +296,11 @@ o AS (SELECT f.id, f.score, c.file_id, d.source AS dom, row_number() OVER (ORDER
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS n FROM o) WHERE n <= 2),
 a AS (SELECT *, row_number() OVER (PARTITION BY dom ORDER BY pos) AS rr, min(pos) OVER (PARTITION BY dom) AS ff FROM u),
 b AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN rr <= 9 THEN 0 ELSE 1 END, CASE WHEN rr <= 9 THEN rr END, CASE WHEN rr <= 9 THEN ff END, pos) AS slot FROM a)
-SELECT CAST(slot AS INTEGER) AS rank, id AS chunk_id, file_id AS doc_id, score FROM b WHERE slot <= 15""",
+SELECT CAST(slot AS INTEGER) AS rank, id AS chunk_id, file_id AS doc_id, score FROM b WHERE slot <= 15"""
 )
+
+
+@query("hybrid_search", _HYBRID_SQL)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:  # R6, R26: keyword and vector legs, fused, capped per file, shared over domains
     from corpusloom.plans.search import hybrid
 
@@ -291,3 +308,16 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:  # R6, R26: keyword
     vectors = table(spark, d, "embeddings").select((F.col("vec_id") * 100000).alias("vec_id"), "embedding")
     found = hybrid(chunks(spark, d), docs, vectors, TERMS, _vector_of(spark, d, 3), k=15)
     return found.select("rank", "chunk_id", F.col("file_id").alias("doc_id"), "score")
+
+
+@query("hybrid_indexed", _HYBRID_SQL)
+def hybrid_indexed(spark: SparkSession, d: str) -> DataFrame:  # R6, R26, R2, R3: both legs from indexes, built once for a state of the tables
+    from corpusloom.plans.search import hybrid
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("domain"))
+    vectors = table(spark, d, "embeddings").select((F.col("vec_id") * 100000).alias("vec_id"), "embedding")
+    pieces = chunks(spark, d)
+    words = indexes.published(pieces, "chunk-keyword", lambda path: keyword_index.build(pieces, "chunk_id", "text", path))
+    near = indexes.published(vectors, "chunk-vectors", lambda path: vector_index.build(vectors, path))
+    found = hybrid(pieces, docs, vectors, TERMS, _vector_of(spark, d, 3), k=15, keyword_index=words, vector_index=near)
+    return found.select("rank", "chunk_id", F.col("file_id").alias("doc_id"), "score")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators import keyword_index as ki
 from corpusloom.operators import retrieval as rt
+from corpusloom.operators import vector_index as vi
 
 
 def recall_size(question: str, k: int) -> int:  # T10
@@ -26,16 +28,25 @@ def hybrid(
     k: int = 15,
     per_file: int = 2,
     rerank: Callable[[DataFrame], DataFrame] | None = None,
+    keyword_index: str | None = None,
+    vector_index: str | None = None,
 ) -> DataFrame:
     """rank, chunk_id, file_id, score: the best chunks for one question.
 
     ``rerank`` may add a column ``logit`` to the fused list; without it the fused order
-    stands.  The legs give a bounded number of ids, so what follows them is small.
+    stands.  The legs give a bounded number of ids, so what follows them is small.  With the
+    folder of an index of chunks or vectors that leg is a lookup, exact like the scan.
     """
     n = 2 * k
     alone = F.lit(0).alias("query")
-    keyword = rt.bm25(chunks, "text", terms, ["chunk_id"]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "chunk_id").limit(n)
-    vector = rt.nearest(vectors, query_vector, n)
+    spark = chunks.sparkSession
+    keyword = ki.search(spark, keyword_index, terms, "chunk_id") if keyword_index else rt.bm25(chunks, "text", terms, ["chunk_id"])
+    keyword = keyword.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "chunk_id").limit(n)
+    if vector_index:
+        asked = spark.createDataFrame([(None, [float(x) for x in query_vector])], "vec_id long, embedding array<float>")
+        vector = vi.search(spark, vector_index, asked, n, exact=True)
+    else:
+        vector = rt.nearest(vectors, query_vector, n)
     rank = lambda *by: (F.row_number().over(Window.orderBy(*by)) - 1).alias("rank")  # noqa: E731  over a leg's rows
     legs = {
         "keyword": keyword.select(alone, F.col("chunk_id").cast("string").alias("id"), rank(F.desc("score"), "chunk_id")),

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import metrics, text
-from corpusloom.operators import analytics, chunking, graph, keyword_index, retrieval, routing, scopes, state, tables
+from corpusloom.operators import analytics, chunking, graph, indexes, keyword_index, retrieval, routing, scopes, state, tables
 from corpusloom.sources import readers, sinks
 
 
@@ -130,17 +130,42 @@ def test_redundancy_in_one_walk(spark):
     assert sorted((r["query"], r["pos"]) for r in kept.collect()) == want
 
 
-def test_keyword_index_gives_the_scores_of_a_scan(spark, tmp_path):
+def test_keyword_index_gives_the_scores_of_a_scan(spark, tmp_path, monkeypatch):
     rng = random.Random(15)
-    rows = [(i, "".join(rng.choice(["an", "na", "Über", " ", "ban", "x"]) for _ in range(rng.randrange(60)))) for i in range(300)] + [(900, None), (901, ""), (None, "banana")]
-    docs = spark.createDataFrame(rows, "id long, text string").filter("id IS NOT NULL")
-    keyword_index.build(spark.createDataFrame(rows, "id long, text string"), "id", "text", str(tmp_path / "index"))
-    for terms in (["anan", "über"], ["banana"], ["qqq"], ["na"], ["BAN", "nan", "zzz"]):
+    rows = [(i, "".join(rng.choice(["an", "na", "Über", " ", "ban", "x", "\U0001f600"]) for _ in range(rng.randrange(60)))) for i in range(300)] + [(900, None), (901, ""), (902, "ab"), (None, "banana")]
+    monkeypatch.setattr(keyword_index, "ROWS_A_SLOT", 30)
+    monkeypatch.setattr(keyword_index, "ROWS_A_SPLIT", 100)
+    docs, path = spark.createDataFrame(rows, "id long, text string").filter("id IS NOT NULL"), str(tmp_path / "index")
+    keyword_index.build(spark.createDataFrame(rows, "id long, text string"), "id", "text", path)
+    for terms in (["anan", "über"], ["banana"], ["qqq"], ["na"], ["BAN", "nan", "zzz"], ["anananan", "x\U0001f600x"], ["nana", "nanan"]):
         want = {r["id"]: round(r["score"], 9) for r in retrieval.bm25(docs, "text", terms, ["id"]).collect()}
-        got = {r["id"]: round(r["score"], 9) for r in keyword_index.search(docs, "id", "text", terms, str(tmp_path / "index")).collect()}
+        got = {r["id"]: round(r["score"], 9) for r in keyword_index.search(spark, path, terms, "id").collect()}
         assert got == want, terms
+    # counts by place, overlaps included
     low = {i: (t or "").lower() for i, t in rows if i is not None}
-    assert {r["key"] for r in keyword_index.candidates(spark, str(tmp_path / "index"), "anan").collect()} >= {i for i, t in low.items() if "anan" in t}
+    terms = ["anan", "über", "nana"]
+    want = {(i, t): sum(text.startswith(t, at) for at in range(len(text))) for i, text in low.items() for t in terms}
+    got = {(r["key"], terms[r["term"]]): r["tf"] for r in keyword_index.occurrences(spark, path, terms).collect()}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_index_of_a_state_is_built_once_and_whole(spark, tmp_path):
+    folder, calls = str(tmp_path / "t.parquet"), []
+    spark.range(5).write.parquet(folder)
+
+    def build(path):
+        calls.append(path)
+        spark.range(1).write.parquet(f"{path}/x")
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        indexes.published(spark.read.parquet(folder), "kind", build)
+    one = indexes.published(spark.read.parquet(folder), "kind", build)
+    assert indexes.published(spark.read.parquet(folder), "kind", build) == one and len(calls) == 2
+    spark.range(6).write.mode("overwrite").parquet(folder)
+    assert indexes.published(spark.read.parquet(folder), "kind", build) != one and len(calls) == 3
+    assert spark.read.parquet(f"{one}/x").count() == 1
 
 
 def test_nearest_of_each(spark, monkeypatch):
