@@ -187,21 +187,25 @@ def sections(df: DataFrame, group: str, order: str, line: str) -> DataFrame:
     return rows.join(first, group).select(group, order, head.alias(line))
 
 
-def paths_from_parents(nodes: DataFrame, deepest: int = 64) -> DataFrame:
+def paths_from_parents(nodes: DataFrame) -> DataFrame:
     """id, path, depth from an adjacency list (id, parent, name); roots have parent 0.
 
-    A level at a time by joins on the parent, each written before the next: neither the number of
-    rows nor the plan is bounded by a recursion limit.
+    By pointer doubling: in each round a node joins the node that it points to, takes over where that
+    one points and sets its path before its own, so a tree of any depth takes as many rounds as the depth
+    has binary digits.  Nodes that no root is above (a parent that isn't there, a circle) have no row.
     """
     from corpusloom.operators.tables import cut
 
-    nodes = cut(nodes.select("id", "parent", "name"))
-    front = cut(nodes.filter("parent = 0").select("id", F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth")))
-    out = front
-    for depth in range(2, deepest + 1):
-        below = nodes.join(front.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent")
-        front = cut(below.select("id", F.concat("above", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth")))
-        if front.isEmpty():
+    up = F.when(F.col("parent") != 0, F.col("parent"))
+    rows = cut(nodes.filter("id IS NOT NULL AND parent IS NOT NULL").select("id", up.alias("up"), F.concat(F.lit("/"), "name").alias("path"), F.lit(1).cast("long").alias("depth")))
+    before = None
+    while True:
+        going = rows.filter("up IS NOT NULL")
+        left = going.count()
+        if left in (0, before):  # each round ends some node of a tree, so those that remain go in circles
             break
-        out = out.unionByName(front)
-    return out
+        before = left
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("over"), F.col("depth").alias("more"))
+        moved = going.join(above, "up").select("id", F.col("next").alias("up"), F.concat("over", "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
+        rows = cut(rows.filter("up IS NULL").unionByName(moved))
+    return rows.filter("up IS NULL").select("id", "path", F.col("depth").cast("int").alias("depth"))

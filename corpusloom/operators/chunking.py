@@ -6,7 +6,7 @@ import ast
 import re
 import warnings
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", ".\n", "!\n", "?\n", "; ", ", ", "
 LOOKBACK_SHARE = 0.25
 CHUNK_CHARS, OVERLAP_CHARS = 1024, 102
 CODE_LIMIT = 1_000_000
+#: Marks of lines outside definitions.
+IMPORT, LOOSE = -1, -2
 
 
 def fixed_chunks(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
@@ -111,22 +113,6 @@ def sentence_snapped(text: str, size: int, reach: int = 160) -> list[tuple[int,
     return out
 
 
-def python_spans(text: str) -> list[tuple[str, int, int]]:
-    """(symbol, first line, last line) of each top-level definition, decorators included; one for the module's rest."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    out = []
-    for node in tree.body:
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            out.append((node.name, first, node.end_lineno or first))
-    taken = {line for _, a, b in out for line in range(a, b + 1)}
-    rest = [i for i, line in enumerate(text.split("\n"), 1) if i not in taken and line.strip()]
-    return [("<module>", rest[0], rest[-1]), *out] if rest else out
-
-
 _DEFINITION = {
     "js": re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|interface|const)\s+([A-Za-z_$][\w$]*)", re.M),
     "rs": re.compile(r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|trait|impl|mod)\s+([A-Za-z_]\w*)", re.M),
@@ -165,17 +151,16 @@ def stream_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_CHARS, o
 
 
 def routed_chunks(df: DataFrame) -> DataFrame:
-    """file_id, symbol, start, end: each file by the chunker of its extension.
+    """file_id, symbol, start, end: each file (file_id, path, type, text) by the chunker of its extension.
 
-    Code of up to CODE_LIMIT characters goes by definitions (line numbers for Python),
-    Markdown by sections, the rest by boundaries; what a code chunker can't split falls
-    back to boundaries.
+    Python files of up to CODE_LIMIT characters go by ``python_chunks``, other code by definitions,
+    Markdown by sections, the rest by boundaries; what a code chunker can't split falls back to boundaries.
     """
 
-    def one(kind: str, text: str) -> list[tuple[str, int, int]]:
+    def one(kind: str, text: str, name: str) -> list[tuple[str, int, int]]:
         spans: list[tuple[str, int, int]] = []
         if kind == "py" and len(text) <= CODE_LIMIT:
-            spans = python_spans(text)
+            spans = [("", a, b) for a, b, _ in python_chunks(text, f"[PY: {name}] ")]
         elif kind in ("js", "ts", "jsx", "tsx") and len(text) <= CODE_LIMIT:
             spans = definition_spans(text, "js")
         elif kind == "rs" and len(text) <= CODE_LIMIT:
@@ -186,18 +171,39 @@ def routed_chunks(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, texts = (batch.column(i).to_pylist() for i in (1, 2))
-            found = [one(k or "", t or "") for k, t in zip(kinds, texts, strict=True)]
+            kinds, texts, names = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            found = [one(k or "", t or "", n or "") for k, t, n in zip(kinds, texts, names, strict=True)]
             yield _flat(batch, ["file_id"], found, [("symbol", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
-    return df.select("file_id", "type", "text").mapInArrow(run, "file_id long, symbol string, start long, end long")
+    rows = df.select("file_id", "type", "text", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return rows.mapInArrow(run, "file_id long, symbol string, start long, end long")
+
+
+def line_starts(text: str) -> list[int]:
+    """Where each line begins, as Python's parser counts lines: they end at a line feed, a carriage return or both."""
+    return [0, *(m.end() for m in re.finditer(r"\r\n|\r|\n", text))]
+
+
+def line_marks(body: list[ast.stmt], lines: list[str]) -> list[list[int]]:
+    """What each line of a module belongs to: IMPORT, LOOSE or the numbers of definitions; nothing for blank lines and free comments.
+
+    A definition takes its decorators; a comment line belongs to what stands right below it, imports aside.
+    """
+    marks: list[list[int]] = [[] for _ in lines]
+    for number, node in enumerate(body):
+        mark = number if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else IMPORT if isinstance(node, (ast.Import, ast.ImportFrom)) else LOOSE
+        for i in range(min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]) - 1, min(node.end_lineno or node.lineno, len(lines))):
+            marks[i].append(mark)
+    for i in range(len(lines) - 2, -1, -1):
+        if not marks[i] and lines[i].lstrip().startswith("#"):
+            marks[i] = [m for m in marks[i + 1] if m != IMPORT]
+    return marks
 
 
 def python_chunks(text: str, prefix: str, most: int = 4 * 512) -> list[tuple[int, int, str]]:
     """(start, end, chunk) of a module: what stands outside definitions first, then each top-level definition.
 
-    A definition takes its decorators and the comment lines right above it.  The module's
-    imports go before the first chunk only.  A chunk over ``most`` characters is cut
+    The module's imports go before the first chunk only.  A chunk over ``most`` characters is cut
     blindly; so is a module without code, or one that doesn't parse.
     """
     try:
@@ -206,31 +212,24 @@ def python_chunks(text: str, prefix: str, most: int = 4 * 512) -> list[tuple[int
             body = ast.parse(text).body
     except (SyntaxError, ValueError, RecursionError):
         return blind_chunks(text, prefix, most)
-    lines = text.split("\n")
-    at = [0, *accumulate(len(line) + 1 for line in lines)]
-
-    def first_line(node: ast.stmt, floor: int) -> int:
-        line = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]) - 1
-        while line > floor and lines[line - 1].lstrip().startswith("#"):
-            line -= 1
-        return line
-
-    imports, loose, definitions, floor = "", set(), [], 0
-    for node in body:
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
-            imports += "\n".join(lines[node.lineno - 1 : node.end_lineno]) + "\n"
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            definitions.append((first_line(node, floor), node.end_lineno))
-        else:
-            loose |= set(range(first_line(node, floor), node.end_lineno))
-        floor = node.end_lineno
-    parts = [(a, at[a], min(len(text), at[b]), "\n".join(lines[a:b])) for a, b in definitions]
-    module = "\n".join(lines[i] for i in sorted(loose))
+    starts = line_starts(text)
+    lines = [text[a:b].rstrip("\r\n") for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+    held: dict[int, list[int]] = {}
+    for i, marks in enumerate(line_marks(body, lines)):
+        for mark in marks:
+            held.setdefault(mark, []).append(i)
+    imports = "".join(f"{lines[i]}\n" for i in held.pop(IMPORT, []))
+    loose = sorted(set(held.pop(LOOSE, [])))
+    module = "\n".join(lines[i] for i in loose)
+    parts = []
     if module.strip():
         # gathered from separate lines: it starts at the first of them and is as long as what it holds
-        parts.insert(0, (min(loose), at[min(loose)], min(len(text), at[min(loose)] + len(module)), module))
+        parts.append((starts[loose[0]], min(len(text), starts[loose[0]] + len(module)), module))
+    for own in (held[number] for number in sorted(held)):
+        end = starts[own[-1] + 1] if own[-1] + 1 < len(starts) else len(text)
+        parts.append((starts[own[0]], end, "\n".join(lines[own[0] : own[-1] + 1])))
     out: list[tuple[int, int, str]] = []
-    for _, start, end, code in parts:
+    for start, end, code in parts:
         lead = prefix + (f"\n{imports}" if imports and not out else "")
         whole = f"{lead}\n{code}"
         out += [(start, end, whole)] if len(whole) <= most else blind_chunks(code, lead, most, start)

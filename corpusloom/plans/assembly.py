@@ -19,7 +19,7 @@ from corpusloom.sources.entities import CHUNKS_SQL, FILES_SQL, chunks, files, ta
     """WITH RECURSIVE n AS (SELECT doc_id + 1 AS id, (doc_id + 1) // 4 AS parent, 'd' || doc_id AS name FROM documents),
 p AS (SELECT id, '/' || name AS path, 1 AS depth FROM n WHERE parent = 0 UNION ALL SELECT n.id, p.path || '/' || n.name, p.depth + 1 FROM p JOIN n ON n.parent = p.id) SELECT id, path, depth FROM p""",
 )
-def adjacency_paths(spark: SparkSession, d: str) -> DataFrame:  # S4: paths from (id, parent, name), level by level
+def adjacency_paths(spark: SparkSession, d: str) -> DataFrame:  # S4: paths from (id, parent, name) by pointer doubling
     n = table(spark, d, "documents").select((F.col("doc_id") + 1).alias("id"), F.floor((F.col("doc_id") + 1) / 4).alias("parent"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
     return an.paths_from_parents(n)
 

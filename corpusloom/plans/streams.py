@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.tables import shared_folder
 from corpusloom.plans.registry import query
-from corpusloom.sources import readers, sinks
-from corpusloom.sources.entities import FILES_SQL, files, table, with_views
-from corpusloom.streaming import ingest
+from corpusloom.sources import folders, readers, sinks
+from corpusloom.sources.entities import CHUNKS_SQL, FILES_SQL, chunks_of, files, table, with_views
+from corpusloom.streaming import commit, ingest, queue
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -117,3 +117,77 @@ def page_results(spark: SparkSession, d: str) -> DataFrame:  # S18: broken lines
     good = F.to_json(F.struct((F.col("event_id") % 7 - 1).cast("int").alias("page"), F.col("event_type").alias("text")))
     table(spark, d, "events").select(F.when(F.col("event_id") % 5 == 0, "{broken").otherwise(good).alias("line")).write.text(out)
     return readers.ndjson(spark, out, "page int, text string")
+
+
+@query(
+    "stream_queue",
+    """WITH r AS (SELECT c_custkey AS n, ['progress', 'done', 'failed', 'skipped', 'release', 'requeue', 'failed'][1 + c_custkey % 7] AS v, c_custkey % 4 <> 0 AS claimed, c_custkey % 14 = 6 AS t FROM customer),
+h AS (SELECT *, claimed OR v = 'requeue' AS hit FROM r)
+SELECT '/q/' || n AS file_path, CASE WHEN NOT hit THEN 'pending' WHEN v = 'progress' THEN 'running' WHEN v IN ('done', 'skipped') THEN v WHEN v = 'failed' AND t THEN 'failed' ELSE 'pending' END AS status,
+  CAST(CASE WHEN NOT claimed OR v IN ('release', 'requeue') THEN 0 ELSE 1 END AS INTEGER) AS attempts, CAST(CASE WHEN claimed AND v = 'progress' THEN 2 WHEN claimed AND v = 'done' THEN 3 ELSE 0 END AS INTEGER) AS pages_done FROM h""",
+)
+def stream_queue(spark: SparkSession, d: str) -> DataFrame:  # §2.14, Q1-Q4: requests as a stream, a row of state for each document
+    out, n = _folder(spark, "queue"), F.col("c_custkey")
+    names = F.array(*[F.lit(x) for x in ("progress", "done", "failed", "skipped", "release", "requeue", "failed")])
+    of = lambda seq, kind, **more: F.struct(F.lit(seq).cast("long").alias("seq"), kind.alias("request"), *[(more.get(f, F.lit(None))).cast(t).alias(f) for f, t in (("pages", "array<int>"), ("terminal", "boolean"))])
+    asked = F.array(
+        of(1, F.lit("enqueue"), pages=F.array(F.lit(1), F.lit(2), (n % 9 + 3).cast("int"))),
+        of(2, F.when(n % 4 != 0, "claim").otherwise("none")),
+        of(3, F.get(names, (n % 7).cast("int")), terminal=n % 14 == 6),
+    )
+    rows = table(spark, d, "customer").select(F.concat(F.lit("/q/"), n.cast("string")).alias("file_path"), F.explode(asked).alias("r")).select("file_path", "r.*")
+    rows = rows.select(
+        "file_path", "seq", (1000 + F.col("seq")).alias("at"), "request", "pages", F.lit(9).alias("page_count"), F.lit("cpu").alias("tier"), F.lit(False).alias("force"), F.lit(2).alias("pages_done"), F.lit("e").alias("error"), "terminal",
+    )
+    rows.write.parquet(f"{out}/in")
+    ingest.drained(queue.queue_states(spark.readStream.schema(queue.REQUESTS).parquet(f"{out}/in"), timers=False), f"{out}/out", "update")
+    states = spark.read.parquet(f"{out}/out/data").groupBy("file_path").agg(F.max_by(F.struct("status", "attempts", "pages_done"), "batch").alias("x"))
+    return states.select("file_path", "x.*")
+
+
+@query(
+    "stream_two_tables",
+    with_views(CHUNKS_SQL) + "SELECT chunk_id, length(text) AS chars, length(text) - length(replace(text, 'e', '')) AS e FROM chunks",
+)
+def stream_two_tables(spark: SparkSession, d: str) -> DataFrame:  # §2.14, P2, P5: chunks and their stand-in vectors (counts of one letter), published batch by batch as one
+    root, fields = _folder(spark, "together"), "chunk_id long, text string"
+    stream = ingest.event_stream(spark, d, "documents.parquet")
+
+    def parts(batch: DataFrame) -> dict[str, DataFrame]:
+        rows = chunks_of(batch).select("chunk_id", "text")
+        count = F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))
+        return {"chunks": rows, "vectors": rows.select("chunk_id", count.cast("long").alias("e"))}
+
+    running = commit.write_together(stream, root, parts)
+    try:
+        running.awaitTermination()
+    finally:
+        running.stop()
+    chunks, vectors = commit.visible(spark, root, "chunks", fields), commit.visible(spark, root, "vectors", "chunk_id long, e long")
+    return chunks.join(vectors, "chunk_id").select("chunk_id", F.length("text").cast("long").alias("chars"), "e")
+
+
+@query(
+    "folder_source",
+    "SELECT type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'md' ELSE 'txt' END AS type, strlen(text) AS size FROM documents WHERE text IS NOT NULL AND text <> '') WHERE size > 500 GROUP BY type",
+)
+def folder_source(spark: SparkSession, d: str) -> DataFrame:  # S1-S3, P9: documents as files of their own, found by the data source with the test on size pushed to the walk
+    out = _folder(spark, "folder")
+    docs = table(spark, d, "documents").filter("text IS NOT NULL AND text <> ''").select("doc_id", "text")
+    docs.select(F.when(F.col("doc_id") % 3 == 0, "md").otherwise("txt").alias("type"), "doc_id", "text").foreachPartition(_as_files(out))
+    folders.register(spark)
+    found = spark.read.format("corpus_folder").option("roots", out).load().filter("size > 500")
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+def _as_files(out: str):
+    """Writes each row's text to a file named by its id and type, through the store that the path names."""
+
+    def write(rows) -> None:
+        for row in rows:
+            store, base, _ = folders.opened(out)
+            store.create_dir(f"{base}/part{row['doc_id'] % 17}")
+            with store.open_output_stream(f"{base}/part{row['doc_id'] % 17}/doc{row['doc_id']}.{row['type']}") as f:
+                f.write(row["text"].encode())
+
+    return write

@@ -32,7 +32,7 @@ def chunk_stream(spark: SparkSession, d: str) -> DataFrame:  # C1: each cut depe
 @query("chunk_routed")
 def chunk_routed(spark: SparkSession, d: str) -> DataFrame:  # C2-C5, C7
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
-    return chunking.routed_chunks(files(spark, d).select("file_id", "type").join(docs, "file_id"))
+    return chunking.routed_chunks(files(spark, d).select("file_id", "path", "type").join(docs, "file_id"))
 
 
 _MODULES = f"""WITH w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE 'import os' || chr(10) || 'from a import b' || chr(10) END AS imports, {_WORD_SQL} AS w FROM documents),

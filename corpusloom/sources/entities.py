@@ -50,9 +50,13 @@ FILES_SQL = f"""files AS (
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-size chunks of every document, by code point."""
+    return chunks_of(table(spark, sf_dir, "documents"))
+
+
+def chunks_of(documents: DataFrame) -> DataFrame:
     from corpusloom.operators.chunking import fixed_chunks
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    docs = documents.select(F.col("doc_id").alias("file_id"), "text")
     rows = fixed_chunks(docs, "text", CHUNK, OVERLAP)
     # five digits for the chunk: a text of over 97 million characters would run into the next file's ids, so it stops the job
     fits = F.when(F.col("seq") < 100000, F.col("seq")).otherwise(F.raise_error(F.lit("a file of over 100,000 chunks")).cast("long"))

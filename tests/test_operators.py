@@ -40,8 +40,6 @@ def test_chunk_rules():
 
 def test_code_chunks():
     code = "import os\n\n@deco\ndef f():\n    return 1\n\nclass A:\n    pass\nx = 1\n"
-    assert chunking.python_spans(code) == [("<module>", 1, 9), ("f", 3, 5), ("A", 7, 8)]
-    assert chunking.python_spans("def (") == []
     assert [s[0] for s in chunking.definition_spans("// hi\nexport function go() {}\nclass B {}\n", "js")] == ["<preamble>", "go", "B"]
     assert chunking.markdown_spans("# a\ntext\n# b\n" + "y" * 50, 30)[0] == (0, 8)
 
@@ -426,3 +424,29 @@ def test_relevance_cut(spark):
     rows = [(1, i, 10.0 - i, None) for i in range(1, 9)] + [(2, 1, 1.0, -3.0), (2, 2, 0.9, -4.0)] + [(3, 1, 1.0, -3.0), (3, 2, 0.1, None)]
     got = scopes.relevant(spark.createDataFrame(rows, "query int, pos int, score double, rerank_score double")).collect()
     assert sorted((r["query"], r["pos"]) for r in got) == [*[(1, i) for i in range(1, 6)], (2, 1), (3, 1), (3, 2)]
+
+
+def test_python_lines_end_as_the_parser_says(spark):
+    """Lone carriage returns, both, none at the end: the same chunks as with line feeds, at the places of the text itself."""
+    code = "import os\n# about\n@mark\ndef f():\n    return 1\n\nx = 1; import sys\n# tail\nclass A:\n    pass"
+    want = [c.split("\n", 1)[1] for _, _, c in chunking.python_chunks(code, "p")]
+    assert want == ["import os\nx = 1; import sys\n\nx = 1; import sys", "# about\n@mark\ndef f():\n    return 1", "# tail\nclass A:\n    pass"]
+    for end in ("\r", "\r\n", "\n"):
+        text = code.replace("\n", end)
+        found = chunking.python_chunks(text, "p")
+        assert [c.split("\n", 1)[1] for _, _, c in found] == want
+        assert text[found[1][0] : found[1][1]].startswith("# about") and text[found[2][0] : found[2][1]] == end.join(["# tail", "class A:", "    pass"])
+    assert len(chunking.python_chunks("import os\rdef f():\r    return 1\r", "p")) == 1
+    files = spark.createDataFrame([(1, "/a/b.py", "py", "import os\rdef f():\r    return 1\r"), (2, "/a/c.py", "py", "def ("), (3, "/a/d.py", "py", None)], "file_id long, path string, type string, text string")
+    routed = {r["file_id"]: (r["start"], r["end"]) for r in chunking.routed_chunks(files).collect()}
+    chunks = {r["file_id"]: (r["start"], r["end"]) for r in chunking.code_chunks(files).collect()}
+    assert routed == chunks == {1: (10, 32), 2: (0, 5)}
+
+
+def test_paths_of_a_deep_tree(spark):
+    """A chain of 1,000 nodes, a bush, an orphan and a circle."""
+    rows = [(i, i - 1, f"n{i}") for i in range(1, 1001)] + [(2000 + i, 500, f"b{i}") for i in range(50)] + [(3000, 9999, "orphan"), (3001, 3000, "below"), (4000, 4001, "x"), (4001, 4000, "y"), (4002, 4001, "z")]
+    got = {r["id"]: (r["path"], r["depth"]) for r in analytics.paths_from_parents(spark.createDataFrame(rows, "id long, parent long, name string")).collect()}
+    whole = lambda n: "".join(f"/n{i}" for i in range(1, n + 1))
+    want = {i: (whole(i), i) for i in range(1, 1001)} | {2000 + i: (f"{whole(500)}/b{i}", 501) for i in range(50)}
+    assert got == want
