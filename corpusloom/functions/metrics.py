@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -174,3 +176,32 @@ def crossvalidated(scores: DataFrame, folds: int = 5) -> DataFrame:
     w = Window.partitionBy("fold").orderBy(F.desc("train_mean"), "k")
     best = rows.select("fold", "k", train.alias("train_mean"), F.round(F.col("s") / F.col("n"), 6).alias("test_mean"))
     return best.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+#: Poisson(1): of 2 ** 32 draws so many are below 0, 1, 2 ... that is the least hash that gets each weight from 1 on.
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(i) for i in range(n)) * 2**32) for n in range(1, 9))
+
+
+def poisson_medians(df: DataFrame, group: str, unit: str, value: str, replicates: int = 4000, bins: int = 1000) -> DataFrame:
+    """group, median, low, high: the median of a value and its 95 % interval by a Poisson bootstrap.
+
+    In replicate r a row counts as often as a hash of (unit, r) says: Poisson with mean 1.  Rows add up by
+    replicate and bin (``bins`` to a unit of the value) before they are shuffled, and medians come from
+    the bins, so no group of all rows is made and results don't depend on partitions.  A median is the lower
+    edge of the least bin up to which half of the weight lies.  Nulls are left out.
+    """
+    rows = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("__g"), F.col(unit).cast("string").alias("__u"), F.floor(F.col(value) * bins).alias("__b"))
+    # replicate 0 is the sample itself
+    each = rows.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("__g").cast("string"), "__u", F.col("__r").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    weight = sum(((drawn >= least).cast("int") for least in POISSON), F.lit(0))
+    each = each.withColumn("__w", F.when(F.col("__r") == 0, 1).otherwise(weight)).filter("__w > 0")
+    held = each.groupBy("__g", "__r", "__b").agg(F.sum("__w").alias("__w"))
+    of = Window.partitionBy("__g", "__r")
+    run = held.withColumn("__upto", F.sum("__w").over(of.orderBy("__b"))).withColumn("__all", F.sum("__w").over(of))
+    medians = run.filter(2 * F.col("__upto") >= F.col("__all")).groupBy("__g", "__r").agg((F.min("__b") / bins).alias("__m"))
+    ranked = medians.filter("__r > 0").withColumn("__n", F.row_number().over(Window.partitionBy("__g").orderBy("__m", "__r"))).withColumn("__c", F.count("*").over(Window.partitionBy("__g")))
+    at = lambda q: F.max(F.when(F.col("__n") == F.ceil(F.col("__c") * F.lit(q) / 1000), F.col("__m")))
+    ends = ranked.groupBy("__g").agg(at(25).alias("low"), at(975).alias("high"))
+    own = medians.filter("__r = 0").select("__g", F.col("__m").alias("median"))
+    return own.join(ends, "__g").select(F.col("__g").alias(group), "median", "low", "high")

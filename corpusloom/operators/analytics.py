@@ -187,6 +187,24 @@ def sections(df: DataFrame, group: str, order: str, line: str) -> DataFrame:
     return rows.join(first, group).select(group, order, head.alias(line))
 
 
+def expanded(df: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """A row for each combination of the values in texts like ``k=10,20 w=0.4``, one column a name, in place of the text.
+
+    Words without ``=`` and names that aren't asked for are ignored; a row that lacks a name has no combination.
+    """
+    pairs = F.filter(F.split(text, r"\s+"), lambda p: F.contains(p, F.lit("=")))
+    held = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.split(F.split_part(p, F.lit("="), F.lit(2)), ",").alias("values")))
+    rows = df.withColumn("__held", held)
+
+    def values(name: str) -> Column:
+        own = F.filter("__held", lambda h: h["name"] == name)
+        return F.flatten(F.transform(own, lambda h: h["values"]))
+
+    for name in names:
+        rows = rows.withColumn(name, F.explode(values(name)))
+    return rows.drop("__held", text)
+
+
 def paths_from_parents(nodes: DataFrame) -> DataFrame:
     """id, path, depth from an adjacency list (id, parent, name); roots have parent 0.
 

@@ -105,12 +105,16 @@ def context_sections(spark: SparkSession, d: str) -> DataFrame:  # R30, D4
 
 @query(
     "sweep_grid",
-    "SELECT k, w, build, k || '/' || w || '/' || build AS name FROM (SELECT unnest([10, 20, 60]) AS k), (SELECT unnest(['0.4', '0.6']) AS w), (SELECT unnest([1, 2, 3]) AS build)",
-)
-def sweep_grid(spark: SparkSession, d: str) -> DataFrame:  # X24: the product of a few stated settings
-    k, w, b = (F.array(*[F.lit(x) for x in v]) for v in ((10, 20, 60), ("0.4", "0.6"), (1, 2, 3)))
-    rows = spark.range(1).select(F.explode(k).alias("k")).select("k", F.explode(w).alias("w")).select("k", "w", F.explode(b).alias("build"))
-    return rows.select("k", "w", "build", F.concat_ws("/", F.col("k").cast("string"), "w", F.col("build").cast("string")).alias("name"))
+    """WITH s AS (SELECT c_custkey AS run, [c_custkey % 3 * 10 + 10, c_custkey % 5 + 60] AS k, ['0.4', CASE WHEN c_custkey % 2 = 0 THEN '0.6' ELSE '0.5' END] AS w, [1, 2, c_custkey % 4 + 3] AS build FROM customer),
+x AS (SELECT run, unnest(k) AS k, w, build FROM s), y AS (SELECT run, k, unnest(w) AS w, build FROM x), z AS (SELECT run, k, w, unnest(build) AS build FROM y)
+SELECT run, CAST(k AS INTEGER) AS k, w, CAST(build AS INTEGER) AS build, k || '/' || w || '/' || build AS name FROM z""",
+)
+def sweep_grid(spark: SparkSession, d: str) -> DataFrame:  # X24: stated settings of each run, parsed and multiplied out
+    n = F.col("c_custkey")
+    number = lambda c: c.cast("string")
+    stated = F.concat(F.lit("quiet k="), number(n % 3 * 10 + 10), F.lit(","), number(n % 5 + 60), F.lit(" w=0.4,"), F.when(n % 2 == 0, "0.6").otherwise("0.5"), F.lit(" build=1,2,"), number(n % 4 + 3))
+    rows = an.expanded(table(spark, d, "customer").select(n.alias("run"), stated.alias("stated")), "stated", ["k", "w", "build"])
+    return rows.select("run", F.col("k").cast("int").alias("k"), "w", F.col("build").cast("int").alias("build"), F.concat_ws("/", "k", "w", "build").alias("name"))
 
 
 @query(

@@ -204,16 +204,19 @@ def corpus_sample(spark: SparkSession, d: str) -> DataFrame:  # M26: a seeded sa
     return table(spark, d, "documents").select("doc_id", "n_chars").orderBy(name, "doc_id").limit(100)
 
 
-@query("bootstrap_ratio")
-def bootstrap_ratio(spark: SparkSession, d: str) -> DataFrame:  # A19: seeded resampling, one task for each group of builds
-    import numpy as np
-    import pandas as pd
+_WEIGHT = " + ".join(f"CAST(h >= {least} AS INTEGER)" for least in mt.POISSON)
 
-    def resample(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rng, x = np.random.default_rng(4000 + key[0]), np.sort(rows["ratio"].to_numpy())
-        medians = np.median(x[rng.integers(0, len(x), (4000, len(x)))], axis=1)
-        low, high = np.quantile(medians, [0.025, 0.975])
-        return pd.DataFrame({"config": [key[0]], "median": [float(np.median(x))], "low": [float(low)], "high": [float(high)]})
 
+@query(
+    "bootstrap_ratio",
+    f"""WITH b AS (SELECT doc_id % 4 AS config, doc_id % 25 AS build, avg(length(text) + doc_id % 9) / avg(n_chars) AS ratio FROM documents GROUP BY 1, 2),
+h AS (SELECT config, CAST(floor(ratio * 1000) AS BIGINT) AS bin, r, CAST('0x' || substr(md5(config || '/' || build || '/' || r), 1, 8) AS BIGINT) AS h FROM b, range(0, 4001) t(r) WHERE ratio IS NOT NULL),
+w AS (SELECT config, r, bin, sum(CASE WHEN r = 0 THEN 1 ELSE {_WEIGHT} END) AS w FROM h GROUP BY ALL),
+c AS (SELECT config, r, bin, sum(w) OVER (PARTITION BY config, r ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY config, r) AS total FROM w WHERE w > 0),
+m AS (SELECT config, r, min(bin) / 1000.0::DOUBLE AS m FROM c WHERE 2 * upto >= total GROUP BY config, r),
+k AS (SELECT config, m, row_number() OVER (PARTITION BY config ORDER BY m, r) AS n, count(*) OVER (PARTITION BY config) AS c FROM m WHERE r > 0)
+SELECT m.config, any_value(m.m) AS median, max(k.m) FILTER (n = ceil(c * 25 / 1000)) AS low, max(k.m) FILTER (n = ceil(c * 975 / 1000)) AS high FROM m JOIN k USING (config) WHERE m.r = 0 GROUP BY m.config""",
+)
+def bootstrap_ratio(spark: SparkSession, d: str) -> DataFrame:  # A19: mergeable resampling of the builds of each config
     builds = table(spark, d, "documents").groupBy((F.col("doc_id") % 4).alias("config"), (F.col("doc_id") % 25).alias("build")).agg(F.avg("n_chars").alias("a"), F.avg(F.length("text") + F.col("doc_id") % 9).alias("b"))
-    return builds.select("config", (F.col("b") / F.col("a")).alias("ratio")).groupBy("config").applyInPandas(resample, "config long, median double, low double, high double")
+    return mt.poisson_medians(builds.select("config", "build", (F.col("b") / F.col("a")).alias("ratio")), "config", "build", "ratio")

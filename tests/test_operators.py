@@ -9,6 +9,7 @@ import zipfile
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -450,3 +451,23 @@ def test_paths_of_a_deep_tree(spark):
     whole = lambda n: "".join(f"/n{i}" for i in range(1, n + 1))
     want = {i: (whole(i), i) for i in range(1, 1001)} | {2000 + i: (f"{whole(500)}/b{i}", 501) for i in range(50)}
     assert got == want
+
+
+def test_poisson_bootstrap_agrees_with_resampling(spark):
+    """Intervals within a few thousandths of plain resampling, whatever the partitions."""
+    rng = np.random.default_rng(6)
+    values = {g: rng.normal(1 + g, 0.2, 60) for g in range(3)}
+    rows = [(g, i, float(v)) for g, own in values.items() for i, v in enumerate(own)] + [(0, 99, None), (None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "config int, build int, ratio double")
+    got = {r["config"]: (r["median"], r["low"], r["high"]) for r in metrics.poisson_medians(df, "config", "build", "ratio").collect()}
+    assert got == {r["config"]: (r["median"], r["low"], r["high"]) for r in metrics.poisson_medians(df.repartition(5, "ratio"), "config", "build", "ratio").collect()}
+    for g, own in values.items():
+        medians = np.median(own[rng.integers(0, 60, (4000, 60))], axis=1)
+        want = (np.median(own), *np.quantile(medians, [0.025, 0.975]))
+        assert all(abs(a - b) < 0.03 for a, b in zip(got[g], want, strict=True)), (g, got[g], want)
+
+
+def test_settings_multiply_out(spark):
+    df = spark.createDataFrame([(1, "k=1,2 w=a  odd k=3"), (2, "k=1"), (3, "x=9 w=b,c k=7")], "run int, stated string")
+    rows = [tuple(r) for r in analytics.expanded(df, "stated", ["k", "w"]).collect()]
+    assert sorted(rows) == [(1, "1", "a"), (1, "2", "a"), (1, "3", "a"), (3, "7", "b"), (3, "7", "c")]
