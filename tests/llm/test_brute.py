@@ -707,4 +707,4 @@ def test_pipeline_stages(spark, make):
 
 
 def test_every_operator_is_registered():
-    assert [q.split("_")[0] for q in sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 14)]
