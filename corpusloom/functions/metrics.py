@@ -90,19 +90,33 @@ def token_f1(df: DataFrame, keys: list[str], answer: str, truth: str) -> DataFra
     return rows.select(*keys, F.round(recall, 6).alias("token_recall"), F.round(f1, 6).alias("f1"))
 
 
+#: White space of any script.
+SPACES = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+
+
 def longest_run(answer: Column, context: Column) -> Column:
-    """Share of the answer's words in its longest contiguous run that the context holds."""
-    w = F.filter(F.split(F.lower(answer), r"\s+"), lambda x: x != "")
-    text = F.concat(F.lit(" "), F.regexp_replace(F.lower(context), r"\s+", " "), F.lit(" "))
-    n = F.size(w)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    # for each start the runs grow while they are held; the fold keeps the longest
-    def from_start(i: Column) -> Column:
-        ends = F.sequence(i, F.greatest(n, i))
-        return F.aggregate(ends, F.lit(0), lambda best, j: F.when(F.contains(text, F.concat(F.lit(" "), F.array_join(F.slice(w, i, j - i + 1), " "), F.lit(" "))), j - i + 1).otherwise(best))
-
-    best = F.array_max(F.transform(starts, from_start))
-    return F.when(n == 0, 0.0).otherwise(best / n)
+    """Share of the answer's words in its longest contiguous run that stands in the context, white space counting as one space.
+
+    A run may begin and end within a word of the context, and case counts.  A fold goes along the answer with the longest run
+    so far: a longer one from the same word makes it grow, else the next word is tried, so runs of any
+    length are found with two looks at the context for each word.  Null or blank answers give 0, as do null contexts.
+    """
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), SPACES), lambda x: x != "")
+
+    def fold(both: Column) -> Column:
+        n = F.size(both["w"])
+        state = lambda at, best: F.struct(at.cast("int").alias("at"), best.cast("int").alias("best"))
+
+        def step(now: Column, _: Column) -> Column:
+            longer = F.array_join(F.slice(both["w"], now["at"] + 1, now["best"] + 1), " ")
+            held = (now["at"] + now["best"] < n) & F.contains(both["c"], longer)
+            return F.when(held, state(now["at"], now["best"] + 1)).otherwise(state(now["at"] + 1, now["best"]))
+
+        return F.when(n == 0, 0.0).otherwise(F.reduce(F.sequence(F.lit(1), 2 * n), state(F.lit(0), F.lit(0)), step)["best"] / n)
+
+    # the words and the text are made once for a row, outside the fold
+    both = F.struct(words(answer).alias("w"), F.array_join(words(context), " ").alias("c"))
+    return F.get(F.transform(F.array(both), fold), F.lit(0))
 
 
 def _word_runs(df: DataFrame, key: str, size: int) -> DataFrame:

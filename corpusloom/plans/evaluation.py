@@ -113,6 +113,22 @@ def context_coverage(spark: SparkSession, d: str) -> DataFrame:  # M9, M19: the
     return mt.coverage(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
+_WORDS = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
+
+
+@query(
+    "answer_coverage",
+    f"""WITH p AS (SELECT a.conv_id, a.turn, {_WORDS.format("a.text")} AS w, array_to_string({_WORDS.format("b.text")}, ' ') AS c FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'),
+r AS (SELECT conv_id, turn, max(j - i + 1) AS long FROM p, range(1, len(w) + 1) s(i), range(i, len(w) + 1) e(j) WHERE contains(c, array_to_string(w[i : j], ' ')) GROUP BY conv_id, turn)
+SELECT conv_id, turn, round(CASE WHEN len(w) = 0 THEN 0 ELSE coalesce(long, 0) / len(w) END, 6) AS share FROM p LEFT JOIN r USING (conv_id, turn)""",
+)
+def answer_coverage(spark: SparkSession, d: str) -> DataFrame:  # M9: what a reply holds of the message before, as one run of any length
+    c = table(spark, d, "conversations")
+    reply = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context"))
+    pairs = c.filter("role = 'user'").select("conv_id", "turn", "text").join(reply, ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(mt.longest_run(F.col("text"), F.col("context")), 6).alias("share"))
+
+
 _STAT = "WITH d AS (SELECT source, CAST(n_chars AS DOUBLE) AS x, CAST(doc_id * 7919 % 1000 AS DOUBLE) AS y FROM documents)"
 
 

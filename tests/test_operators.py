@@ -339,8 +339,24 @@ def test_crossvalidation(spark):
 
 
 def test_longest_run(spark):
-    df = spark.createDataFrame([("a b c d", "x b c  y d"), ("", "a"), ("q", "z")], "a string, c string")
-    assert [round(r[0], 3) for r in df.select(metrics.longest_run(F.col("a"), F.col("c"))).collect()] == [0.5, 0.0, 0.0]
+    rng, rows = random.Random(3), [("a b c d", "x b c  y d"), ("", "a"), ("q", "z"), (None, "a"), ("a", None), ("cat\u2003sat", "a concat\nsatin"), ("A b", "a b")]
+    for _ in range(400):
+        few = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(rng.choice([2, 5, 30]))]
+        answer, context = (" ".join(rng.choice(few) for _ in range(rng.randint(0, most))) for most in (25, 60))
+        cut = rng.randint(0, len(answer))
+        rows.append((answer, context + answer[cut : rng.randint(cut, len(answer))] + context if rng.random() < 0.4 else context))
+
+    def plain(answer, context):
+        words, text = (answer or "").split(), " ".join((context or "").split())
+        runs = [j - i for i in range(len(words)) for j in range(i + 1, len(words) + 1) if " ".join(words[i:j]) in text]
+        return max(runs, default=0) / max(1, len(words))
+
+    df = spark.createDataFrame(rows, "a string, c string")
+    got = df.select("a", "c", metrics.longest_run(F.col("a"), F.col("c")).alias("share")).collect()
+    assert len(got) == len(rows) and all(share == pytest.approx(plain(a, c)) for a, c, share in got)
+    long = [f"w{i}" for i in range(3000)]  # one run of half the words
+    one = spark.createDataFrame([(" ".join(long), " ".join(long[:1500] + ["x"] + long[1501:2800]))], "a string, c string")
+    assert one.select(metrics.longest_run(F.col("a"), F.col("c"))).first()[0] == 0.5
 
 
 def zipped(parts):
