@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.tables import shared_folder
 from corpusloom.plans.registry import query
-from corpusloom.sources import folders, readers, sinks
+from corpusloom.plans.texts import stream_sql
+from corpusloom.sources import blocks, folders, readers, sinks
 from corpusloom.sources.entities import CHUNKS_SQL, FILES_SQL, chunks_of, files, table, with_views
 from corpusloom.streaming import commit, ingest, queue
 
@@ -62,6 +63,19 @@ def file_text_round_trip(spark: SparkSession, d: str) -> DataFrame:  # S1, S2, S
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+_BLOCK_FILES = "SELECT doc_id // 500 AS file, string_agg(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY 1"
+
+
+@query("chunk_blocks", f"SELECT file, start, \"end\" FROM ({stream_sql(_BLOCK_FILES, 'file')})")
+def chunk_blocks(spark: SparkSession, d: str) -> DataFrame:  # C1, S8: files of 500 documents, a line each, cut by blocks of 256 KB
+    out = _folder(spark, "blocks")
+    lines = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 500).alias("file"), "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\n\f\r ]+", " ").alias("value"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(parts, "file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(out)
+    rows = blocks.block_chunks(readers.discover(spark, [out], ["txt"]), block=1 << 18)
+    return rows.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "start", "end")
+
+
 @query("export_csv", with_views(FILES_SQL) + "SELECT path, CAST(size AS VARCHAR) AS size FROM files WHERE type = 'md'")
 def export_csv(spark: SparkSession, d: str) -> DataFrame:  # K13
     out = _folder(spark, "export")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,25 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:  # C6
     return chunks(spark, d).select("chunk_id", "start", "end", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("chunk_stream")
-def chunk_stream(spark: SparkSession, d: str) -> DataFrame:  # C1: each cut depends on the one before; tests compare with plain Python
+def _last_end(window: str, separator: str) -> str:
+    """SQL: where the last occurrence of a separator ends in a window."""
+    return f"length(regexp_extract({window}, '(?s)^.*{re.escape(separator)}'))"
+
+
+def stream_sql(rows: str, key: str) -> str:
+    """SQL of the boundary-seeking chunker over ``rows`` (key, text), whose chunks each start where the one before says."""
+    size, overlap = chunking.CHUNK_CHARS, chunking.OVERLAP_CHARS
+    reach = int(size * chunking.LOOKBACK_SHARE)
+    tests = "".join(f" WHEN contains(w, '{x}') THEN {_last_end('w', x)}" for x in chunking.SEPARATORS)
+    return f"""WITH RECURSIVE t AS MATERIALIZED (SELECT {key}, text AS x, length(text) AS n FROM ({rows}) WHERE {key} IS NOT NULL AND length(text) > 0),
+s AS (SELECT {key}, 0::BIGINT AS pos, 0::BIGINT AS seq, CASE WHEN n > {size} THEN substr(x, {size - reach} + 1, {reach}) END AS w FROM t
+  UNION ALL SELECT {key}, pos, seq, CASE WHEN n - pos > {size} THEN substr(x, pos + {size - reach} + 1, {reach}) END AS w FROM (
+    SELECT {key}, pos + greatest(1, {size - reach - overlap} + CASE{tests} ELSE {reach} END) AS pos, seq + 1 AS seq FROM s WHERE w IS NOT NULL) JOIN t USING ({key}))
+SELECT {key}, seq, pos AS start, CASE WHEN w IS NULL THEN n ELSE pos + {size - reach} + CASE{tests} ELSE {reach} END END AS "end" FROM s JOIN t USING ({key}) WHERE w IS NOT NULL OR regexp_matches(substr(x, pos + 1), '[^\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]')"""
+
+
+@query("chunk_stream", stream_sql("SELECT doc_id, text FROM documents", "doc_id"))
+def chunk_stream(spark: SparkSession, d: str) -> DataFrame:  # C1: each cut depends on the one before
     return chunking.stream_chunks(table(spark, d, "documents"), "doc_id", "text", with_text=False)
 
 
