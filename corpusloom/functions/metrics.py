@@ -144,6 +144,21 @@ def coverage(items: DataFrame, contexts: DataFrame, item: str, context: str, siz
     return longest.withColumn("share", F.round("share", 6))
 
 
+def matching_records(items: DataFrame, item: str, need: str, records: DataFrame, record: str, held: str) -> DataFrame:
+    """item, matches, single: the records that hold all words an item needs, for items that need some and are held by some.
+
+    Records are looked for by the item's rarest word alone, and then compared with all of its words.
+    """
+    words = records.select(record, F.explode(F.array_distinct(held)).alias("__word"))
+    known = words.groupBy("__word").agg(F.count("*").alias("__n"))
+    wanted = items.select(item, need, F.explode(need).alias("__word")).join(known, "__word", "left")
+    # a word that no record holds is the rarest: the item finds nothing
+    rarest = wanted.groupBy(item, need).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__word")).alias("__least"))
+    found = rarest.select(item, need, F.col("__least.__word").alias("__word")).join(words, "__word").drop("__word")
+    found = found.join(records.select(record, held), record).filter(F.size(F.array_except(need, held)) == 0)
+    return found.groupBy(item).agg(F.count("*").alias("matches"), (F.count("*") == 1).alias("single"))
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Ranks from 1 within keys; ties share their mean."""
     w = Window.partitionBy(*keys).orderBy(value)

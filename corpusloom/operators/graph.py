@@ -116,18 +116,21 @@ _NAMES = {
 }
 
 
+def code_rows(kind: str, text: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, source, target, line) of one code file; nothing for other types."""
+    if kind == "py":
+        yield from _python_graph(text)
+    elif kind in ("js", "ts", "jsx", "tsx", "rs"):
+        for m in _NAMES["rs" if kind == "rs" else "js"].finditer(text):
+            yield ("class" if m[1] in ("class", "struct", "enum", "trait") else "function", m[2], "", text.count("\n", 0, m.start(2)) + 1)
+
+
 def code_graph(files: DataFrame) -> DataFrame:
     """file_id, kind, source, target, line of the code files (file_id, type, text): Python by its syntax tree, others by definition lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for i, kind, text in zip(rows["file_id"], rows["type"], rows["text"], strict=True):
-                if kind == "py":
-                    out += [(i, *x) for x in _python_graph(text or "")]
-                elif kind in ("js", "ts", "jsx", "tsx", "rs"):
-                    for m in _NAMES["rs" if kind == "rs" else "js"].finditer(text or ""):
-                        out.append((i, "class" if m[1] in ("class", "struct", "enum", "trait") else "function", m[2], "", text.count("\n", 0, m.start(2)) + 1))
+            out = [(i, *x) for i, kind, text in zip(rows["file_id"], rows["type"], rows["text"], strict=True) for x in code_rows(kind, text or "")]
             yield pd.DataFrame(out, columns=["file_id", "kind", "source", "target", "line"])
 
     return files.select("file_id", "type", "text").mapInPandas(run, "file_id long, kind string, source string, target string, line long")

@@ -204,11 +204,7 @@ SELECT item_id, count(*) AS matches, count(*) = 1 AS single FROM m WHERE c = n G
 )
 def fixture_matches(spark: SparkSession, d: str) -> DataFrame:  # M27, M18: items whose words a record holds, by an inverted index
     b = table(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w"))
-    need = b.withColumn("need", F.array_distinct(F.filter("w", lambda x: F.length(x) > 6)))
-    words = need.select("item_id", F.size("need").alias("n"), F.explode("need").alias("word"))
-    held = b.select(F.col("item_id").alias("doc"), F.explode(F.array_distinct("w")).alias("word"))
-    hits = words.join(held, "word").groupBy("item_id", "doc").agg(F.max("n").alias("n"), F.count("*").alias("c")).filter("c = n")
-    return hits.groupBy("item_id").agg(F.count("*").alias("matches"), (F.count("*") == 1).alias("single"))
+    return mt.matching_records(b.withColumn("need", F.array_distinct(F.filter("w", lambda x: F.length(x) > 6))), "item_id", "need", b.select(F.col("item_id").alias("doc"), "w"), "doc", "w")
 
 
 @query(

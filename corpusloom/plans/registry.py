@@ -44,4 +44,4 @@ def load() -> None:
         import_module(f"corpusloom.plans.{module}")
 
 
-MODULES = ("relational", "analytics", "retrieval", "evaluation", "graphs", "texts", "queues", "streams", "assembly")
+MODULES = ("relational", "analytics", "retrieval", "evaluation", "graphs", "texts", "queues", "streams", "assembly", "functions")

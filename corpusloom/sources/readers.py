@@ -212,24 +212,26 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
 }
 
 
+def text_of(kind: str, data: bytes, table: dict[str, Callable[[bytes], str]] = EXTRACTORS) -> str:  # S17
+    """A file's text by its type, plain text for types without an extractor; a stub if it can't be read."""
+    try:
+        return table.get(kind, plain_text)(data)
+    except Exception as e:  # noqa: BLE001  a broken file must not end the job
+        return f"[UNREADABLE: {type(e).__name__}]"
+
+
 def extract(files: DataFrame, more: dict[str, Callable[[bytes], str]] | None = None, largest: int = 50_000_000) -> DataFrame:  # S7, S8, S15, S17
     """path, type, sha256 and text of files read with their bytes.
 
     Extractors of ``more`` come first; other files are plain text.  Failures and files of
     over ``largest`` bytes give an [UNREADABLE: ...] stub; of the latter no byte is read,
-    so their sha256 is null.
+    so their sha256 is null.  ``blocks.block_chunks`` reads and cuts such text files, whatever their size.
     """
     table = {**EXTRACTORS, **(more or {})}
 
-    def one(kind: str, data: bytes) -> str:
-        try:
-            return table.get(kind, plain_text)(data)
-        except Exception as e:  # noqa: BLE001  a broken file must not end the job
-            return f"[UNREADABLE: {type(e).__name__}]"
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts = [one(k, bytes(b)) for k, b in zip(rows["type"], rows["content"], strict=True)]
+            texts = [text_of(k, bytes(b), table) for k, b in zip(rows["type"], rows["content"], strict=True)]
             yield rows[["path", "type", "sha256"]].assign(text=texts)
 
     # the filter on size goes down to the reader, and the stubs' side reads no content
