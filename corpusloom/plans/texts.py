@@ -85,8 +85,13 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:  # C8, C9
     return table(spark, d, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("html_text")
-def html_text(spark: SparkSession, d: str) -> DataFrame:  # X14, S14: RE2 has no back-references; tests compare with plain Python
+_BARE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+_TAGS = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{_BARE}', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(?:{tx.INLINE_TAGS})(?:\s[^>]*)?>', '', 'g'), '<[^>]+>', ' ', 'g')"
+_ENTITIES = f"""replace(replace(replace(replace(replace(replace({_TAGS}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"""
+
+
+@query("html_text", rf"SELECT page_id, trim(regexp_replace({_ENTITIES}, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS text FROM pages")
+def html_text(spark: SparkSession, d: str) -> DataFrame:  # X14, S14
     return table(spark, d, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
 
 
@@ -278,7 +283,19 @@ def json_summary(spark: SparkSession, d: str) -> DataFrame:  # C13, C14
     return table(spark, d, "events").select("event_id", summaries.json_keys(F.col("props")).alias("summary"))
 
 
-@query("file_summaries")
+@query(
+    "file_summaries",
+    with_views(FILES_SQL).rstrip()
+    + r""", h AS (SELECT file_id, path, type, substr(text, 1, 2000) AS t FROM files JOIN (SELECT doc_id AS file_id, text FROM documents) USING (file_id)),
+f AS (SELECT *, regexp_extract_all(t, '(?m)^\s*(?:class|def|function|fn|struct)\s+(\w+)', 1) AS names FROM h),
+s AS (SELECT file_id, path, substr(CASE type WHEN 'md' THEN 'Structure: ' || array_to_string(regexp_extract_all(t, '(?m)^#+[ ]+(.*)', 1)[1 : 6], ' > ')
+  WHEN 'py' THEN 'Symbols: ' || array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i)[1 : 15], ', ')
+  WHEN 'csv' THEN 'Columns: ' || array_to_string(list_transform(string_split(string_split(t, chr(10))[1], ','), lambda c: trim(c, ' ')), ', ')
+  ELSE trim(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') END, 1, 300) AS summary FROM f),
+p AS (SELECT *, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '') AS stem,
+  trim(regexp_replace(regexp_replace(summary, '^(?:\[[^\]]*\]\s*)?(?:Structure|Keys|Symbols|Columns):\s*', ''), '[>,\s]+', ' ', 'g'), ' ') AS plain FROM s)
+SELECT file_id, summary, CASE WHEN contains(lower(plain), lower(stem)) THEN plain ELSE concat_ws(' ', stem, plain) END AS embedding_text FROM p""",
+)
 def file_summaries(spark: SparkSession, d: str) -> DataFrame:  # C10, C11, C15
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
     return summaries.summarise(files(spark, d).select("file_id", "path", "type").join(docs, "file_id"))
