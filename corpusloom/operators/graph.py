@@ -91,7 +91,7 @@ def _python_graph(text: str) -> Iterator[tuple[str, str, str, int]]:
     """(kind, source, target, line): nodes (class, function) and edges (CONTAINS, INHERITS, CALLS)."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
     stack: list[tuple[ast.AST, str]] = [(tree, "")]
     while stack:

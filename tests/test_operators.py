@@ -59,6 +59,15 @@ def test_python_chunks():
     assert chunking.python_chunks("def (", "P", 600) == [(0, 5, "P\ndef (")] and chunking.python_chunks("", "P") == []
 
 
+def test_python_text_too_deep_for_the_parser(spark):
+    deep = ["-" * 100_000 + "1", "not " * 50_000 + "a", "lambda:" * 5_000 + "1", "a" + "[0]" * 100_000]
+    rows = spark.createDataFrame([(i, f"/d/{i}.py", "py", t) for i, t in enumerate(deep)], "file_id long, path string, type string, text string")
+    got = {}
+    for r in chunking.routed_chunks(rows).collect():
+        got.setdefault(r["file_id"], []).append((r["start"], r["end"]))
+    assert {i: sorted(s) for i, s in got.items()} == {i: [c[:2] for c in chunking.blind_chunks(t, f"[PY: {i}.py] ", 2048)] for i, t in enumerate(deep)}
+
+
 def test_paths(spark):
     rows = [(p,) for p in ("proj", "proj/a", "proj\\a", "proj2/a", "Proj/a", "a_b/x", "a%b/x", "axb/x")]
     df = spark.createDataFrame(rows, "path string")
