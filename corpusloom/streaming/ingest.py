@@ -12,9 +12,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, per_batch: int = 16) -> DataFrame:
-    """A table's files as a stream; new files are picked up a bounded number at a time."""
+    """A table's files as a stream, be the table one file or a folder of them; new files are picked up a bounded number at a time."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", per_batch).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(f"{folder}/{name}")
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def _event_time(events: DataFrame) -> DataFrame:

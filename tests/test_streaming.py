@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import state as st
+from corpusloom.plans import streams
 from corpusloom.sources import folders, readers
 from corpusloom.streaming import commit, ingest, queue
 
@@ -109,6 +110,20 @@ def test_two_tables_appear_together_or_not_at_all(spark, tmp_path):
     assert len(os.listdir(f"{root}/chunks")) == 2
 
 
+@pytest.mark.parametrize("files", [1, 5])
+def test_tables_of_one_or_more_files_stream_whole(spark, tmp_path, files):
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("bee").alias("text"), (F.col("id") % 4).alias("user_id"), F.col("id").alias("event_id"), F.lit("x").alias("event_type"), F.lit(1.0).alias("value"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
+    for name in ("documents", "events"):
+        rows.repartition(files).write.parquet(str(tmp_path / f"{name}-all"))
+        if files > 1:
+            (tmp_path / f"{name}-all").rename(tmp_path / f"{name}.parquet")
+        else:
+            next((tmp_path / f"{name}-all").glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    assert streams.stream_two_tables(spark, str(tmp_path)).filter("chars = 3 AND e = 2").count() == 40
+    assert sorted(tuple(r) for r in streams.stream_last_seen(spark, str(tmp_path)).collect()) == [(u, 10, 36 + u) for u in range(4)]
+    assert [(r["n"], r["total"]) for r in streams.stream_windows(spark, str(tmp_path)).collect()] == [(40, 40.0)]
+
+
 @pytest.fixture
 def tree(tmp_path):
     for i in range(40):
