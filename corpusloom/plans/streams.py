@@ -57,8 +57,7 @@ def file_text_round_trip(spark: SparkSession, d: str) -> DataFrame:  # S1, S2, S
     out = _folder(spark, "files")
     docs = table(spark, d, "documents").select("lang", F.trim(F.replace("text", F.lit("\r"), F.lit(""))).alias("text"))
     sinks.export_json(docs, f"{out}/all")
-    found = readers.extract(readers.discover(spark, [f"{out}/all"], [".JSON"], content=True), {"json": readers.plain_text})
-    lines = found.select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    lines = blocks.text_lines(readers.discover(spark, [f"{out}/all"], [".JSON"], content=True))
     rows = lines.select(F.from_json("line", "lang string, text string").alias("x")).select("x.*")
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 

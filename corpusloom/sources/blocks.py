@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from corpusloom.operators.chunking import CHUNK_CHARS, LOOKBACK_SHARE, OVERLAP_CHARS, boundary
 from corpusloom.operators.tables import cut
 from corpusloom.sources.folders import opened
-from corpusloom.sources.readers import _BOMS, SNIFFED, looks_binary
+from corpusloom.sources.readers import _BOMS, SNIFFED, extract, looks_binary
 
 #: Bytes of a block, blocks of a task, blocks of a group whose maps are put together.
 BLOCK, DEALT, GROUP = 4 << 20, 4, 64
+#: Text files of up to so many bytes are read whole by one task.
+WHOLE = 50_000_000
 #: Start of the next block's first chunk where the text is cut to its end.
 DONE = -1
 
@@ -154,3 +156,54 @@ def block_chunks(files: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERL
     todo = starts(maps).filter(F.col("entry") != DONE).select("path", "block", "entry", "base")
     tasks = some.rdd.getNumPartitions()
     return todo.repartition(tasks, "path", "block").mapInPandas(chunked, "path string, start long, end long, chunk string")
+
+
+def read_lines(path: str, block: int, size: int) -> list[str]:
+    """The lines that begin in a block, each to its end; one for a binary file.  ``size`` is a multiple of four."""
+    store, inside, _ = opened(path)
+    with store.open_input_file(inside) as f:
+        head = f.read(SNIFFED)
+        if looks_binary(head):
+            return [] if block else [f"[BINARY: {f.size()} bytes]"]
+        mark, codec = next(((len(bom), codec) for bom, codec in _BOMS if head.startswith(bom)), (0, "utf-8"))
+        end = "\n".encode(codec)
+        width = len(end)
+
+        def after(data: bytes) -> int:
+            """Bytes up to and with the first line end; 0 without one."""
+            at = data.find(end)
+            while at >= 0 and at % width:
+                at = data.find(end, at + 1)
+            return at + width if at >= 0 else 0
+
+        before = width if block else 0  # the last character of the block before tells whether a line begins right here
+        f.seek(mark + block * size - before)
+        data = f.read(size + before)
+        if block:
+            data = data[after(data) :] if after(data) else b""
+        parts, ended = [data], not data or data[-width:] == end
+        while not ended and (more := f.read(SNIFFED)):
+            n = after(more)
+            parts.append(more[:n] if n else more)
+            ended = n > 0
+    lines = b"".join(parts).decode(codec, "replace").split("\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def text_lines(files: DataFrame, largest: int = WHOLE, block: int = BLOCK) -> DataFrame:  # S7, S8
+    """path and line of plain text files (path, type, size, content) of any size, as split at line feeds, but for empty lines.
+
+    Files of over ``largest`` bytes are read by blocks, so no task holds one; a binary file has one line that says so.
+    """
+    block = max(4, block - block % 4)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for path, number in rows.itertuples(index=False):
+                if lines := read_lines(path, number, block):
+                    yield pd.DataFrame({"path": path, "line": lines})
+
+    small = extract(files.filter(F.col("size") <= largest).withColumn("type", F.lit("")))
+    small = small.select("path", F.explode(F.split("text", "\n")).alias("line"))
+    large = blocks(files.filter(F.col("size") > largest), block)
+    return small.unionByName(large.mapInPandas(run, "path string, line string")).filter("line <> ''")

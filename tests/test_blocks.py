@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking
+from corpusloom.plans import streams
 from corpusloom.sources import blocks, readers
 
 
@@ -61,3 +63,21 @@ def test_groups_of_groups(spark, monkeypatch, tmp_path):
 def test_no_files(spark):
     none = spark.createDataFrame([], "path string, size long")
     assert blocks.block_chunks(none).count() == 0
+
+
+@pytest.mark.parametrize(("largest", "block"), [(0, 64), (0, 4096), (5000, 512)])
+def test_lines_of_files_of_any_size(spark, tmp_path, largest, block):
+    more = {"ends.txt": b"a\n\nbb\n" * 40, "odd.txt": b"\xff\xfe" + "\u0a41\u410a\n\u0a0ax\n".encode("utf-16-le") * 50}
+    for name, data in (CASES | more).items():
+        (tmp_path / name).write_bytes(data[:6000])
+    got = {}
+    for row in blocks.text_lines(readers.discover(spark, [str(tmp_path)], ["txt"], content=True), largest, block).collect():
+        got.setdefault(row["path"].rpartition("/")[2], []).append(row["line"])
+    for name, data in (CASES | more).items():
+        assert sorted(got.get(name, [])) == sorted(x for x in readers.plain_text(data[:6000]).split("\n") if x), name
+
+
+def test_documents_in_files_of_over_50_mb_come_back_whole(spark, tmp_path):
+    text = F.repeat(F.lit("word "), 200_000)
+    spark.range(60).select(F.lit("en").alias("lang"), F.concat(text, F.col("id").cast("string")).alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in streams.file_text_round_trip(spark, str(tmp_path)).collect()] == [("en", 60, 60 * 1_000_000 + 10 + 50 * 2)]
