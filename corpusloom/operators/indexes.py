@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.operators.tables import shared_folder
 
 #: Goes up when an index is laid out anew, so that older ones are not taken for it.
-FORMAT = 2
+FORMAT = 3
 
 
 def _path(spark: SparkSession, path: str):

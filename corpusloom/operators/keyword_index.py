@@ -1,8 +1,9 @@
 """A positional index over trigrams: keyword questions are answered from postings alone, no text is read.
 
-A posting holds a trigram, a key and the places of the trigram in that row.  A term occurs
-where the trigrams that cover it stand at their distances from one another, so its counts
-come from a join of their postings on the key and an intersection of shifted places.
+Each task cuts its rows into segments of a bounded number of characters and writes, for each
+trigram of a segment, the keys that hold it, how often, and at which places.  A term occurs where the trigrams
+that cover it stand at their distances from one another, so its counts come from the
+postings of each segment by intersection of shifted places.
 """
 
 from __future__ import annotations
@@ -11,16 +12,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
 from corpusloom.operators.tables import cut
 
 GRAM = 3
-#: Rows of the table for a slot of trigrams, and for a split of a slot's postings.
-ROWS_A_SLOT, ROWS_A_SPLIT, MOST_SLOTS = 5_000, 50_000, 512
+#: Characters of a segment (a longer text is one of its own).
+SEGMENT = 1 << 21
+#: Trigrams of a segment that go to Spark in one batch, and most rows of the table in a segment.
+ROWS_A_SLOT, ROWS_A_SPLIT = 5_000, 50_000
+#: A lookup reads the pages of its trigrams only, so row groups and pages are small.
+LAYOUT = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.row.count.limit": 1000}
 
 
 def packed(gram: str) -> int:
@@ -29,25 +36,33 @@ def packed(gram: str) -> int:
     return a << 42 | b << 21 | c
 
 
-def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigrams of a text, where each begins among ``all places``, and all places (in order for each trigram)."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    grams = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
+def segment(keys: pa.Array, texts: list[str], number: int) -> pa.RecordBatch:
+    """number, gram, keys, counts, places: a row for each trigram of the texts, its places flat by key and in order."""
+    sizes = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    place = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    begins = np.flatnonzero(row[: -(GRAM - 1)] == row[GRAM - 1 :])  # three characters of one text
+    grams = codes[begins] << 42 | codes[begins + 1] << 21 | codes[begins + 2]
     order = np.argsort(grams, kind="stable")
-    grams, first = np.unique(grams[order], return_index=True)
-    return grams, first, order.astype(np.int32)
-
-
-def _slot(gram: Column, slots: int) -> Column:
-    return (gram % slots).cast("int")
+    grams, row, place = grams[order], row[begins[order]], place[begins[order]]
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    other = new.copy()
+    other[1:] |= row[1:] != row[:-1]
+    first, held = np.flatnonzero(new), np.flatnonzero(other)
+    counts = np.diff(np.append(held, len(grams))).astype(np.int32)
+    ends = pa.array(np.append(np.searchsorted(held, first), len(held)).astype(np.int32))
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(grams)).astype(np.int32)), pa.array(place))
+    lists = [pa.ListArray.from_arrays(ends, keys.take(pa.array(row[held]))), pa.ListArray.from_arrays(ends, pa.array(counts)), places]
+    return pa.record_batch([pa.array(np.full(len(first), number)), pa.array(grams[first]), *lists], ["segment", "gram", "keys", "counts", "places"])
 
 
 def build(df: DataFrame, key: str, text: str, path: str) -> None:
     """Write ``postings``, ``lengths`` (key, dl) and ``totals`` of all rows below ``path``; keys are unique.
 
-    Postings lie in folders by the trigram's remainder (a lookup opens those of its own only), each
-    dealt by key, so that a very frequent trigram spreads over files, and sorted by trigram, so that
-    a file gives up the few row groups asked for.  Texts are read once and postings shuffled once.
+    Postings are written where the texts are read, without a shuffle: of about the size of the texts for each of
+    keys and places, in order of trigrams within a segment.
     Rows without a key are left out; null texts and those of under three characters have no trigrams and length 0.
     """
     spark = df.sparkSession
@@ -55,24 +70,31 @@ def build(df: DataFrame, key: str, text: str, path: str) -> None:
     lengths = rows.select("key", F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - (GRAM - 1)).alias("dl"))
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     totals = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
-    n = totals.first()["n"]
-    slots, splits = max(1, min(MOST_SLOTS, n // ROWS_A_SLOT)) | 1, max(1, -(-n // ROWS_A_SPLIT))
-    totals.withColumn("slots", F.lit(slots)).write.mode("overwrite").parquet(f"{path}/totals")
+    totals.write.mode("overwrite").parquet(f"{path}/totals")
+    most, batch_rows, characters = ROWS_A_SPLIT, ROWS_A_SLOT, SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, low in enumerate(batch.column(1).to_pylist()):
-                grams, first, every = places(low)
-                if len(grams):
-                    offsets = pa.array(np.append(first, len(every)).astype(np.int32))
-                    own = batch.column(0).slice(at, 1).take(pa.array(np.zeros(len(grams), np.int64)))
-                    yield pa.record_batch([pa.array(grams), own, pa.ListArray.from_arrays(offsets, pa.array(every))], ["gram", "key", "places"])
+        number, keys, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
 
-    found = rows.select("key", "low").mapInArrow(run, f"gram long, key {dict(rows.dtypes)['key']}, places array<int>")
-    found = found.withColumn("slot", _slot(F.col("gram"), slots))
-    parts = min(slots * splits, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 8)
-    dealt = found.repartition(parts, "slot", F.pmod(F.xxhash64("key"), F.lit(splits)))
-    dealt.sortWithinPartitions("slot", "gram", "key").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/postings")
+        def cut_off(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            whole = segment(pa.array(keys, kind), texts, number)
+            yield from (whole.slice(at, batch_rows) for at in range(0, whole.num_rows, batch_rows))
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for name, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(name)
+                texts.append(low)
+                held += len(low)
+                if held >= characters or len(keys) >= most:
+                    yield from cut_off(kind)
+                    number, keys, texts, held = number + 1, [], [], 0
+        if keys:
+            yield from cut_off(kind)
+
+    kind = dict(rows.dtypes)["key"]
+    found = rows.select("key", "low").mapInArrow(run, f"segment long, gram long, keys array<{kind}>, counts array<int>, places array<int>")
+    found.write.mode("overwrite").options(**LAYOUT).parquet(f"{path}/postings")
 
 
 def cover(term: str) -> list[int]:
@@ -84,19 +106,28 @@ def cover(term: str) -> list[int]:
 def occurrences(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """(key, term, tf): how often each row holds each term, overlaps included; rows without one are absent.
 
-    One shuffle, by term and key, of the postings of the terms' trigrams.
+    One shuffle, by segment, of the postings of the terms' trigrams.
     """
-    slots = spark.read.parquet(f"{path}/totals").first()["slots"]
-    asked = [(i, packed(t[at : at + GRAM]), at) for i, t in enumerate(terms) for at in cover(t)]
-    grams = sorted({g for _, g, _ in asked})
-    held = spark.read.parquet(f"{path}/postings").filter(F.col("slot").isin(sorted({g % slots for g in grams})) & F.col("gram").isin(grams))
-    asked_of = F.broadcast(spark.createDataFrame(asked, "term int, gram long, at int"))  # the question's own trigrams
-    begun = held.join(asked_of, "gram").select("term", "key", F.transform("places", lambda p: p - F.col("at")).alias("begins"))
-    sets = begun.groupBy("term", "key").agg(F.collect_list("begins").alias("sets"))  # one for each trigram of a term
-    needed = F.element_at(F.array(*[F.lit(len(cover(t))) for t in terms]), F.col("term") + 1)
-    whole = sets.filter(F.size("sets") == needed)
-    common = F.aggregate(F.slice("sets", 2, F.greatest(F.size("sets") - 1, F.lit(0))), F.element_at("sets", 1), lambda a, b: F.array_intersect(a, b))
-    return whole.select("key", "term", F.size(common).alias("tf")).filter("tf > 0")
+    covers = [[(packed(t[at : at + GRAM]), at) for at in cover(t)] for t in terms]
+    held = spark.read.parquet(f"{path}/postings")
+    kind = held.schema["keys"].dataType.elementType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, numbers = np.unique(np.concatenate(rows["keys"].to_list()), return_inverse=True)
+        numbers = np.split(numbers, np.cumsum([len(k) for k in rows["keys"]])[:-1])
+        begins = {g: np.repeat(k, n) * (1 << 32) + p for g, k, n, p in zip(rows["gram"], numbers, rows["counts"], rows["places"], strict=True)}
+        out = []
+        for i, grams in enumerate(covers):
+            if all(g in begins for g, _ in grams):
+                common = begins[grams[0][0]]
+                for g, at in grams[1:]:
+                    common = np.intersect1d(common, begins[g] - at, assume_unique=True)
+                own, tf = np.unique(common >> 32, return_counts=True)
+                out.append(pd.DataFrame({"key": names[own], "term": i, "tf": tf}))
+        return pd.concat(out) if out else pd.DataFrame({"key": names[:0], "term": [], "tf": []})
+
+    asked = held.filter(F.col("gram").isin(sorted({g for grams in covers for g, _ in grams})))
+    return asked.groupBy("segment").applyInPandas(run, f"key {kind}, term int, tf int")
 
 
 def search(spark: SparkSession, path: str, terms: list[str], key: str = "key") -> DataFrame:

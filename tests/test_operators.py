@@ -157,6 +157,16 @@ def test_keyword_index_gives_the_scores_of_a_scan(spark, tmp_path, monkeypatch):
     assert got == {k: n for k, n in want.items() if n}
 
 
+def test_keyword_index_holds_a_trigram_once_a_segment(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyword_index, "SEGMENT", 2000)
+    rows, path = [(i, f"the same words and number {i % 7}") for i in range(400)], str(tmp_path / "index")
+    keyword_index.build(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id", "text", path)
+    held = spark.read.parquet(f"{path}/postings")
+    grams, segments = {t[at : at + 3] for _, t in rows for at in range(len(t) - 2)}, -(-400 // -(-2000 // 27))
+    assert held.select("segment").distinct().count() == segments and held.count() <= len(grams) * segments
+    assert held.agg(F.sum(F.size("places"))).first()[0] == sum(len(t) - 2 for _, t in rows)
+
+
 def test_index_of_a_state_is_built_once_and_whole(spark, tmp_path):
     folder, calls = str(tmp_path / "t.parquet"), []
     spark.range(5).write.parquet(folder)
