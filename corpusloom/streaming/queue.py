@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusloom.operators.state import ERROR_CHARS, QUEUE
 
 #: Requests: ``seq`` orders those of a path, ``at`` is their time in seconds; the rest is as in ``operators.state``.
 REQUESTS = "file_path string, seq long, at long, request string, pages array<int>, page_count int, tier string, force boolean, pages_done int, error string, terminal boolean"
+#: Groups of paths; a number that stays as long as a checkpoint.
+BUCKETS = 1024
 _FIELDS = [f.split()[0] for f in QUEUE.split(", ")][1:]
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,48 +56,65 @@ def after(doc: dict | None, r: dict, stale_after: int, max_attempts: int) -> dic
 
 
 class _Queue(StatefulProcessor):
-    """One document's row as keyed state; a claim sets a timer, and what is still running under the same claim when it rings is pending again."""
+    """The rows of a bucket of documents, each under its path in keyed state.
+
+    The claims of a batch share a timer; a document that is still running under its claim when that rings is pending again.
+    """
 
     def __init__(self, stale_after: int, max_attempts: int, timers: bool) -> None:
         self.stale_after, self.max_attempts, self.timers = stale_after, max_attempts, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.doc = handle.getValueState("doc", ", ".join(QUEUE.split(", ")[1:]))
-
-    def _row(self, key: tuple, doc: dict) -> pd.DataFrame:
-        return pd.DataFrame({"file_path": [key[0]], **{f: [doc[f]] for f in _FIELDS}})
+        # ``due``: the time of the timer that a document's claim waits for, 0 for none
+        self.docs = handle.getMapState("docs", "file_path string", ", ".join([*QUEUE.split(", ")[1:], "due long"]))
+        self.waiting = handle.getMapState("waiting", "due long", "paths array<string>")
 
-    def _get(self) -> dict | None:
-        if not self.doc.exists():
+    def _get(self, path: str) -> dict | None:
+        held = self.docs.getValue((path,))
+        if held is None:
             return None
-        doc = dict(zip(_FIELDS, self.doc.get(), strict=True))
+        doc = dict(zip([*_FIELDS, "due"], held, strict=True))
         return doc | {"pages": [int(p) for p in doc["pages"]]}
 
-    def _no_timers(self) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
+    def _put(self, path: str, doc: dict, due: int) -> tuple:
+        row = tuple(doc[f] for f in _FIELDS)
+        self.docs.updateValue((path,), (*row, due))
+        return (path, *row)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        doc = self._get()
-        asked = pd.concat(list(rows)).sort_values("seq").to_dict("records")  # one document's requests of one batch
-        for r in asked:
-            doc = after(doc, r, self.stale_after, self.max_attempts)
-        if doc is None:
-            return
-        self.doc.update(tuple(doc[f] for f in _FIELDS))
-        if self.timers:
-            self._no_timers()
-        if self.timers and doc["status"] == "running":
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.stale_after)
-        yield self._row(key, doc)
+        asked = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a bucket's requests of one batch
+        of: dict[str, list[dict]] = {}
+        for values in zip(*(asked[c].tolist() for c in asked.columns), strict=True):
+            r = dict(zip(asked.columns, values, strict=True))
+            of.setdefault(r["file_path"], []).append(r)
+        due = timerValues.getCurrentProcessingTimeInMs() + 1000 * self.stale_after if self.timers else 0
+        out, running = [], []
+        for path, requests in of.items():
+            doc = self._get(path)
+            for r in requests:
+                doc = after(doc, r, self.stale_after, self.max_attempts)
+            if doc is not None:
+                claimed = self.timers and doc["status"] == "running"
+                out.append(self._put(path, doc, due if claimed else 0))
+                running += [path] if claimed else []
+        if running:
+            before = self.waiting.getValue((due,))
+            self.waiting.updateValue((due,), ([*(before[0] if before else []), *running],))
+            self.handle.registerTimer(due)
+        if out:
+            yield pd.DataFrame(out, columns=["file_path", *_FIELDS])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        doc = self._get()
-        if doc and doc["status"] == "running":
-            doc = doc | {"status": "pending", "updated_at": timerValues.getCurrentProcessingTimeInMs() // 1000}
-            self.doc.update(tuple(doc[f] for f in _FIELDS))
-            yield self._row(key, doc)
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        now, out = timerValues.getCurrentProcessingTimeInMs() // 1000, []
+        for path in (self.waiting.getValue((due,)) or ([],))[0]:
+            doc = self._get(path)
+            if doc and doc["status"] == "running" and doc["due"] == due:
+                out.append(self._put(path, doc | {"status": "pending", "updated_at": now}, 0))
+        self.waiting.removeKey((due,))
+        if out:
+            yield pd.DataFrame(out, columns=["file_path", *_FIELDS])
 
     def close(self) -> None:
         pass
@@ -104,11 +124,13 @@ def queue_states(requests: DataFrame, stale_after: int = 900, max_attempts: int
     """The new row of each document that a micro-batch of REQUESTS touched, or whose claim went stale.
 
     Requests of a path apply in order of ``seq`` by the rules of ``operators.state``.  Any number of
-    documents: their rows lie in the state store, partitioned by path.  Without ``timers`` a stale claim only
+    documents: their rows lie in the state store under their paths, dealt to BUCKETS groups, so that Python is
+    called for a bucket of a micro-batch and not for a path.  Without ``timers`` a stale claim only
     comes back with the next claim; a stream that is to end (availableNow) needs that, as timers keep one running.
     """
     spark: SparkSession = requests.sparkSession
     spark.conf.set(_PROVIDER, _ROCKS)
-    return requests.groupBy("file_path").transformWithStateInPandas(
+    dealt = requests.withColumn("bucket", F.pmod(F.xxhash64("file_path"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Queue(stale_after, max_attempts, timers), outputStructType=QUEUE, outputMode="Update", timeMode="ProcessingTime" if timers else "None"
     )

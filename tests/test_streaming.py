@@ -4,6 +4,7 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,35 @@ def test_queue_stream_equals_the_batch_operators(spark, tmp_path):
     assert latest(spark, out) == {r["file_path"]: tuple(r[c] for c in cols) for r in table.collect()}
 
 
+class Held(dict):
+    """A map state and its handle in memory."""
+
+    getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.pop
+
+    def __init__(self):
+        self.maps, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, Held())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_a_call_serves_many_documents_and_a_timer_many_claims():
+    handle, of = Held(), queue._Queue(1, 3, True)
+    of.init(handle)
+    clock = lambda now: type("T", (), {"getCurrentProcessingTimeInMs": lambda self: now, "getExpiryTimeInMs": lambda self: now})()
+    rows = [request(f"/{i}", seq, 5, kind, pages=[1]) for i in range(50) for seq, kind in ((2, "claim"), (1, "enqueue"))]
+    ask = lambda some, now: [r[:1] + r[5:6] for df in of.handleInputRows((0,), iter([pd.DataFrame(x, columns=FIELDS) for x in some]), clock(now)) for r in df[["file_path", *queue._FIELDS]].itertuples(index=False)]
+    assert sorted(ask([rows[:30], rows[30:]], 1000)) == sorted((f"/{i}", "running") for i in range(50)) and handle.timers == {2000}
+    ask([[request("/7", 3, 6, "progress", pages_done=1), request("/8", 4, 6, "done"), request("/none", 5, 6, "claim")]], 1500)
+    assert handle.timers == {2000, 2500}
+    first, second = (pd.concat(list(of.handleExpiredTimer((0,), clock(t), clock(t)))) for t in (2000, 2500))
+    assert set(first["file_path"]) == {f"/{i}" for i in range(50) if i not in (7, 8)} and set(first["status"]) == {"pending"}
+    assert list(second["file_path"]) == ["/7"] and not handle.maps["waiting"]
+
+
 def test_a_stale_claim_comes_back(spark, tmp_path):
     source, out, states = str(tmp_path / "in"), str(tmp_path / "out"), []
     rows = [request("/a", 1, 10, "enqueue", pages=[1], page_count=1, tier="cpu", force=False), request("/a", 2, 11, "claim"), request("/b", 3, 10, "enqueue", pages=[1], page_count=1, tier="cpu", force=False), request("/b", 4, 11, "claim"), request("/b", 5, 12, "done")]
