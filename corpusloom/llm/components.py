@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import checkpointed
 
+#: Edges of a partition: rounds over few edges would write thousands of files with next to nothing in them.
+EDGES_A_PART = 50_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct().coalesce(parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).coalesce(parts).distinct().coalesce(parts)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -40,6 +43,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         if check["n"] == 0 or (check["n"], check["hi"], check["lo"]) == seen:
             break
         seen = (check["n"], check["hi"], check["lo"])
-        edges = checkpointed(_small_star(_large_star(edges)))
+        parts = -(-check["n"] // EDGES_A_PART)  # a round adds no edges
+        edges = checkpointed(_small_star(_large_star(edges.coalesce(parts), parts), parts))
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

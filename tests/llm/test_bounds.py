@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from corpusloom.llm import langid, pii, quality, topk
+from corpusloom.llm import components, langid, pii, quality, topk
 
 from .conftest import docs_of
 
@@ -80,3 +80,21 @@ def test_bands_in_reach(spark):
     blocks = [(i, rng.choice([float("-inf"), 0.0, 12.0, 25.0, 49.0, 60.0])) for i in range(30)]
     got = topk._in_reach(spark.createDataFrame(bands, "band long, longest double"), spark.createDataFrame(blocks, "block long, reach double"))
     assert {(r["band"], r["block"]) for r in got.collect()} == {(b, q) for b, v in bands for q, reach in blocks if reach <= v}
+
+
+def test_rounds_over_few_edges_have_few_partitions(spark, monkeypatch):
+    held, name = [], "spark.sql.adaptive.coalescePartitions.enabled"
+
+    def kept(df):
+        held.append(df.rdd.getNumPartitions())
+        return checkpointed(df)
+
+    checkpointed = components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", kept)
+    spark.conf.set(name, "false")
+    try:
+        got = {r["node"]: r["component"] for r in components.connected_components(spark.range(40).selectExpr("id * 3 AS a", "id * 3 + 3 AS b").repartition(4)).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == {3 * i: 0 for i in range(41)}
+    assert len(held) > 2 and set(held[1:]) == {1}
